@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -72,6 +73,23 @@ def solve_rates(cells: DataFrame, goals: dict[str, tuple[float, float]], *, roun
     return {s: (base[s], state[s][0], scale[s]) for s in goals}
 
 
+def _round_down_the_sizes(cells: pd.DataFrame) -> pd.DataFrame:
+    """Whole copies and extra ones of each size of one source, from the longest down.
+
+    The tokens that rounding one size owes or has given too much are passed on
+    to the next smaller one, so at the end about half a shortest document is
+    missing. A source has one row per distinct size here, however many documents.
+    """
+    cells = cells.sort_values("tokens", ascending=False)
+    debt, extra = 0.0, []
+    for t, n, rate, cap in zip(cells["tokens"].to_numpy(), cells["n"].to_numpy(), cells["rate"].to_numpy(), cells["cap"].to_numpy()):
+        owed = n * (rate - math.floor(rate)) * t + debt
+        more = min(max(round(owed / t), 0), n if math.floor(rate) < cap else 0)
+        debt = owed - more * t
+        extra.append(int(more))
+    return pd.DataFrame({"source": cells["source"], "tokens": cells["tokens"], "whole": cells["rate"].map(math.floor), "extra": extra, "of": cells["n"]})
+
+
 def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "tokens", *, share: str = "target_share", cap: str = "max_repeats", fill: float = 0.98) -> Mixture:
     """A mixture whose tokens divide among the sources as `targets` says, no document above its source's cap.
 
@@ -83,10 +101,10 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     case; targets named twice count with the sum of shares and the least cap.
 
     Rates follow from `solve_rates`. Copies are their whole part plus, for the
-    fraction, one more for some of the documents of equal size: along the
-    sizes of a source the running sum of fractions is rounded, so the tokens
-    of a source miss their goal by about one document. Which documents of a
-    size get the extra copy is drawn by a hash of the key.
+    fraction, one more for some of the documents of equal size. What rounding
+    one size leaves is carried to the next smaller one, so a source misses its
+    goal by about its shortest document. Which documents of a size get the
+    extra copy is drawn by a hash of the key.
 
     `targets` is configuration, one row per source, and is held by the driver;
     everything that grows with the documents stays on the cluster: documents
@@ -111,14 +129,14 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     rates = solve_rates(materialise(by_size.where(F.col("source").isin(list(goals))), "sizes"), goals) if goals else {}
     solved = spark.createDataFrame([(s, *rates[s], goals[s][1]) for s in goals], "source string, base double, tilt double, scale double, cap double")
     rate = F.col("cap") / (1 + F.exp(-(F.col("base") + F.col("tilt") * F.col("tokens") / F.col("scale"))))
-    rated = cells.join(F.broadcast(solved), "source").select("source", "tokens", "slot", "n", rate.alias("rate"))
-    # extra copies of each cell: the running sum of fractions, rounded, along a source's sizes
-    order = W.partitionBy("source").orderBy("tokens", "slot")
-    owed = F.col("n") * (F.col("rate") - F.floor("rate"))
-    upto = F.sum(owed).over(order.rowsBetween(W.unboundedPreceding, 0))
-    rated = rated.withColumn("upto", F.floor(upto + 0.5))
-    rated = rated.withColumn("extra", F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0))).withColumn("whole", F.floor("rate"))
-    rated = rated.select("source", "tokens", "slot", "whole", F.least("extra", "n").alias("extra"))
+    rated = cells.join(F.broadcast(solved), "source").select("source", "tokens", "slot", "n", "cap", rate.alias("rate"))
+    each = rated.groupBy("source", "tokens").agg(F.sum("n").alias("n"), F.first("rate").alias("rate"), F.first("cap").alias("cap"))
+    owed = each.groupBy("source").applyInPandas(_round_down_the_sizes, "source string, tokens long, whole int, extra long, of long")
+    # the extra copies of one size, dealt to its slots in proportion
+    along = W.partitionBy("source", "tokens").orderBy("slot")
+    rated = rated.select("source", "tokens", "slot", "n").join(owed, ["source", "tokens"])
+    rated = rated.withColumn("upto", F.floor(F.col("extra") * F.sum("n").over(along.rowsBetween(W.unboundedPreceding, 0)) / F.col("of") + 1e-9))
+    rated = rated.select("source", "tokens", "slot", "whole", (F.col("upto") - F.coalesce(F.lag("upto").over(along), F.lit(0))).alias("extra"))
     slotted = docs.withColumn("slot", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(SLOTS)).cast("int")).join(rated, ["source", "tokens", "slot"])
     place = F.row_number().over(W.partitionBy("source", "tokens", "slot").orderBy(F.xxhash64("key", F.lit(5)), "key"))
     copies = slotted.withColumn("copies", (F.col("whole") + (place <= F.col("extra")).cast("long")).cast("int")).where("copies > 0").select("key", "source", "tokens", "copies")
