@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import materialise, spread
 from .chunking import MOST, chunk_notes
 from .classify import classify, reapply
 from .ids import with_dense_ids
@@ -69,9 +69,9 @@ def corpus(chunks: DataFrame, postings: DataFrame) -> tuple[int, float]:
 
 
 def index_chunks(notes: DataFrame, chunks: DataFrame, *, keys: DataFrame | None = None, embeddings: DataFrame | None = None, key_embeddings: DataFrame | None = None, tokenize: Callable | None = None) -> Index:
-    """An index over chunks that exist already."""
+    """An index over chunks that exist already; the postings are written once, all statistics are taken from them."""
     spark = chunks.sparkSession
-    postings = postings_of(chunks, tokenize=tokenize)
+    postings = materialise(postings_of(chunks, tokenize=tokenize), "postings")
     none = empty_index(spark)
     return Index(notes, chunks, postings, chunk_lengths(postings), term_records(postings), none.note_keys if keys is None else keys, none.embeddings if embeddings is None else embeddings, none.key_embeddings if key_embeddings is None else key_embeddings)
 

@@ -86,10 +86,20 @@ single as (select * from (select *, row_number() over (partition by query_id, {_
 _HEAD = rf"#{{1,6}}{_LINE_BLANK}+[^\n\r\x{{2028}}\x{{2029}}]*[^\n\r\x{{2028}}\x{{2029}}]{_LINE_BLANK}*"
 _LINES = f"""
 bodies as (select doc_id, {_BODY} as body from documents where text is not null),
-lines as (select doc_id, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as at from bodies),
+lines as (select doc_id, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as pos from bodies),
 marked as (select *, regexp_full_match(line, '{_HEAD}') as head from lines),
-numbered as (select *, sum(head::int) over (partition by doc_id order by at) as place from marked),
-section as (select doc_id, place, max(case when head then {_trim(f"regexp_extract(line, '^#{{1,6}}{_LINE_BLANK}+(.*)$', 1, 's')")} end) as heading, {_trim("coalesce(string_agg(case when not head then line end, chr(10) order by at), '')")} as text from numbered group by 1, 2)"""
+numbered as (select *, sum(head::int) over (partition by doc_id order by pos) as place from marked),
+section as (select doc_id, place, max(case when head then {_trim(f"regexp_extract(line, '^#{{1,6}}{_LINE_BLANK}+(.*)$', 1, 's')")} end) as heading, {_trim("coalesce(string_agg(case when not head then line end, chr(10) order by pos), '')")} as text from numbered group by 1, 2)"""
+_FULL = "(length(a.rest) + length(x.rest) + 2 > 1500 and length(a.rest) > 0)"
+_BUFFER = f"(case when {_FULL} or a.rest = '' then x.rest else a.rest || chr(10) || chr(10) || x.rest end)"
+_WINDOWS = f"(case when length({_BUFFER}) > 1500 then (length({_BUFFER}) - 1) // 1500 else 0 end)"
+_PACKED = f"""
+fold as (select doc_id, place, heading, text, case when length(text) > 1500 then list_reduce(
+  list_concat([{{'out': []::varchar[], 'rest': ''}}], list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda p: {{'out': []::varchar[], 'rest': p}})),
+  lambda a, x: {{'out': list_concat(a.out, case when {_FULL} and not {_is_blank("a.rest")} then [{_trim("a.rest")}] else [] end, list_transform(range({_WINDOWS}), lambda i: {_trim(f"substring({_BUFFER}, i * 1500 + 1, 1500)")})),
+    'rest': substring({_BUFFER}, {_WINDOWS} * 1500 + 1)}}) end as f from section),
+parts as (select doc_id, place, heading, case when f is null then [text] else list_concat(f.out, [{_trim("f.rest")}]) end as parts from fold),
+piece as (select doc_id, place, heading, unnest(parts) as text, generate_subscripts(parts, 1) as i from parts)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -111,6 +121,9 @@ select folder from above where folder <> '' and contains(lower(folder), '20') or
     last = f"split_part(split_part({whole}, '|', 1), '/', -1)"
     q["link_variants"] = f"with t as (select distinct tag_key from note_tags), u as (select tag_key, {_normal('tag_key')} as key from t union select tag_key, {_normal('part')} from (select tag_key, {last} as part from t where contains(split_part({whole}, '|', 1), '/'))) select tag_key, key from u where key <> ''"
     q["document_sections"] = f"with {_LINES} select doc_id, place, heading, length(text) as characters from section"
+    q["document_chunks"] = f"""with {_LINES}, {_PACKED},
+filled as (select doc_id, place, heading, i, text from piece where not {_is_blank("text")})
+select doc_id, row_number() over (partition by doc_id order by place, i) - 1 as ord, heading, text from filled"""
     q["postings"] = f"with {_POST} select chunk_id, term, tf from post"
     q["chunk_lengths"] = f"with {_POST} select chunk_id, sum(tf)::bigint as length from post group by 1"
     q["term_records"] = f"with {_POST} select term, count(*) as df from post group by 1"
@@ -162,8 +175,8 @@ s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as
     q["sticky_queries"] = f"select event_id, last_value(case when event_type = 'view' then {k}::bigint end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from events"
     q["unsuppressed"] = f"select event_id from events e where event_type <> 'purchase' and (event_type = 'error' or not exists (select 1 from events o where o.event_type = 'purchase' and o.user_id = e.user_id and json_extract_string(o.props, '$.k') = json_extract_string(e.props, '$.k') and epoch_ms(e.ts) - epoch_ms(o.ts) between 0 and 86399999))"
     q["unique_queries"] = f"with {_ASKED} select text, count(*) as times, min(query_id) as first from asked group by 1"
-    q["paragraphs"] = f"""with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as at from documents where text is not null),
-l as (select *, {_is_blank('line')} as blank from lines), e as (select doc_id, coalesce(max(at) filter (blank and at < 2), -1) as low, min(at) filter (blank and at > 2) as high, max(at) as n from l group by 1),
-p as (select l.doc_id, {_trim("string_agg(line, chr(10) order by at)")} as paragraph from l join e using (doc_id) where n >= 2 and at > low and at < coalesce(high, n + 1) group by 1)
+    q["paragraphs"] = f"""with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null),
+l as (select *, {_is_blank('line')} as blank from lines), e as (select doc_id, coalesce(max(pos) filter (blank and pos < 2), -1) as low, min(pos) filter (blank and pos > 2) as high, max(pos) as n from l group by 1),
+p as (select l.doc_id, {_trim("string_agg(line, chr(10) order by pos)")} as paragraph from l join e using (doc_id) where n >= 2 and pos > low and pos < coalesce(high, n + 1) group by 1)
 select doc_id, paragraph from p where length(paragraph) >= 10"""
     return q

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,30 +154,19 @@ class Store:
 
 def vectors_from_bytes(df: DataFrame, column: str = "vector") -> DataFrame:
     """Binary little-endian float32 as array<float>."""
-    from collections.abc import Iterator
 
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<float>")
     def unpack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
-    return df.withColumn(column, unpack(F.col(column)))
+    return df.withColumn(column, F.pandas_udf(unpack, "array<float>", F.PandasUDFType.SCALAR_ITER)(column))
 
 
 def vectors_to_bytes(df: DataFrame, column: str = "vector") -> DataFrame:
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    """array<float> as binary little-endian float32."""
 
-    @pandas_udf("binary")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
-    return df.withColumn(column, pack(F.col(column)))
+    return df.withColumn(column, F.pandas_udf(pack, "binary", F.PandasUDFType.SCALAR_ITER)(column))

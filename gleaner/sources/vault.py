@@ -15,9 +15,8 @@ def read_vault(spark: SparkSession, folder: str, ending: str = ".md") -> DataFra
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{ending}").text(folder, wholetext=True)
     # file names are percent-encoded in the metadata column
     full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    at = F.lit(folder.rstrip("/") + "/")
     return files.select(
-        F.substring_index(full, at, -1).alias("path"),
+        F.substring_index(full, folder.rstrip("/") + "/", -1).alias("path"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime"),
         F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("content"),
