@@ -56,18 +56,20 @@ def exploded_terms(queries: DataFrame) -> DataFrame:
 def bm25(index: Index, queries: DataFrame, k: int = 30) -> DataFrame:
     """``query_id, chunk_id, bm25_score, bm25_rank``: the k chunks whose terms fit each query best.
 
-    `queries` has ``query_id, terms``. The postings are read once for all queries: where the
-    distinct query terms are few enough they are broadcast and the postings are filtered as
-    they are scanned; a query term's document frequency comes along. Scores are added up per
-    (query, chunk) with partial sums before the shuffle.
+    `queries` has ``query_id, terms``. The postings are read once for all queries and keep only
+    query terms; where these are few enough they are broadcast, so the postings are filtered as
+    they are scanned. What is left is brought together by chunk, before each posting meets the
+    queries that ask for it: the scores of a chunk then add up where they are, and only the best
+    of every query leave their task.
     """
     n, mean = corpus(index.chunks, index.postings)
     if not n or not mean:
         return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, bm25_score double, bm25_rank int")
     asked = exploded_terms(queries).join(index.term_stats, "term").select("query_id", "term", idf(F.lit(float(n)), F.col("df").cast("double")).alias("idf"))
-    if _small(asked):
-        asked = F.broadcast(asked)
-    found = index.postings.join(asked, "term").join(index.chunk_stats, "chunk_id", "left")
+    asked = materialise(asked, "asked")
+    few = F.broadcast if _small(asked) else lambda x: x
+    wanted = index.postings.join(few(asked.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+    found = wanted.join(index.chunk_stats, "chunk_id", "left").join(few(asked), "term")
     length = F.coalesce(F.col("length").cast("double"), F.lit(mean))
     scores = found.withColumn("s", F.col("idf") * term_weight(F.col("tf").cast("double"), length, F.lit(mean))).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("bm25_score"))
     return top_k(scores, k, "bm25_score", "chunk_id", rank="bm25_rank")
@@ -173,6 +175,11 @@ def fuse(by_terms: DataFrame, by_vectors: DataFrame) -> DataFrame:
     return met.withColumn("rrf_score", F.coalesce(reciprocal_rank(F.col("bm25_rank")), zero) + F.coalesce(reciprocal_rank(F.col("vector_rank")), zero))
 
 
+def _candidates(index: Index, queries: DataFrame, model: str, k: int) -> DataFrame:
+    """Both lists of k fused; written once, since texts, notes and terms are looked up for them."""
+    return materialise(fuse(bm25(index, queries, k), vector_search(index.embeddings, queries, model, k)), "fused")
+
+
 def _heading_has(heading: Column, terms: Column) -> Column:
     return F.coalesce(F.exists(terms, lambda t: (F.length(t) > 0) & heading.contains(t)), F.lit(False))
 
@@ -181,8 +188,7 @@ def hybrid_scores(index: Index, queries: DataFrame, model: str, options: Options
     """The hits of `hybrid` without their texts."""
     o = options
     if fused is None:
-        vectors = vector_search(index.embeddings, queries, model, o.candidates)
-        fused = fuse(bm25(index, queries, o.candidates), vectors)
+        fused = _candidates(index, queries, model, o.candidates)
     places = fused.join(index.chunks.select("chunk_id", "note_path", "heading"), "chunk_id").join(index.notes.select(F.col("path").alias("note_path"), "category_id", F.col("weight").alias("note_weight")), "note_path")
     asked = exploded_terms(queries)
     wanted = fused.select("query_id", "chunk_id").join(asked, "query_id")
@@ -201,6 +207,7 @@ def hybrid_scores(index: Index, queries: DataFrame, model: str, options: Options
 
 def with_texts(hits: DataFrame, chunks: DataFrame, length: int = 80) -> DataFrame:
     """Hits with title, preview and full text; texts are joined to what is left after ranking."""
+    hits = materialise(hits, "hits")
     texts = chunks.select("chunk_id", F.col("text").alias("full_text"))
     small = F.broadcast(hits) if _small(hits, 50_000) else hits
     out = texts.join(small, "chunk_id").withColumn("preview", preview(F.col("full_text"), length)).withColumn("note_title", title_of(F.col("note_path")))
@@ -218,7 +225,7 @@ def hybrid(index: Index, queries: DataFrame, model: str, options: Options = Opti
 
 def ablation(index: Index, queries: DataFrame, model: str, top: int = 5) -> DataFrame:
     """Hits under three settings, one ``stage`` each: without weight and heading, with weight, with both."""
-    fused = materialise(fuse(bm25(index, queries, 30), vector_search(index.embeddings, queries, model, 30)), "fused")
+    fused = _candidates(index, queries, model, Options.candidates)
     stages = {"rrf": Options(top=top, by_weight=False, by_heading=False), "weight": Options(top=top, by_heading=False), "heading": Options(top=top)}
     out = None
     for name, o in stages.items():
@@ -286,6 +293,7 @@ def tag_scores(index: Index, keys: DataFrame, top: int = 10, *, sources: DataFra
     `keys` is from `query_keys`; a key counts once per kind, by its best tier. `sources`
     (``query_id, source_path``) names the note a query comes from, which is left out.
     """
+    keys = materialise(keys, "keys")
     weight = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("tier") == t), w) for (k, t), w in TIERS.items()])
     asked = keys.withColumn("w", weight).where("w is not null").groupBy("query_id", "kind", "key").agg(F.max("w").alias("w"))
     total = keys.groupBy("query_id").agg(F.countDistinct("key").alias("total"))
@@ -303,7 +311,7 @@ def tag_scores(index: Index, keys: DataFrame, top: int = 10, *, sources: DataFra
 
 def tag_search(index: Index, keys: DataFrame, top: int = 10, *, sources: DataFrame | None = None) -> DataFrame:
     """Hits by keys: the best notes of `tag_scores`, each with its first chunk; notes without chunks are dropped after ranking."""
-    best = tag_scores(index, keys, top, sources=sources)
+    best = materialise(tag_scores(index, keys, top, sources=sources), "best")
     wanted = best.select("note_path").distinct()
     first = index.chunks.join(F.broadcast(wanted) if _small(wanted) else wanted, "note_path", "left_semi").groupBy("note_path").agg(F.min_by(F.struct("chunk_id", "heading", "text"), "ord").alias("c"))
     hits = best.join(first, "note_path")

@@ -12,7 +12,7 @@ from ..operators import classify, index, present, search
 from ..operators.chunking import chunk_notes, sections
 from ..operators.parsing import note_keys, with_parts
 from ..operators.tokenize import terms_of
-from ..runtime import spread, table
+from ..runtime import materialise, spread, table
 from ..sources.vault import paragraph_at
 from ..streaming import reactive
 from .recall import SEARCHED, SHOWN
@@ -54,7 +54,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
     vector = vectors(spark, sf).where(F.col("model") == MODEL).where("dim = 64").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("embedding"))
     said = F.coalesce(F.when(~text.is_blank(F.col("heading")), F.col("heading")), F.col("text"))
     rows = chunks.select(F.col("chunk_id").alias("query_id"), F.col("note_path").alias("source_path"), said.alias("text")).withColumn("terms", terms_of(F.col("text")))
-    return rows.join(vector, "query_id", "left")
+    return materialise(rows.join(vector, "query_id", "left"), "queries")
 
 
 def scan_notes(spark: SparkSession, sf: str) -> DataFrame:
