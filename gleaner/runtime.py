@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +41,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    hadoop.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(hadoop, True)
 
 
 @atexit.register
@@ -49,7 +50,7 @@ def _delete_written() -> None:
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone already
-            pass
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -66,21 +67,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that `materialise` wrote and no later step reads."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for entry in [e for e in _WRITTEN if name.endswith(e[1].split(":", 1)[-1])]:
-            _WRITTEN.remove(entry)
-            _delete(*entry)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Split the rows over all cores if the scan has fewer splits than cores.
 
     Large inputs have more splits than that and pass unchanged, without a
-    shuffle; a small single-file input would otherwise keep one core busy.
+    shuffle; a small single-file input would otherwise keep one core busy. So
+    do rows that come from a shuffle, which are spread already.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
@@ -99,4 +95,4 @@ def default_session(app: str = "gleaner", master: str | None = None, **conf: str
     return b.config(map=base | conf).getOrCreate()
 
 
-__all__ = ["table", "scratch_dir", "materialise", "discard", "spread", "default_session"]
+__all__ = ["table", "scratch_dir", "materialise", "spread", "default_session"]
