@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise, spread
 
-#: Rows up to which a table of (id, count, bits) may be broadcast: at most 32 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of keys and ids up to which the items' table is broadcast.
+BROADCAST_BYTES = 32_000_000
 #: An item or basket beyond this share of the rows is handled apart; there are at most as many as its inverse.
 HOT_SHARE = 1 / 1000
 
@@ -163,7 +163,7 @@ def log_likelihood_ratio(c: Column, a: Column, b: Column, n: Column) -> Column:
 
 
 def item_pairs(
-    rows: DataFrame, basket: str, item: str, *, names: DataFrame | None = None, min_together: int = 8, min_lift: float = 0.0, block: int = 2048, parts: int = 64, flush: int = 1_000_000
+    rows: DataFrame, basket: str, item: str, *, names: DataFrame | None = None, min_together: int = 8, min_lift: float = 0.0, block: int = 2048, parts: int = 64, hot_rows: int = 10_000, flush: int = 1_000_000
 ) -> DataFrame:
     """Pairs of items that at least `min_together` baskets hold: ``item_1, item_2, together, records_1, records_2, records, lift, llr``.
 
@@ -176,8 +176,8 @@ def item_pairs(
     Stripes: every task turns its baskets into rows (item, neighbours,
     counts), one per item, adding up equal ones before they are shuffled;
     stripes of an item meet in one task, which adds the arrays up. The stripes
-    of frequent items are cut into `parts` by neighbour, so none grows
-    without bound. Items below `min_together`, or so frequent that no pair of
+    of frequent items (a thousandth of all rows, and `hot_rows`) are cut into
+    `parts` by neighbour, so none grows without bound. Items below `min_together`, or so frequent that no pair of
     theirs can reach `min_lift` (c <= min(a, b) gives c N / (a b) <= N / max(a, b)),
     are left out beforehand: no pair is lost.
 
@@ -203,12 +203,13 @@ def item_pairs(
     # ids by falling support, fixed by being written; at the front the hot items
     support = support.repartitionByRange(F.col("records").desc(), F.col("key")).sortWithinPartitions(F.col("records").desc(), F.col("key"))
     support = materialise(support.withColumn("id", F.monotonically_increasing_id()), "items")
-    known, hot_below = support.agg(F.count("*"), F.max(F.when(F.col("records") > max(size * HOT_SHARE, 10_000), F.col("id")))).first()
+    hot_from = max(size * HOT_SHARE, hot_rows)
+    known, hot_below = support.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0)), F.max(F.when(F.col("records") > hot_from, F.col("id")))).first()
     hot_below = -1 if hot_below is None else hot_below
 
     ids = support.select("key", "id")
     full = held.where("key is not null")
-    if known <= BROADCAST_ROWS:
+    if known <= BROADCAST_BYTES:
         coded = full.join(F.broadcast(ids), "key").select("basket", "id")
     else:
         # few hot keys by broadcast, the rest by a shuffle that none of them can skew
@@ -251,9 +252,8 @@ def item_pairs(
     else:
         facts = facts.withColumn("bits", F.lit(0))
     facts = facts.withColumn("bits", F.coalesce("bits", F.lit(0)))
-    small_enough = F.broadcast if known <= BROADCAST_ROWS else lambda x: x
     for k in "12":
-        merged = merged.join(small_enough(facts.select(*(F.col(c).alias(f"{c}_{k}") for c in ("id", "name", "records", "bits")))), f"id_{k}")
+        merged = merged.join(facts.select(*(F.col(c).alias(f"{c}_{k}") for c in ("id", "name", "records", "bits"))), f"id_{k}")
     together = F.col("together") + F.bit_count(F.col("bits_1").bitwiseAND(F.col("bits_2")))
     out = merged.withColumn("together", together.cast("long")).where(F.col("together") >= min_together)
     c, a, b, n = F.col("together"), F.col("records_1"), F.col("records_2"), F.lit(total).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import materialise, spread
 
+#: (model, dim) groups whose indexes are sent to the tasks together.
+GROUPS_AT_ONCE = 200
 CENTERS = 16  # of each block of dimensions: a code has four bits
 
 
@@ -36,11 +39,13 @@ class Params(NamedTuple):
 
 
 class Index(NamedTuple):
-    """What one (model, dim) was fitted to: unit `parts`, `books` (blocks x 16 x block_dims), partitions to `probe`."""
+    """What one (model, dim) was fitted to: unit `parts`, `books` (blocks x 16 x block_dims), partitions to `probe`
+    at least, the rows that each partition probably gets."""
 
     parts: np.ndarray
     books: np.ndarray
     probe: int
+    rows: np.ndarray
     eta: float
     block_dims: int
 
@@ -126,7 +131,7 @@ def fit(x: np.ndarray, rows: int, p: Params) -> Index:
     at = np.argmax(x @ parts.T, axis=1)
     residual = _blocks(x - parts[at], p.block_dims)
     books = np.stack([_k_means(residual[:, m], CENTERS, 8, rng, False) for m in range(residual.shape[1])])
-    ix = Index(parts, books, k, eta, p.block_dims)
+    ix = Index(parts, books, k, np.bincount(at, minlength=k) * (rows / len(x)), eta, p.block_dims)
     for _ in range(2):
         _refit(x, ix, at, encode(x, ix, at, 1))
     if k > 1:  # so many partitions that sample queries find `recall` of their sample neighbours
@@ -175,8 +180,6 @@ def best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.nd
 
 
 def _fit_groups(p: Params, rows: dict[int, int]):
-    import pickle
-
     def run(t: pa.Table) -> pa.Table:
         g = t.column("g")[0].as_py()
         x = _unit(np.array(t.column("vector").to_pylist(), np.float64))
@@ -185,7 +188,13 @@ def _fit_groups(p: Params, rows: dict[int, int]):
     return run
 
 
-def _encode(indexes: dict[int, Index], schema: pa.Schema):
+def probes(order: np.ndarray, ix: Index, k: int) -> list[np.ndarray]:
+    """Of each row's partitions, nearest first, those to ask: so many that three times the rows wanted are probably there."""
+    enough = (np.cumsum(ix.rows[order], axis=1) < 3 * (k + 1)).sum(1) + 1
+    return [o[:n] for o, n in zip(order.astype(np.int32), np.maximum(enough, ix.probe))]
+
+
+def _encode(indexes: dict[int, Index], k: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             groups = b.column("g").to_numpy()
@@ -199,7 +208,7 @@ def _encode(indexes: dict[int, Index], schema: pa.Schema):
                     codes = pack(encode(x, ix, order[:, 0]))
                     unit = x.astype("<f8")
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column("g"), rows.column("id"), pa.array([v.tobytes() for v in unit.astype("<f4")], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(order[:, 0].astype(np.int32)), pa.array(list(order[:, : ix.probe].astype(np.int32)), pa.list_(pa.int32()))],
+                        [rows.column("g"), rows.column("id"), pa.array([v.tobytes() for v in unit.astype("<f4")], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(order[:, 0].astype(np.int32)), pa.array(probes(order, ix, k), pa.list_(pa.int32()))],
                         schema=schema,
                     )
 
@@ -259,41 +268,59 @@ def nearest(df: DataFrame, id: str = "chunk_id", model: str = "model", dim: str
     p, spark = params, df.sparkSession
     rows = materialise(usable(spread(df.select(id, model, dim, vector)), id, model, dim, vector), "usable")
     sizes = rows.groupBy("model", "dim").count().orderBy("model", "dim").collect()  # one row per model and dim
-    out_schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("near", T.ArrayType(T.StructType([T.StructField("far", T.DoubleType()), T.StructField("id", T.LongType())])))])
-    if not sizes:
-        groups = spark.createDataFrame([], "g int, model string, dim int")
-        final = spark.createDataFrame([], out_schema)
-    else:
-        count = {g: r["count"] for g, r in enumerate(sizes)}
-        groups = spark.createDataFrame([(g, r["model"], r["dim"], min(1.0, p.sample / r["count"])) for g, r in enumerate(sizes)], "g int, model string, dim int, share double")
-        rows = rows.join(F.broadcast(groups), ["model", "dim"]).drop("model", "dim")
-        draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-        import pickle
-
-        models = rows.where(draw).groupBy("g").applyInArrow(_fit_groups(p, count), "g int, model binary").collect()  # bounded per model and dim
-        indexes = {r["g"]: pickle.loads(r["model"]) for r in models}
-        for g in set(count) - set(indexes):  # a tiny group of which the draw took none
-            x = np.array([r["vector"] for r in rows.where(F.col("g") == g).limit(p.sample).collect()], np.float64)
-            indexes[g] = fit(_unit(x), count[g], p)
-        coded = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("code", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType()))])
-        coded_rows = materialise(rows.select("g", "id", "vector").mapInArrow(_encode(indexes, to_arrow_schema(coded)), coded), "coded")
-        final = coded_rows
-        index_side = coded_rows.select("g", "part", "id", "vector", "code")
-        query_side = coded_rows.select("g", F.explode("probes").alias("part"), "id", "vector")
-        # how many blocks each side of a partition needs: one row per partition, at most most_parts per model and dim
-        cells = index_side.groupBy("g", "part").agg(F.count("*").alias("n")).join(query_side.groupBy("g", "part").agg(F.count("*").alias("q")), ["g", "part"])
-        cells = cells.select("g", "part", F.ceil(F.col("n") / p.block_rows).cast("int").alias("n"), F.ceil(F.col("q") / p.query_rows).cast("int").alias("q"))
-        cells = F.broadcast(materialise(cells, "cells"))
-
-        def blocks(side: DataFrame, mine: str, other: str) -> DataFrame:
-            own = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int").alias(f"{mine}_block")
-            every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_block")
-            return side.join(cells, ["g", "part"]).select(*side.columns, own, every)
-
-        key = ["g", "part", "n_block", "q_block"]
-        asked = blocks(query_side, "q", "n").select(*(F.col(c).alias(f"{c}_asked") for c in key), F.col("id").alias("query"), F.col("vector").alias("asked"))
-        scanned = blocks(index_side, "n", "q").groupBy(*key).cogroup(asked.groupBy(*(f"{c}_asked" for c in key))).applyInArrow(_scan_cells(indexes, p, to_arrow_schema(out_schema)), out_schema)
-        final = scanned.groupBy("g", "id").agg(F.flatten(F.collect_list("near")).alias("near")).select("g", "id", F.slice(F.array_sort("near"), 1, p.k).alias("near"))
-        groups = F.broadcast(groups.select("g", "model", "dim"))
-    flat = final.select("g", "id", F.posexplode("near").alias("rank", "n")).join(groups, "g")
-    return flat.select(F.col("id").alias(id), F.col("n.id").alias("neighbour"), "model", "dim", (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("cosine"))
+    schema = f"`{id}` long, neighbour long, model string, dim int, rank int, cosine double"
+    out = spark.createDataFrame([], schema)
+    for i in range(0, len(sizes), GROUPS_AT_ONCE):
+        found = _nearest_in(rows, sizes[i : i + GROUPS_AT_ONCE], p).withColumnRenamed("id", id)
+        out = found if i == 0 else out.unionAll(found)
+    return out
+
+
+NEAR = T.ArrayType(T.StructType([T.StructField("far", T.DoubleType()), T.StructField("id", T.LongType())]))
+
+
+def _scanned(query_side: DataFrame, coded_rows: DataFrame, indexes: dict[int, Index], p: Params) -> DataFrame:
+    """``g, id, near``: the best rows of each query (``g, part, id, vector``) in the partitions it names."""
+    found = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("near", NEAR)])
+    index_side = coded_rows.select("g", "part", "id", "vector", "code")
+    # how many blocks each side of a partition needs: one row per partition, at most most_parts per group
+    cells = index_side.groupBy("g", "part").agg(F.count("*").alias("n")).join(query_side.groupBy("g", "part").agg(F.count("*").alias("q")), ["g", "part"])
+    cells = cells.select("g", "part", F.ceil(F.col("n") / p.block_rows).cast("int").alias("n"), F.ceil(F.col("q") / p.query_rows).cast("int").alias("q"))
+    cells = F.broadcast(materialise(cells, "cells"))
+
+    def blocks(side: DataFrame, mine: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int").alias(f"{mine}_block")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_block")
+        return side.join(cells, ["g", "part"]).select(*side.columns, own, every)
+
+    key = ["g", "part", "n_block", "q_block"]
+    asked = blocks(query_side, "q", "n").select(*(F.col(c).alias(f"{c}_asked") for c in key), F.col("id").alias("query"), F.col("vector").alias("asked"))
+    scanned = blocks(index_side, "n", "q").groupBy(*key).cogroup(asked.groupBy(*(f"{c}_asked" for c in key))).applyInArrow(_scan_cells(indexes, p, to_arrow_schema(found)), found)
+    return scanned.groupBy("g", "id").agg(F.flatten(F.collect_list("near")).alias("near")).select("g", "id", F.slice(F.array_sort("near"), 1, p.k).alias("near"))
+
+
+def _nearest_in(rows: DataFrame, sizes: list, p: Params) -> DataFrame:
+    """`nearest` for some groups (model, dim, count) of the usable rows."""
+    spark = rows.sparkSession
+    count = {g: r["count"] for g, r in enumerate(sizes)}
+    groups = spark.createDataFrame([(g, r["model"], r["dim"], min(1.0, p.sample / r["count"])) for g, r in enumerate(sizes)], "g int, model string, dim int, share double")
+    rows = rows.join(F.broadcast(groups), ["model", "dim"]).select("g", "id", "vector", "share")
+    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    models = rows.where(draw).groupBy("g").applyInArrow(_fit_groups(p, count), "g int, model binary").collect()  # one small model per group
+    indexes = {r["g"]: pickle.loads(r["model"]) for r in models}
+    for g in set(count) - set(indexes):  # a group so small that the draw took none
+        x = np.array([r["vector"] for r in rows.where(F.col("g") == g).limit(p.sample).collect()], np.float64)
+        indexes[g] = fit(_unit(x), count[g], p)
+
+    groups = spark.createDataFrame([(g, r["model"], r["dim"], r["count"], len(indexes[g].parts)) for g, r in enumerate(sizes)], "g int, model string, dim int, n long, parts int")
+    coded = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("code", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType()))])
+    coded_rows = materialise(rows.select("g", "id", "vector").mapInArrow(_encode(indexes, p.k, to_arrow_schema(coded)), coded), "coded")
+    best = materialise(_scanned(coded_rows.select("g", F.explode("probes").alias("part"), "id", "vector"), coded_rows, indexes, p), "best")
+    # whoever met too few rows in the partitions it asked asks all of them
+    short = materialise(best.join(F.broadcast(groups), "g").where(F.size("near") < F.least(F.lit(p.k), F.col("n") - 1)).select("g", "id"), "short")
+    if not short.isEmpty():
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        again = coded_rows.join(short, ["g", "id"], "left_semi").join(F.broadcast(groups), "g").select("g", every, "id", "vector")
+        best = best.join(short, ["g", "id"], "left_anti").unionAll(_scanned(again, coded_rows, indexes, p))
+    flat = best.select("g", "id", F.posexplode("near").alias("rank", "n")).join(F.broadcast(groups.select("g", "model", "dim")), "g")
+    return flat.select("id", F.col("n.id").alias("neighbour"), "model", "dim", (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("cosine"))
