@@ -160,6 +160,13 @@ def flags(bm25_rank: Column, vector_rank: Column, heading: Column, matched: Colu
     )
 
 
+def ago(then: Column, now: Column) -> Column:
+    """How long ago a time in epoch milliseconds was: seconds, minutes or hours, from a day on the date."""
+    seconds = F.floor((now - then) / 1000)
+    counted = F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit(" s"))).when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" min"))).when(seconds < 86400, F.concat(F.floor(seconds / 3600).cast("string"), F.lit(" h")))
+    return F.coalesce(counted, F.date_format(F.timestamp_millis(then), "yyyy-MM-dd"))
+
+
 def synonym_lists(json: Column, shortest: int = 2) -> Column:
     """A JSON object of string lists as map<string, array<string>>: trimmed strings of `shortest` characters or more
     that differ from their key; other values are skipped, and what is no object gives an empty map."""

@@ -131,3 +131,10 @@ def embedding_state(key_embeddings: DataFrame, model: str) -> DataFrame:
     """``kind, n, last, fingerprint``: how many keys of a model have vectors, since when."""
     g = key_embeddings.where(F.col("model") == model).groupBy("kind").agg(F.count("*").alias("n"), F.coalesce(F.max("embedded_at"), F.lit(0)).alias("last"))
     return g.withColumn("fingerprint", F.concat(F.col("n").cast("string"), F.lit(":"), F.col("last").cast("string")))
+
+
+def synonym_coverage(keys: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """``keys, covered, synonyms, mean``: how many keys (``key``) have synonyms (``key, synonym``), and how many."""
+    counted = keys.select("key").distinct().join(synonyms.groupBy("key").agg(F.count("*").alias("n")), "key", "left")
+    got = counted.agg(F.count("*").alias("keys"), F.count("n").alias("covered"), F.coalesce(F.sum("n"), F.lit(0)).alias("synonyms"))
+    return got.withColumn("mean", F.try_divide("synonyms", "covered"))

@@ -20,6 +20,8 @@ from .tokenize import terms_of
 #: Rows and bytes up to which a side of a join is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64_000_000
+#: Lexicon keys up to which each text is searched for all of them.
+SCANNED_KEYS = 5_000
 #: Most elements of the score matrix one step of a vector search holds.
 SCORES_AT_ONCE = 4_000_000
 
@@ -241,9 +243,12 @@ def text_keys(queries: DataFrame, lexicon: DataFrame, text: str = "text") -> Dat
     clean = queries.select("query_id", strip_emoji(F.col(text)).alias("clean"))
     by_term = clean.select("query_id", F.explode(F.array_distinct(terms_of(F.col("clean")))).alias("key")).join(lexicon, "key", "left_semi").select("query_id", "key")
     keys = lexicon.where(F.length("key") >= 2)
-    if not _small(keys, 20_000):
-        raise ValueError("more than 20,000 lexicon keys: match them in parts")
-    inside = clean.join(F.broadcast(keys), F.col("clean").contains(F.col("key"))).select("query_id", "key")
+    if _small(keys, SCANNED_KEYS):
+        inside = clean.join(F.broadcast(keys), F.col("clean").contains(F.col("key"))).select("query_id", "key")
+    else:  # a key can only be part of a text that has its first two letters side by side
+        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("clean") - 1), lambda i: F.substring(F.col("clean"), i, F.lit(2))))
+        starts = clean.where(F.length("clean") >= 2).select("query_id", "clean", F.explode(pairs).alias("start"))
+        inside = starts.join(keys.withColumn("start", F.substring("key", 1, 2)), "start").where(F.col("clean").contains(F.col("key"))).select("query_id", "key")
     return plain.unionAll(by_term).unionAll(inside).distinct()
 
 

@@ -157,6 +157,8 @@ raw as (select f.query_id, t.note_path, count(*)::double as raw from found f joi
 ranked as (select r.*, n.weight * r.raw as final_score, row_number() over (partition by r.query_id order by round(n.weight * r.raw, 9) desc, r.note_path) as place from raw r join note n on n.path = r.note_path join asked a on a.query_id = r.query_id where a.source_path <> r.note_path),
 first as (select note_path, arg_min(chunk_id, ord) as chunk_id from chunks group by 1)
 select r.query_id, f.chunk_id, r.note_path, round(final_score, 6) as final_score, raw::bigint as matched_query_terms, total as query_terms_total from ranked r join first f using (note_path) join totals t on t.query_id = r.query_id where place <= 10"""
+    spelled = lambda x: rf"regexp_replace(regexp_replace(regexp_replace(nfc_normalize({x}), '[\\\\/]+', '/', 'g'), '^/', ''), '[\s\p{{Zs}}]', ' ', 'g')"
+    q["hit_notes"] = f"with n as (select distinct path, {spelled('path')} as key from notes), h as (select {spelled('note_path')} as key, count(*) as hits from hits group by 1) select path, hits from h join n using (key)"
     q["dedupe_hits"] = f"with {_LOG}, {_dedupe('log')} select query_id, chunk_id, note_path, round(final_score, 6) as final_score from single"
     q["shown_hits"] = f"""with {_LOG}, cut as (select *, max(final_score) over (partition by query_id) as top from log), kept as (select *, case when category_id = 'external' then 'external' else 'internal' end as tab from cut where final_score >= top * (1 - 7 / 10::double) and chunk_id not in (select chunk_id from chunks where starts_with(note_path, 'Inbox/')))
 select query_id, chunk_id, tab, row_number() over (partition by query_id, tab order by round(final_score, 9) desc, chunk_id) as place from kept"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from ..functions.paths import normal_paths
 from ..operators import classify, index, present, search
 from ..operators.chunking import chunk_notes, sections
 from ..operators.parsing import note_keys, with_parts
@@ -235,6 +236,13 @@ def logged_hits(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", "chunk_id", "h.*").withColumn("note_title", text.title_of(F.col("note_path")))
 
 
+def hit_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """FN-25: logged rows by the note their path leads to, however it is spelled."""
+    known = normal_paths(table(spark, sf, "notes").select("path", F.col("path").alias("key")).distinct(), "key")
+    rows = normal_paths(spread(table(spark, sf, "hits").select(F.col("note_path").alias("key"))), "key")
+    return rows.groupBy("key").agg(F.count("*").alias("hits")).join(known, "key").select("path", "hits")
+
+
 def dedupe_hits(spark: SparkSession, sf: str) -> DataFrame:
     """OP-12, AGG-10, WIN-03/04, FN-16 over the recall log."""
     return present.dedupe(logged_hits(spark, sf)).select("query_id", "chunk_id", "note_path", r6("final_score").alias("final_score"))
@@ -330,7 +338,7 @@ def queries() -> dict[str, Query]:
     named = [
         hybrid, bm25, vector_search, tag_search, semantic_recall, ablation, scan_notes, reapply_folders, latest_notes, suggest_folders, folders_fingerprint, folder_factors, plain_tags, tag_lexicon,
         document_bodies, document_links, document_hashtags, link_variants, document_keys, document_sections, document_chunks, postings, chunk_lengths, term_records, corpus_size, missing_embeddings,
-        embedding_coverage, written_keys, dedupe_hits, shown_hits, tab_counts, fused_ranks, hit_labels, query_counts, timings, slowest, debounced, changed_types, newest_generation, sticky_queries,
+        embedding_coverage, written_keys, hit_notes, dedupe_hits, shown_hits, tab_counts, fused_ranks, hit_labels, query_counts, timings, slowest, debounced, changed_types, newest_generation, sticky_queries,
         unsuppressed, paragraphs, unique_queries,
     ]
     return {q.__name__: q for q in named}

@@ -79,6 +79,20 @@ def test_query_keys(spark):
     assert got == {(1, "tag", "exact", "river"), (1, "tag", "exact", "dir/y"), (1, "tag", "exact", "x"), (1, "doctrine", "synonym", "K")}
 
 
+def test_keys_inside_texts_by_their_first_letters(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("river",), ("ri",), ("x",), ("green hills",), ("absent",), ("🔖",)], "key string")
+    q = spark.createDataFrame([(1, "the rivers and green hills"), (2, "x"), (3, "")], "query_id long, text string")
+    one = {tuple(r) for r in search.text_keys(q, lexicon).collect()}
+    monkeypatch.setattr(search, "SCANNED_KEYS", 0)
+    assert one == {tuple(r) for r in search.text_keys(q, lexicon).collect()} == {(1, "river"), (1, "ri"), (1, "green hills")}
+
+
+def test_synonym_coverage(spark):
+    keys = spark.createDataFrame([("a",), ("b",), ("a",)], "key string")
+    synonyms = spark.createDataFrame([("a", "x"), ("a", "y"), ("c", "z")], "key string, synonym string")
+    assert tuple(index.synonym_coverage(keys, synonyms).first()) == (2, 1, 2, 2.0)
+
+
 def test_vector_keys(spark):
     e = spark.createDataFrame([("tag", k, "m", 2, v, 0) for k, v in (("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0]))], index.SCHEMAS["key_embeddings"])
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")

@@ -56,6 +56,19 @@ def test_titles_links_flags(spark):
     assert list(row) == ["[[t]]", "[[t#h]]", "B2 H 1/3"]
 
 
+def test_ago(spark):
+    now = 1_700_000_000_000
+    got = column(spark, [now - 5_000, now - 120_000, now - 7_200_000, now - 90_000_000], lambda c: text.ago(c, F.lit(now)), "long")
+    assert got == ["5 s", "2 min", "2 h", "2023-11-13"]
+
+
+def test_paths(spark):
+    from gleaner.functions.paths import normal_paths
+
+    rows = spark.createDataFrame([("/a//b\\c d.md",), (None,), ("e\u0301",)], "p string")
+    assert [r[0] for r in normal_paths(rows, "p").collect()] == ["a/b/c d.md", None, "\u00e9"]
+
+
 def test_highlight(spark):
     got = column(spark, ["Grace and grAceful a.b"], lambda c: text.highlight(c, ["grace", "graceful", "a.b", "x", "하나님"]))
     assert got == ["<mark>Grace</mark> and <mark>grAceful</mark> <mark>a.b</mark>"]
