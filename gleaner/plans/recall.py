@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.text import title_of
 from ..operators import index as ix
 from ..operators import present, search
 from ..operators.tokenize import terms_of
@@ -29,9 +30,10 @@ def prepare(queries: DataFrame, embedder: Embedder | None = None) -> DataFrame:
 
 
 def semantic(index: ix.Index, queries: DataFrame, model: str, options: search.Options = search.Options(top=SEARCHED), shown: int = SHOWN) -> DataFrame:
-    """Semantic hits of each query as they are shown: without its own note, one per title, the best `shown`."""
-    hits = present.without_source(search.hybrid(index, queries, model, options), queries)
-    return search.top_k(present.dedupe(hits), shown, "final_score", "chunk_id").drop("rank")
+    """Semantic hits of each query as they are shown: without its own note, one per title, the best `shown`; texts come last."""
+    hits = search.hybrid_scores(index, queries, model, options).withColumn("note_title", title_of(F.col("note_path")))
+    hits = present.dedupe(present.without_source(hits, queries))
+    return search.with_texts(search.top_k(hits, shown, "final_score", "chunk_id").drop("rank"), index.chunks)
 
 
 def by_tags(index: ix.Index, queries: DataFrame, model: str = "", *, synonyms: DataFrame | None = None, vectors: bool = False, top: int = SEARCHED, shown: int = SHOWN) -> DataFrame:
