@@ -117,17 +117,24 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -
 def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``<key>_1, <key>_2``, the first smaller: rows whose texts differ but look the same.
 
-    Only forms with two or more different texts go on to be joined, so plain
-    copies, however many, cost one partial sum each. Null texts have no pair.
-    Rows with one key twice give no pair of the key with itself and each pair
-    once.
+    The texts of a form are paired first, each once; the rows of both are
+    joined to these pairs, so the work follows the result: copies of a text
+    that has no look-alike, however many, cost one partial sum, and copies
+    never meet each other. Null texts have no pair. Repeated rows count once;
+    a key is not paired with itself.
     """
     classes = materialise(look_alike_classes(df, key, text).withColumnRenamed(key, "key"), "looks")
     form, words = ["form_1", "form_2"], ["text_1", "text_2"]
-    several = classes.groupBy(*form, *words).agg(F.lit(1).alias("one")).groupBy(*form).count().where("count > 1").select(*form)
-    rows = classes.join(several, form, "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
+    texts = classes.select(*form, *words).distinct()
+    several = texts.groupBy(*form).count().where("count > 1").select(*form)
+    texts = materialise(texts.join(several, form, "left_semi"), "texts")
+    a, b = texts.alias("a"), texts.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in form]
-    differ = (F.col("a.text_1") != F.col("b.text_1")) | (F.col("a.text_2") != F.col("b.text_2"))
-    pairs = a.join(b, [*same, F.col("a.key") < F.col("b.key"), differ])
-    return pairs.select(F.col("a.key").alias(f"{key}_1"), F.col("b.key").alias(f"{key}_2")).distinct()
+    after = (F.col("a.text_1") < F.col("b.text_1")) | ((F.col("a.text_1") == F.col("b.text_1")) & (F.col("a.text_2") < F.col("b.text_2")))
+    pairs = a.join(b, [*same, after]).select(*(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in words))
+    rows = materialise(classes.join(texts.select(*words), words, "left_semi").select("key", *words).distinct(), "rows")
+    for t in "ab":
+        side = rows.select(F.col("key").alias(f"{t}_key"), *(F.col(c).alias(f"{t}_{c}") for c in words))
+        pairs = pairs.join(side, [f"{t}_{c}" for c in words])
+    pairs = pairs.where("a_key <> b_key").select(F.least("a_key", "b_key").alias(f"{key}_1"), F.greatest("a_key", "b_key").alias(f"{key}_2"))
+    return pairs.distinct()

@@ -75,6 +75,8 @@ def test_look_alike_pairs(spark):
     rows = [(1, "pass"), (2, "раѕѕ"), (3, "pass"), (4, None), (5, ""), (6, "​"), (7, "other"), (8, "other"), (2, "раѕѕ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"form_1": F.lit("f"), "key": F.lit("k")})
     assert sorted(map(tuple, sk.look_alike_pairs(df).collect())) == [(1, 2), (2, 3), (5, 6)]
+    many = spark.createDataFrame([(i, "copy") for i in range(3000)] + [(5000, "с\u043epy")], "doc_id long, text string")
+    assert sk.look_alike_pairs(many).count() == 3000
     forms = {(r["doc_id"], r["form"]) for r in sk.visible_forms(df).collect()}
     assert (2, "pass") in forms and (4, None) in forms and (6, "") in forms and len(forms) == 8
     assert sk.look_alike_pairs(df.limit(0)).count() == 0
