@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 
 from ..runtime import materialise
 
-#: Into so many parts the documents of one source and size are cut before they are ranked.
-SLOTS = 64
+#: Documents of one source and size are ranked in parts, this many at least, and more from so many documents on.
+SLOTS, PER_SLOT = 64, 1_000_000
 
 
 class Mixture(NamedTuple):
@@ -115,9 +115,11 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     spark = sizes.sparkSession
     docs = sizes.select(F.col(key).alias("key"), source_name(F.col(source)).alias("source"), F.col(size).cast("long").alias("tokens")).where("key is not null and source is not null and tokens > 0")
     docs = materialise(docs, "sized")
+    slot = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(max(SLOTS, docs.count() // PER_SLOT))).cast("int").alias("slot")
+    docs = docs.select("*", slot)
     wanted = targets.select(source_name(F.col(source)).alias("source"), F.col(share).cast("double").alias("share"), F.col(cap).cast("int").alias("cap")).where("source is not null")
     wanted = wanted.groupBy("source").agg(F.sum("share").alias("share"), F.min("cap").alias("cap"))
-    cells = docs.withColumn("slot", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(SLOTS)).cast("int")).groupBy("source", "tokens", "slot").agg(F.count("*").alias("n"))
+    cells = docs.groupBy("source", "tokens", "slot").agg(F.count("*").alias("n"))
     cells = materialise(cells, "cells")
     by_size = cells.groupBy("source", "tokens").agg(F.sum("n").alias("n"))
     have = {r["source"]: r["tokens"] for r in by_size.join(F.broadcast(wanted), "source", "left_semi").groupBy("source").agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens")).collect()}
@@ -137,7 +139,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     rated = rated.select("source", "tokens", "slot", "n").join(owed, ["source", "tokens"])
     rated = rated.withColumn("upto", F.floor(F.col("extra") * F.sum("n").over(along.rowsBetween(W.unboundedPreceding, 0)) / F.col("of") + 1e-9))
     rated = rated.select("source", "tokens", "slot", "whole", (F.col("upto") - F.coalesce(F.lag("upto").over(along), F.lit(0))).alias("extra"))
-    slotted = docs.withColumn("slot", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(SLOTS)).cast("int")).join(rated, ["source", "tokens", "slot"])
+    slotted = docs.join(rated, ["source", "tokens", "slot"])
     place = F.row_number().over(W.partitionBy("source", "tokens", "slot").orderBy(F.xxhash64("key", F.lit(5)), "key"))
     copies = slotted.withColumn("copies", (F.col("whole") + (place <= F.col("extra")).cast("long")).cast("int")).where("copies > 0").select("key", "source", "tokens", "copies")
     copies = materialise(copies, "mixture")
