@@ -232,7 +232,8 @@ def item_pairs(
         own = blocks.select("mine", F.lit(None).cast("array<long>").alias("other"))
         a, b = blocks.alias("a"), blocks.alias("b")
         crossed = a.join(b, (F.col("a.basket") == F.col("b.basket")) & (F.col("a.at") < F.col("b.at"))).select(F.col("a.mine").alias("mine"), F.col("b.mine").alias("other"))
-        extra = own.unionAll(crossed)
+        # the blocks of one basket go to different tasks
+        extra = own.unionAll(crossed).repartition(F.xxhash64("mine"), F.xxhash64("other"))
     else:
         small, extra = flat, None
     baskets = small.groupBy("basket").agg(F.collect_list("id").alias("mine")).where("size(mine) > 1").select("mine", F.lit(None).cast("array<long>").alias("other"))

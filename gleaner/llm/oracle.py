@@ -14,6 +14,13 @@ select path_1, path_2, c as together, x.n as records_1, y.n as records_2, t.n as
 from met join single x on x.path = path_1 join single y on y.path = path_2 cross join total t
 """
 
+_PART = "case when {k} > 0 then {k} * ln({k} * records::double / (({r})::double * ({s}))) else 0 end"
+_A, _B, _N = "records_1", "records_2", "records"
+_LLR = " + ".join(
+    _PART.format(k=f"({k})", r=r, s=s)
+    for k, r, s in (("together", _A, _B), (f"{_A} - together", _A, f"{_N} - {_B}"), (f"{_B} - together", f"{_N} - {_A}", _B), (f"{_N} - {_A} - {_B} + together", f"{_N} - {_A}", f"{_N} - {_B}"))
+)
+
 _TERMS = r"select chunk_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]{2,}') as terms from chunks where text is not null"
 
 _P2 = f"""
@@ -51,7 +58,7 @@ select distinct least(chunk_id, neighbour) as chunk_id_1, greatest(chunk_id, nei
 """
 
 
-def _p8() -> str:
+def _p8(end: str) -> str:
     """Sign by sign: the prototypes of whole signs, composed, in a table of the query."""
     from .skeleton import prototypes, skeleton
 
@@ -62,18 +69,23 @@ def _p8() -> str:
 with prototype(sign, shown) as (values {rows}),
 signs as (select doc_id, text, unnest(string_split(nfc_normalize(text), '')) as sign, generate_subscripts(string_split(nfc_normalize(text), ''), 1) as pos from documents where text is not null and text <> ''),
 shown as (select doc_id, nfc_normalize(string_agg(coalesce(p.shown, s.sign), '' order by pos)) as form from signs s left join prototype p on p.sign = s.sign group by 1),
-forms as (select d.doc_id, d.text, coalesce(s.form, '') as form from documents d left join shown s on s.doc_id = d.doc_id where d.text is not null)
-select a.doc_id as doc_id_1, b.doc_id as doc_id_2 from forms a join forms b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text
+forms as (select d.doc_id, d.text, case when d.text is not null then coalesce(s.form, '') end as form from documents d left join shown s on s.doc_id = d.doc_id)
+{end}
 """
 
 
+_LOOK_ALIKE = """select a.doc_id as doc_id_1, b.doc_id as doc_id_2 from forms a join forms b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"select path_1, path_2 from ({_P1}) where lift >= 4",
+        "p1_pairs": f"with found as ({_P1}) select path_1, path_2, together, records_1, records_2, records, round(lift, 6) as lift, round(2 * ({_LLR}), 6) as llr from found",
         "p2_found": f"select term, mark from ({_P2}) where mark <> 'kept'",
         "p2_terms": _P2,
         "p3_found": _P3,
         "p4_found": _P4,
         "p5_found": _P5,
-        "p8_found": _p8(),
+        "p8_found": _p8(_LOOK_ALIKE),
+        "p8_forms": _p8("select doc_id, form from forms"),
     }

@@ -21,6 +21,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair of notes that 8 or more queries recall together, with counts, lift and log-likelihood ratio."""
     found = cooccurrence.path_pairs(table(spark, sf, "hits"), table(spark, sf, "notes"), min_together=8)
+    found = found.withColumns({c: F.round(c, 6) for c in ("lift", "llr")})
     return found.withColumnsRenamed({"item_1": "path_1", "item_2": "path_2"})
 
 
