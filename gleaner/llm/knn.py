@@ -54,13 +54,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _sums(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of the rows of each of k groups the sum."""
+    out = np.zeros((k, *x.shape[1:]))
+    if len(x):
+        order = np.argsort(at, kind="stable")
+        start = np.flatnonzero(np.diff(at[order], prepend=-1))
+        out[at[order][start]] = np.add.reduceat(x[order], start, axis=0)
+    return out
+
+
 def _k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
         at = np.argmax(x @ c.T - (0 if unit else (c * c).sum(1) / 2), axis=1)
         n = np.bincount(at, minlength=k)
-        sums = np.zeros((k, x.shape[1]))
-        np.add.at(sums, at, x)
+        sums = _sums(x, at, k)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), k)])
         if unit:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
@@ -81,23 +90,21 @@ def encode(x: np.ndarray, ix: Index, part: np.ndarray, sweeps: int = 2) -> np.nd
     given the others.
     """
     residual, direction = _blocks(x - ix.parts[part], ix.block_dims), _blocks(x, ix.block_dims)
-    codes = np.empty(residual.shape[:2], np.uint8)
-    along = np.zeros(residual.shape[:2])
-    for m in range(residual.shape[1]):
-        error = residual[:, m, None, :] - ix.books[m][None]
-        codes[:, m] = np.argmin((error**2).sum(2), axis=1)
-        along[:, m] = (error[np.arange(len(x)), codes[:, m]] * direction[:, m]).sum(1)
-    whole = along.sum(1)
+    rows = np.arange(len(x))
+    # of every block and center: squared error, error along x
+    across = (residual**2).sum(2)[:, :, None] - 2 * np.einsum("nmw,mcw->mnc", residual, ix.books).transpose(1, 0, 2) + (ix.books**2).sum(2)[None]
+    parallel = (residual * direction).sum(2)[:, :, None] - np.einsum("nmw,mcw->mnc", direction, ix.books).transpose(1, 0, 2)
+    across, parallel = (np.ascontiguousarray(a.transpose(1, 0, 2)) for a in (across, parallel))
+    codes = np.argmin(across, axis=2).astype(np.uint8)
+    along = np.take_along_axis(parallel, codes[:, :, None], 2)[:, :, 0]
+    whole = along.sum(0)
     for _ in range(sweeps):
-        for m in range(residual.shape[1]):
-            error = residual[:, m, None, :] - ix.books[m][None]
-            parallel = (error * direction[:, m, None, :]).sum(2)
-            loss = (error**2).sum(2) + (ix.eta - 1) * ((whole - along[:, m])[:, None] + parallel) ** 2
-            codes[:, m] = np.argmin(loss, axis=1)
-            whole -= along[:, m]
-            along[:, m] = parallel[np.arange(len(x)), codes[:, m]]
-            whole += along[:, m]
-    return codes
+        for m in range(len(codes)):
+            rest = whole - along[m]
+            codes[m] = np.argmin(across[m] + (ix.eta - 1) * (rest[:, None] + parallel[m]) ** 2, axis=1)
+            along[m] = parallel[m, rows, codes[m]]
+            whole = rest + along[m]
+    return codes.T
 
 
 def _refit(x: np.ndarray, ix: Index, part: np.ndarray, codes: np.ndarray) -> None:
@@ -110,9 +117,8 @@ def _refit(x: np.ndarray, ix: Index, part: np.ndarray, codes: np.ndarray) -> Non
     for m in range(residual.shape[1]):
         d, r = direction[:, m], residual[:, m]
         rest = whole - along[:, m] + (r * d).sum(1)
-        left, right = np.zeros((CENTERS, w, w)), np.zeros((CENTERS, w))
-        np.add.at(left, codes[:, m], eye + (ix.eta - 1) * d[:, :, None] * d[:, None, :])
-        np.add.at(right, codes[:, m], r + (ix.eta - 1) * rest[:, None] * d)
+        left = _sums(eye + (ix.eta - 1) * d[:, :, None] * d[:, None, :], codes[:, m], CENTERS)
+        right = _sums(r + (ix.eta - 1) * rest[:, None] * d, codes[:, m], CENTERS)
         n = np.bincount(codes[:, m], minlength=CENTERS)
         solved = np.linalg.solve(left + 1e-9 * eye, right[:, :, None])[:, :, 0]
         ix.books[m] = np.where(n[:, None] > 0, solved, ix.books[m])
@@ -133,7 +139,7 @@ def fit(x: np.ndarray, rows: int, p: Params) -> Index:
     books = np.stack([_k_means(residual[:, m], CENTERS, 8, rng, False) for m in range(residual.shape[1])])
     ix = Index(parts, books, k, np.bincount(at, minlength=k) * (rows / len(x)), eta, p.block_dims)
     for _ in range(2):
-        _refit(x, ix, at, encode(x, ix, at, 1))
+        _refit(x, ix, at, np.concatenate([encode(x[i : i + 2000], ix, at[i : i + 2000], 1) for i in range(0, len(x), 2000)]))
     if k > 1:  # so many partitions that sample queries find `recall` of their sample neighbours
         q = x[rng.choice(len(x), min(500, len(x)), replace=False)]
         score = q @ x.T
@@ -147,12 +153,12 @@ def fit(x: np.ndarray, rows: int, p: Params) -> Index:
 def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray, width: int) -> np.ndarray:
     """Scores (queries, rows) by tables of the 16 centers, whose sums are read two codes at a time, in whole numbers."""
     tables = np.einsum("qmw,mcw->qmc", _blocks(queries, width), books)
-    low = tables.min(axis=2, keepdims=True)
+    tables -= tables.min(axis=2, keepdims=True)
     if tables.shape[1] % 2:
-        tables, low = np.pad(tables, ((0, 0), (0, 1), (0, 0))), np.pad(low, ((0, 0), (0, 1), (0, 0)))
-    lifted = tables - low
-    pair = (lifted[:, 0::2, None, :] + lifted[:, 1::2, :, None]).reshape(len(queries), -1, 256)
-    pair = np.rint(pair * (255 / max(float(pair.max()), 1e-12))).astype(np.uint8)
+        tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
+    # a query's largest entry becomes 127, so two of them fit a byte
+    whole = np.rint(tables * (127 / np.maximum(tables.max(axis=(1, 2), keepdims=True), 1e-12))).astype(np.uint8)
+    pair = (whole[:, 0::2, None, :] + whole[:, 1::2, :, None]).reshape(len(queries), -1, 256)
     scores = np.zeros((len(queries), len(codes)), np.uint16)
     for m in range(codes.shape[1]):
         scores += pair[:, m].take(codes[:, m], axis=1)
@@ -169,10 +175,16 @@ def best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.nd
     """Of each query the ids and exact cosines of its `k` best other rows; the scan picks what is compared."""
     step = max(1, 2_000_000 // max(1, len(ids)))
     most = min(len(ids), p.rerank + 1)
+    single = vectors.astype(np.float32)
     for i in range(0, len(queries), step):
         q, own = queries[i : i + step], q_ids[i : i + step]
         scores = scan(q, codes, books, p.block_dims)
         pick = np.argpartition(scores, len(ids) - most, axis=1)[:, len(ids) - most :]
+        # in single precision down to a few more than wanted, in double for these
+        close = np.matmul(single[pick], q.astype(np.float32)[:, :, None])[:, :, 0]
+        close[ids[pick] == own[:, None]] = -np.inf
+        few = min(most, p.k + 6)
+        pick = np.take_along_axis(pick, np.argpartition(close, most - few, axis=1)[:, most - few :], 1)
         exact = np.einsum("qd,qrd->qr", q, vectors[pick])
         exact[ids[pick] == own[:, None]] = -np.inf
         order = np.lexsort((ids[pick], -exact), axis=1)[:, : p.k]
