@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import normal_paths
 from ..runtime import materialise, spread
 
 #: Bytes of keys and ids up to which the items' table is broadcast.
@@ -18,35 +18,6 @@ BROADCAST_BYTES = 32_000_000
 HOT_SHARE = 1 / 1000
 
 
-def spelling_key(paths: Column) -> Column:
-    """One spelling of a path: separators of any kind and number as one, none in front, one kind of blank."""
-    one = F.regexp_replace(paths, r"[\\/]+", "/")
-    return F.regexp_replace(F.regexp_replace(one, "^/", ""), r"[\s\p{Zs}]", " ")
-
-
-def _compose(schema: pa.Schema):
-    """NFC of the last column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, str] = {}
-        for b in batches:
-            texts = b.column(b.num_columns - 1).dictionary_encode()
-            words = [x if x is None else seen.get(x) or seen.setdefault(x, unicodedata.normalize("NFC", x)) for x in texts.dictionary.to_pylist()]
-            if len(seen) > 100_000:
-                seen.clear()
-            whole = pa.array(words, pa.string()).take(texts.indices)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], whole], schema=schema)
-
-    return run
-
-
-def composed(df: DataFrame) -> DataFrame:
-    """`df` with its last column, a string, in NFC."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return df.mapInArrow(_compose(to_arrow_schema(df.schema)), df.schema)
-
-
 def _stripes(hot_below: int, parts: int, flush: int):
     """Arrays of items by basket to stripes: item, part, its neighbours and their counts, combined within the task."""
 
@@ -279,7 +250,7 @@ def path_pairs(hits: DataFrame, notes: DataFrame, **how) -> DataFrame:
     Spellings that lead to one file are one note. A path that no note has
     counts for no item; its query still counts. Null paths likewise.
     """
-    keys = composed(notes.select(F.col("path").alias("name"), spelling_key(F.col("path")).alias("key")).where("name is not null").distinct())
+    keys = normal_paths(notes.select(F.col("path").alias("name"), F.col("path").alias("key")).where("name is not null").distinct(), "key")
     names = keys.groupBy("key").agg(F.min("name").alias("name"))
-    rows = composed(spread(hits.select(F.col("query_id"), F.col("note_path"))).select("query_id", spelling_key(F.col("note_path")).alias("key")))
+    rows = normal_paths(spread(hits.select("query_id", F.col("note_path").alias("key"))), "key")
     return item_pairs(rows, "query_id", "key", names=names, **how)
