@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import KEY_COSINE, KEYS_BY_VECTOR, TIERS, final_score, idf, passes_gate, reciprocal_rank, term_weight
 from ..functions.text import hashtags, is_blank, link_variants, normalize_tag, preview, query_terms, strip_emoji, title_of, wikilinks
-from ..runtime import materialise
+from ..runtime import materialise, tasks
 from .index import Index, corpus
 from .tokenize import terms_of
 
@@ -70,7 +70,7 @@ def bm25(index: Index, queries: DataFrame, k: int = 30) -> DataFrame:
     asked = exploded_terms(queries).join(index.term_stats, "term").select("query_id", "term", idf(F.lit(float(n)), F.col("df").cast("double")).alias("idf"))
     asked = materialise(asked, "asked")
     few = F.broadcast if _small(asked) else lambda x: x
-    wanted = index.postings.join(few(asked.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+    wanted = index.postings.join(few(asked.select("term").distinct()), "term", "left_semi").repartition(tasks(index.postings.sparkSession), "chunk_id")
     found = wanted.join(index.chunk_stats, "chunk_id", "left").join(few(asked), "term")
     length = F.coalesce(F.col("length").cast("double"), F.lit(mean))
     scores = found.withColumn("s", F.col("idf") * term_weight(F.col("tf").cast("double"), length, F.lit(mean))).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("bm25_score"))

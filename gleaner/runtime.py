@@ -80,6 +80,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def tasks(spark: SparkSession, least: int = 0) -> int:
+    """How many tasks a shuffle before heavy work should have, at least `least`.
+
+    Given as a number, adaptive execution leaves it alone; otherwise it would
+    merge partitions by their bytes before the work, not by the work.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, least)
+
+
 def default_session(app: str = "gleaner", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings this engine is planned for; given values win."""
     b = SparkSession.builder.appName(app)
@@ -95,4 +104,4 @@ def default_session(app: str = "gleaner", master: str | None = None, **conf: str
     return b.config(map=base | conf).getOrCreate()
 
 
-__all__ = ["table", "scratch_dir", "materialise", "spread", "default_session"]
+__all__ = ["table", "scratch_dir", "materialise", "spread", "tasks", "default_session"]
