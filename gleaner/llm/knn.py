@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..runtime import materialise, spread
+from ..runtime import materialise, spread, tasks
 
 #: (model, dim) groups whose indexes are sent to the tasks together.
 GROUPS_AT_ONCE = 200
+#: Tasks of one scan at most; beyond, a task scans several cells.
+MOST_TASKS = 100_000
 CENTERS = 16  # of each block of dimensions: a code has four bits
 
 
@@ -298,7 +300,9 @@ def _scanned(query_side: DataFrame, coded_rows: DataFrame, indexes: dict[int, In
     # how many blocks each side of a partition needs: one row per partition, at most most_parts per group
     cells = index_side.groupBy("g", "part").agg(F.count("*").alias("n")).join(query_side.groupBy("g", "part").agg(F.count("*").alias("q")), ["g", "part"])
     cells = cells.select("g", "part", F.ceil(F.col("n") / p.block_rows).cast("int").alias("n"), F.ceil(F.col("q") / p.query_rows).cast("int").alias("q"))
-    cells = F.broadcast(materialise(cells, "cells"))
+    cells = materialise(cells, "cells")
+    n_tasks = tasks(coded_rows.sparkSession, min(cells.agg(F.coalesce(F.sum(F.col("n") * F.col("q")), F.lit(0))).first()[0], MOST_TASKS))
+    cells = F.broadcast(cells)
 
     def blocks(side: DataFrame, mine: str, other: str) -> DataFrame:
         own = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int").alias(f"{mine}_block")
@@ -307,7 +311,8 @@ def _scanned(query_side: DataFrame, coded_rows: DataFrame, indexes: dict[int, In
 
     key = ["g", "part", "n_block", "q_block"]
     asked = blocks(query_side, "q", "n").select(*(F.col(c).alias(f"{c}_asked") for c in key), F.col("id").alias("query"), F.col("vector").alias("asked"))
-    scanned = blocks(index_side, "n", "q").groupBy(*key).cogroup(asked.groupBy(*(f"{c}_asked" for c in key))).applyInArrow(_scan_cells(indexes, p, to_arrow_schema(found)), found)
+    asked_key = [f"{c}_asked" for c in key]
+    scanned = blocks(index_side, "n", "q").repartition(n_tasks, *key).groupBy(*key).cogroup(asked.repartition(n_tasks, *asked_key).groupBy(*asked_key)).applyInArrow(_scan_cells(indexes, p, to_arrow_schema(found)), found)
     return scanned.groupBy("g", "id").agg(F.flatten(F.collect_list("near")).alias("near")).select("g", "id", F.slice(F.array_sort("near"), 1, p.k).alias("near"))
 
 
