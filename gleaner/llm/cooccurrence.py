@@ -155,7 +155,9 @@ def item_pairs(
     Baskets above `block` items are cut into blocks, which meet two by two.
     Of these, the up to `min_together` - 1 largest are not expanded at all:
     a pair in enough baskets is also in some other, so they are only
-    looked up for pairs found elsewhere, as bits of each item.
+    looked up for pairs found elsewhere, as bits of each item. With
+    `min_together` 1 there is no such basket: all are expanded, and every pair
+    that occurs comes out.
 
     Null baskets are no baskets; a null item counts for no item but its basket
     counts in `records`. Repeated rows count once. An empty table gives no
@@ -190,12 +192,12 @@ def item_pairs(
         coded = marked.where("hot is not null").select("basket", F.col("hot").alias("id")).unionAll(cold)
     coded = materialise(coded, "coded")
     sizes = coded.groupBy("basket").count().where(F.col("count") > block)
-    large = sizes.orderBy(F.col("count").desc(), "basket").limit(min_together - 1).collect()  # at most min_together - 1 rows
-    aside = [r["basket"] for r in large]
+    largest = sizes.orderBy(F.col("count").desc(), "basket").limit(max(1, min_together - 1)).collect()  # few rows; one at least tells if there are any
+    aside = [r["basket"] for r in largest[: max(0, min_together - 1)]]
 
     flat = coded.where(~F.col("basket").isin(aside)) if aside else coded
-    if aside:
-        large = materialise(sizes.where(~F.col("basket").isin(aside)), "large")
+    if largest:
+        large = materialise(sizes.where(~F.col("basket").isin(aside)) if aside else sizes, "large")
         small = flat.join(large, "basket", "left_anti")
         blocks = flat.join(large, "basket").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
         blocks = blocks.groupBy("basket", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("at")).agg(F.collect_list("id").alias("mine"))

@@ -20,7 +20,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair of notes that 8 or more queries recall together, with counts, lift and log-likelihood ratio."""
-    found = cooccurrence.path_pairs(table(spark, sf, "hits"), table(spark, sf, "notes"), min_together=8)
+    return _note_pairs(spark, sf, 8)
+
+
+def p1_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of notes that any query recalls together, with the columns of `p1_pairs`."""
+    return _note_pairs(spark, sf, 1)
+
+
+def _note_pairs(spark: SparkSession, sf: str, min_together: int) -> DataFrame:
+    found = cooccurrence.path_pairs(table(spark, sf, "hits"), table(spark, sf, "notes"), min_together=min_together)
     found = found.withColumns({c: F.round(c, 6) for c in ("lift", "llr")})
     return found.withColumnsRenamed({"item_1": "path_1", "item_2": "path_2"})
 
@@ -96,5 +105,5 @@ def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_pairs, p2_found, p2_terms, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_nearest, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
+    named = [p1_found, p1_pairs, p1_all, p2_found, p2_terms, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_nearest, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
     return {q.__name__: q for q in named}

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import cooccurrence as co
-from gleaner.llm import termstats
+from gleaner.llm import queries, termstats
 from gleaner.llm.text import terms
+from gleaner.runtime import materialise
 
 
 def brute_pairs(rows, least, lift):
@@ -64,6 +65,25 @@ def test_path_spellings(spark):
     assert found(co.path_pairs(df, notes)) == {("x/y.md", "가/b c.md"): (8, 8, 8, 8)}
 
 
+def test_every_pair_with_baskets_in_blocks(spark, monkeypatch):
+    """With one common basket enough none is looked up, and large baskets are still cut into blocks."""
+    rows = make(3) + [(1000, f"i{i:02}") for i in range(25)]
+    written = []
+    monkeypatch.setattr(co, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    got = co.item_pairs(spark.createDataFrame(rows, "b int, i string"), "b", "i", min_together=1, block=6)
+    assert found(got) == brute_pairs(rows, 1, 0)
+    assert "blocks" in written
+
+
+def test_all_note_pairs(spark, tmp_path):
+    spark.createDataFrame([("a.md",), ("b.md",), ("c.md",)], "path string").write.parquet(f"{tmp_path}/notes.parquet")
+    hits = [(q, p) for q in range(9) for p in ("a.md", "b.md")] + [(0, "c.md"), (9, "c.md")]
+    spark.createDataFrame(hits, "query_id long, note_path string").write.parquet(f"{tmp_path}/hits.parquet")
+    got = queries.queries()["p1_all"](spark, str(tmp_path)).collect()
+    assert {(r["path_1"], r["path_2"]): (r["together"], r["records_1"], r["records_2"], r["records"]) for r in got} == {("a.md", "b.md"): (9, 9, 9, 10), ("a.md", "c.md"): (1, 9, 2, 10), ("b.md", "c.md"): (1, 9, 2, 10)}
+    assert queries.queries()["p1_pairs"](spark, str(tmp_path)).count() == 1
+
+
 def test_no_pairs(spark):
     assert co.item_pairs(spark.createDataFrame([], "b int, i string"), "b", "i").count() == 0
     one = spark.createDataFrame([(1, "a"), (1, "b")], "b int, i string")
