@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,6 +23,8 @@ BITS = 4  # kept of each minimum
 class Params(NamedTuple):
     """`shingle` terms in a row; `threshold` of the Jaccard similarity; `bands` of `rows` minima each.
 
+    Texts below `min_terms` terms are left out; with 0 every row has a class.
+
     A pair at the threshold t is found with probability 1 - (1 - t**rows)**bands;
     bands * rows must be a multiple of 64.
     """
@@ -38,7 +41,7 @@ class Params(NamedTuple):
 
 
 class Near(NamedTuple):
-    """`members`: (id, rep) of every row with enough terms; `links`: (rep_1, rep_2, similarity), rep_1 < rep_2."""
+    """`members`: (id, rep) of every row with `min_terms` terms, or of every row if that is 0; `links`: (rep_1, rep_2, similarity), rep_1 < rep_2."""
 
     members: DataFrame
     links: DataFrame
@@ -56,10 +59,16 @@ _HASHES = _Hashes()
 
 
 def shingles(text: str, n: int, least: int) -> np.ndarray | None:
-    """Sorted 64-bit hashes of the distinct runs of `n` terms; None below `least` terms."""
+    """Sorted 64-bit hashes of the distinct runs of `n` terms; None below `least` terms.
+
+    Fewer than `n` terms are one run; a text without terms stands for itself, composed.
+    """
     words = terms(text)
-    if len(words) < max(n, least):
+    if len(words) < least:
         return None
+    if not words:
+        return np.array([xxhash.xxh3_64_intdigest(unicodedata.normalize("NFC", text), seed=1)], np.uint64)
+    n = min(n, len(words))
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     x = h[: len(h) - n + 1].copy()
     for i in range(1, n):
@@ -112,7 +121,7 @@ def _sign(p: Params, schema: pa.Schema):
             for part in slices(texts, 300_000):
                 at, sets = [], []
                 for i in part:
-                    if texts[i] and (s := shingles(texts[i], p.shingle, p.min_terms)) is not None:
+                    if texts[i] is not None and (s := shingles(texts[i], p.shingle, p.min_terms)) is not None:
                         at.append(i)
                         sets.append(s)
                 if not at:
@@ -184,8 +193,11 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text", pa
     equi-join, which adaptive execution splits where a band key is frequent;
     nothing is capped.
 
-    Null, empty and too short texts (below `min_terms` or `shingle` terms) are
-    in neither table. Keys must be unique; rows repeated whole do no harm. An
+    Texts below `shingle` terms have one shingle, of all their terms, and are
+    thus one class with their copies. Null texts and those below `min_terms`
+    terms are in neither table. With `min_terms` 0 every row is in `members`:
+    texts without any term are one class if equal (composed), each null text is
+    one of its own. Keys must be unique; rows repeated whole do no harm. An
     empty table gives empty tables. Other columns are not read.
     """
     p = params
@@ -199,6 +211,8 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text", pa
     several = materialise(classes.where("n > 1").select("h1", "h2", "rep"), "classes")
     copies = materialise(signed.select("id", "h1", "h2").join(several, ["h1", "h2"]).select("id", "rep").where("id <> rep").distinct(), "copies")
     members = signed.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep")).distinct()
+    if p.min_terms <= 0:
+        members = members.unionAll(source.where("text is null").select("id", F.col("id").alias("rep")).distinct())
     alone = signed.join(copies, "id", "left_anti")
 
     bands = alone.select("id", F.explode("bands").alias("band"))

@@ -60,8 +60,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Every chunk's class and group at the usual five terms and a similarity of 0.8."""
-    groups = neardup.near_duplicate_groups(neardup.near_duplicates(table(spark, sf, "chunks")))
+    """Every chunk's class and group at the usual five terms and a similarity of 0.8, chunks of fewer terms included."""
+    groups = neardup.near_duplicate_groups(neardup.near_duplicates(table(spark, sf, "chunks"), params=neardup.Params(min_terms=0)))
     return groups.withColumnsRenamed({"id": "chunk_id"})
 
 

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gleaner.llm import knn, neardup
+from gleaner.llm import knn, neardup, queries
 
 P = neardup.Params(shingle=3, threshold=0.7, min_terms=5)
 
@@ -57,6 +57,13 @@ def test_many_copies_are_one_class(spark):
     assert near.members.where("rep = 0").count() >= 401
 
 
+def test_every_chunk_has_a_class(spark, tmp_path):
+    rows = [(1, "TODO"), (2, "todo!"), (3, "아멘."), (4, "아멘"), (5, "(빈 절)"), (6, "(빈 절)"), (7, "---"), (8, ""), (9, ""), (10, None), (11, None), (12, "one two"), (13, "two one"), (14, "one two three four five"), (15, "one two three four")]
+    spark.createDataFrame(rows, "chunk_id long, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["chunk_id"]: r["rep"] for r in queries.queries()["p4_groups"](spark, str(tmp_path)).collect()}
+    assert got == {i: {2: 1, 4: 3, 6: 5, 9: 8}.get(i, i) for i, _ in rows}
+
+
 def test_none(spark):
     near = neardup.near_duplicates(spark.createDataFrame([], "chunk_id long, text string"), params=P)
     assert near.members.count() == near.links.count() == neardup.near_duplicate_pairs(near).count() == neardup.near_duplicate_groups(near).count() == 0
