@@ -142,11 +142,15 @@ def _split(limit: int, overlap: int, schema: pa.Schema):
                 head = heading or ""
                 if len(head) >= limit:
                     shown = head[: limit // 2]
+                    own, _ = pieces(head, limit, overlap)
                 else:
-                    shown = head
+                    shown, own = head, []
                 cut, run_length = pieces(text, limit - len(shown), overlap)
                 mark = "forced" if run_length > limit - len(head) else "natural"
-                for i, (s, e, hard) in enumerate(cut):
+                for i, (s, e, hard) in enumerate(own):
+                    rows.append((key, i, 0, 0, head[s:e], "", hard, mark))
+                    size += e - s
+                for i, (s, e, hard) in enumerate(cut, len(own)):
                     rows.append((key, i, s, e, shown if heading is not None else None, text[s:e], hard, mark))
                     size += e - s
                 if size > 4_000_000:
@@ -170,7 +174,9 @@ def split_oversized(df: DataFrame, key: str = "chunk_id", heading: str = "headin
     `hard`. `cut` is ``forced`` for items with such a run, else ``natural``.
 
     Offsets count code points. A null heading is none; one of `limit` or more
-    characters is repeated only with its first half limit. Null texts are not
+    characters comes first and whole, cut like a text into pieces of its own
+    (`start` and `end` 0, `text` empty), and is repeated only with its first
+    half limit. Null texts are not
     longer than the limit. Repeated rows come out again; an empty table gives
     no rows; other columns are not read. Each item is cut on its own, in the
     task that reads it, so nothing is shuffled.

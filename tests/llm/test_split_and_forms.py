@@ -52,6 +52,23 @@ def test_split(spark):
     assert splitting.split_oversized(df.limit(0)).count() == 0
 
 
+def test_overlong_headings(spark):
+    """Nothing of a heading is lost, and an item without text has pieces too."""
+    heads = {1: "h" * 1600, 2: "k" * 1600, 3: "word " * 800, 4: "h" * 1500}
+    texts = {1: "text", 2: "", 3: "more " * 500, 4: "x"}
+    df = spark.createDataFrame([(i, heads[i], texts[i]) for i in heads], "chunk_id long, heading string, text string")
+    got = sorted(splitting.split_oversized(df).collect())
+    for i, head in heads.items():
+        mine = [r for r in got if r["chunk_id"] == i]
+        assert [r["piece"] for r in mine] == list(range(len(mine))) and all(len(r["heading"]) + len(r["text"]) <= 1500 for r in mine)
+        own = [r["heading"] for r in mine if not r["text"]]
+        cut, _ = splitting.pieces(head, 1500, 150)
+        assert own == [head[s:e] for s, e, _ in cut] and cut[-1][1] == len(head)
+        rest = [r for r in mine if r["text"]]
+        assert all(r["heading"] == head[:750] for r in rest) and bool(rest) == bool(texts[i]) and (not rest or rest[-1]["end"] == len(texts[i]))
+    assert {r["chunk_id"] for r in got if r["piece"] == 0} == set(heads)
+
+
 @pytest.mark.parametrize(
     "a, b",
     [("Ⅳ", "IV"), ("ﬁn", "fin"), ("가", "가"), ("ｗｉｄｅ！", "wide!"), ("a b　c", "a b c"), ("z​e­r﻿t", "zert"), ("раѕѕ", "pass"), ("ΑΒΕ", "ABE"), ("é", "é"), ("Å", "Å"), ("ї", "ï"), ("ｱ", "ア"), ("№ ㎏", "No kg"), ("樂", "樂"), ("а́", "á")],
