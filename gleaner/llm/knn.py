@@ -161,7 +161,8 @@ def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray, width: int)
     # a query's largest entry becomes 127, so two of them fit a byte
     whole = np.rint(tables * (127 / np.maximum(tables.max(axis=(1, 2), keepdims=True), 1e-12))).astype(np.uint8)
     pair = (whole[:, 0::2, None, :] + whole[:, 1::2, :, None]).reshape(len(queries), -1, 256)
-    scores = np.zeros((len(queries), len(codes)), np.uint16)
+    # a byte of codes adds 254 at most; beyond 258 of them two bytes would wrap
+    scores = np.zeros((len(queries), len(codes)), np.uint16 if 254 * pair.shape[1] <= 65_535 else np.uint32)
     for m in range(codes.shape[1]):
         scores += pair[:, m].take(codes[:, m], axis=1)
     return scores

@@ -145,3 +145,12 @@ def test_scan_is_the_sum_of_table_entries():
     true = np.stack([sum(q[:, 2 * m : 2 * m + 2] @ books[m].T[:, codes[:, m]] for m in range(5))])[0]
     got = knn.scan(q, knn.pack(codes), books, 2).astype(float)
     assert all(np.corrcoef(a, b)[0, 1] > 0.999 for a, b in zip(true, got))
+
+
+def test_scan_of_many_dimensions_does_not_wrap():
+    """1,536 dimensions of equal weight: the best row's sum is beyond two bytes."""
+    blocks = 768
+    books = np.repeat(np.linspace(-1, 1, 16)[None, :, None], blocks, 0) * np.ones(2)
+    codes = np.array([[15] * blocks, [8] * blocks, [0] * blocks], np.uint8)
+    got = knn.scan(np.ones((1, 2 * blocks)), knn.pack(codes), books, 2)[0]
+    assert got[0] > got[1] > got[2] and got[0] == 127 * blocks
