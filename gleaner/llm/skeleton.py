@@ -14,14 +14,20 @@ from pyspark.sql import types as T
 
 from ..runtime import materialise, spread
 
-#: Letters of the Cyrillic and Greek alphabets drawn like a Latin one, and that one.
+#: Letters drawn like one of another alphabet, and that one: the Latin one, or the Greek one if no Latin letter is.
 LOOKALIKES = {
     # Cyrillic, small
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
+    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y",
     # Cyrillic, capital
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y",
+    "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "\u04c0": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y",
     # Greek
     "ο": "o", "ϳ": "j", "ϲ": "c", "Ϲ": "C", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϳ": "J",
+    # Cyrillic drawn like Greek
+    "Г": "Γ", "П": "Π", "Ф": "Φ", "Ѱ": "Ψ", "ѱ": "ψ",
+    # Armenian
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮟ": "b", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
 }
 #: Compatibility forms that show the same signs; raised, lowered, encircled and fraction forms can be told apart.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<square>", "<small>", "<font>", "<vertical>", "<initial>", "<medial>", "<final>", "<isolated>"}

@@ -82,6 +82,16 @@ def test_apart(a, b):
     assert sk.skeleton(a) != sk.skeleton(b)
 
 
+@pytest.mark.parametrize("a, b", [("\u04c0", "I"), ("\u04af", "y"), ("Г", "Γ"), ("П", "Π"), ("Ф", "Φ"), ("\u0470", "Ψ"), ("\u0471", "ψ"), ("\u0585\u057d", "ou"), ("\u0555\u054d", "OU"), ("\u0570\u0578", "hn"), ("\u13a0\u13aa\u13df\u13c3", "DACZ"), ("Ѓ", "Γ\u0301")])
+def test_further_alphabets(a, b):
+    assert a != b and sk.skeleton(a) == sk.skeleton(b)
+
+
+@pytest.mark.parametrize("a, b", [("\u04c0", "l"), ("Г", "T"), ("п", "π"), ("Д", "Δ"), ("Л", "Λ"), ("\u13d2", "R")])
+def test_further_letters_apart(a, b):
+    assert sk.skeleton(a) != sk.skeleton(b)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40))
 def test_one_form(text):
