@@ -50,6 +50,11 @@ def recall(index: ix.Index, queries: DataFrame, mode: str = "semantic", model: s
     return present.present(hits, relevance, pinned)
 
 
+def all_paths(semantic_hits: DataFrame, tag_hits: DataFrame) -> DataFrame:
+    """``query_id, note_path, mode``: the notes of both modes' hits put together, one row per hit; a note that both find comes twice."""
+    return semantic_hits.select("query_id", "note_path", F.lit("semantic").alias("mode")).unionAll(tag_hits.select("query_id", "note_path", F.lit("tag").alias("mode")))
+
+
 class Engine:
     """Settings, a store and an embedder together."""
 
@@ -110,3 +115,7 @@ class Engine:
             synonyms = [(k, w) for k, words in self.settings.synonyms.items() for w in words]
             how = {"synonyms": self.spark.createDataFrame(synonyms, "key string, synonym string") if synonyms else None, "vectors": self.embedder is not None}
         return recall(self.store.load_index(), asked, mode, model, self.settings.relevance, pinned, **how)
+
+    def all_paths(self, queries: DataFrame) -> DataFrame:
+        """`all_paths` of what `recall` gives in either mode, whatever the setting."""
+        return all_paths(self.recall(queries, "semantic"), self.recall(queries, "tag"))

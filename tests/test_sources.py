@@ -134,6 +134,17 @@ def test_engine(spark, tmp_path):
     assert prepare(q.withColumn("text", F.lit("short"))).count() == 0
 
 
+def test_all_paths(spark, tmp_path):
+    notes = spark.createDataFrame([("n1.md", 1, 1, "the river runs through green hills #water"), ("n2.md", 1, 1, "bread and wine #water"), ("n3.md", 1, 1, "a river of water and green hills")], "path string, mtime long, size long, content string")
+    engine = Engine(spark, store.Store(spark, str(tmp_path / "e")), config.Settings(folders=(config.Folder(""),)))
+    engine.reindex(notes)
+    q = spark.createDataFrame([(1, "river water green hills", None)], "query_id long, text string, source_path string")
+    got = [(r["note_path"], r["mode"]) for r in engine.all_paths(q).collect()]
+    parts = {m: sorted(r["note_path"] for r in engine.recall(q, m).collect()) for m in ("semantic", "tag")}
+    assert sorted(got) == sorted((p, m) for m, ps in parts.items() for p in ps)
+    assert ("n2.md", "tag") in got and ("n3.md", "semantic") in got and {("n1.md", "tag"), ("n1.md", "semantic")} <= set(got)
+
+
 EVENTS = "session string, event_id int, ts timestamp, value string"
 
 
