@@ -16,6 +16,8 @@ from ..runtime import materialise, spread
 BROADCAST_BYTES = 32_000_000
 #: An item or basket beyond this share of the rows is handled apart; there are at most as many as its inverse.
 HOT_SHARE = 1 / 1000
+#: Fixed value: the log-likelihood ratio that chance alone exceeds once in a thousand (chi-square, one degree of freedom).
+SIGNIFICANT = 10.828
 
 
 def _stripes(hot_below: int, parts: int, flush: int):
@@ -136,11 +138,13 @@ def log_likelihood_ratio(c: Column, a: Column, b: Column, n: Column) -> Column:
 def item_pairs(
     rows: DataFrame, basket: str, item: str, *, names: DataFrame | None = None, min_together: int = 8, min_lift: float = 0.0, block: int = 2048, parts: int = 64, hot_rows: int = 10_000, flush: int = 1_000_000
 ) -> DataFrame:
-    """Pairs of items that at least `min_together` baskets hold: ``item_1, item_2, together, records_1, records_2, records, lift, llr``.
+    """Pairs of items that at least `min_together` baskets hold: ``item_1, item_2, together, records_1, records_2, records, lift, llr, significant``.
 
     `records_1`, `records_2` are the baskets that hold each item, `records`
     all distinct baskets, `lift` how many times more often the pair occurs
     than by chance (at least `min_lift`), `llr` the log-likelihood ratio.
+    `significant` are pairs above chance (lift over 1) whose ratio is SIGNIFICANT
+    or more; the others come out too.
     Items are compared by value, ``item_1 < item_2``. `names` (columns ``key,
     name``, keys unique) restricts the items to its keys and gives the names that come out.
 
@@ -243,7 +247,7 @@ def item_pairs(
         n.alias("records"),
         lift.alias("lift"),
         log_likelihood_ratio(c, a, b, n).alias("llr"),
-    )
+    ).withColumn("significant", (F.col("llr") >= SIGNIFICANT) & (F.col("lift") > 1))
 
 
 def path_pairs(hits: DataFrame, notes: DataFrame, **how) -> DataFrame:

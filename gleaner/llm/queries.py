@@ -20,11 +20,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair of notes that 8 or more queries recall together, with counts, lift and log-likelihood ratio."""
-    return _note_pairs(spark, sf, 8)
+    return _note_pairs(spark, sf, 8).drop("significant")
 
 
 def p1_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pair of notes that any query recalls together, with the columns of `p1_pairs`."""
+    """Every pair of notes that any query recalls together, with the columns of `p1_pairs` and a mark on those significantly above chance."""
     return _note_pairs(spark, sf, 1)
 
 

@@ -58,6 +58,15 @@ def test_large_baskets_hot_items_and_shuffle_joins(spark, monkeypatch):
     assert math.isclose(row["llr"], llr, rel_tol=1e-9) and math.isclose(row["lift"], c * n / (a * b))
 
 
+def test_significance(spark):
+    """Marked are pairs that chance hardly gives; not those at chance, nor those far below it."""
+    rows = [(b, i) for b in range(20) for i in "xy"] + [(b, "z") for b in range(0, 200, 2)] + [(b, "p" if b % 2 else "q") for b in range(200)] + [(1, "q")]
+    got = {(r["item_1"], r["item_2"]): r for r in co.item_pairs(spark.createDataFrame(rows, "b int, i string"), "b", "i", min_together=1).collect()}
+    assert got["x", "y"]["significant"] and not got["x", "z"]["significant"]
+    assert not got["p", "q"]["significant"] and got["p", "q"]["llr"] > co.SIGNIFICANT
+    assert all(r["significant"] == (r["llr"] >= 10.828 and r["lift"] > 1) for r in got.values())
+
+
 def test_path_spellings(spark):
     notes = spark.createDataFrame([("가/b c.md",), ("가/b c.md",), ("x/y.md",), (None,)], "path string")
     hits = [(q, p) for q in range(8) for p in ("/가//b c.md", "x\\y.md", "gone.md")] + [(1, None), (None, "x/y.md")]
