@@ -230,7 +230,7 @@ def tag_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logged_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """What queries recalled, a row logged again once, with titles."""
+    """What queries recalled, a row logged again once, with titles; without hits of notes deleted since (`chunk_id` null)."""
     seen = table(spark, sf, "hits").where("chunk_id is not null").groupBy("query_id", "chunk_id")
     rows = seen.agg(F.max_by(F.struct("note_path", "heading", "category_id", "note_weight", "rrf_score", "final_score", "bm25_rank", "vector_rank", "heading_matched", "matched_query_terms", "query_terms_total"), F.struct("logged_at", "note_path")).alias("h"))
     return rows.select("query_id", "chunk_id", "h.*").withColumn("note_title", text.title_of(F.col("note_path")))
@@ -244,37 +244,37 @@ def hit_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedupe_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-12, AGG-10, WIN-03/04, FN-16 over the recall log."""
+    """OP-12, AGG-10, WIN-03/04, FN-16 over the recall log (`logged_hits`, so without notes deleted since)."""
     return present.dedupe(logged_hits(spark, sf)).select("query_id", "chunk_id", "note_path", r6("final_score").alias("final_score"))
 
 
 def shown_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-13, FLT-10/11/12, WIN-05/09: cut at relevance 7, chunks of the inbox pinned, split into tabs."""
+    """OP-13, FLT-10/11/12, WIN-05/09: cut at relevance 7, chunks of the inbox pinned, split into tabs; without notes deleted since."""
     pinned = table(spark, sf, "chunks").where(F.col("note_path").startswith("Inbox/")).select("chunk_id")
     shown = present.present(logged_hits(spark, sf), 7, pinned)
     return shown.select("query_id", "chunk_id", "tab", F.col("place").cast("long").alias("place"))
 
 
 def tab_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-19: hits by tab."""
+    """AGG-19: hits by tab, without notes deleted since."""
     return present.tab_counts(present.present(logged_hits(spark, sf)))
 
 
 def fused_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """FN-32, AGG-08: scores anew from the ranks in the log."""
+    """FN-32, AGG-08: scores anew from the ranks in the log, without notes deleted since."""
     part = lambda c: F.coalesce(scoring.reciprocal_rank(F.col(c)), F.lit(0.0))
     return logged_hits(spark, sf).select("query_id", "chunk_id", r6(part("bm25_rank") + part("vector_rank")).alias("rrf_score"))
 
 
 def hit_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """PRJ-01/06, SNK-15: titles, flags and links of logged hits."""
+    """PRJ-01/06, SNK-15: titles, flags and links of logged hits, without notes deleted since."""
     rows = logged_hits(spark, sf)
     marks = text.flags(F.col("bm25_rank"), F.col("vector_rank"), F.col("heading_matched"), F.col("matched_query_terms"), F.col("query_terms_total"))
     return rows.select("query_id", "chunk_id", "note_title", marks.alias("flags"), text.wikilink(F.col("note_title"), F.col("heading")).alias("link"))
 
 
 def query_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-21: hits of each query by way of finding."""
+    """AGG-21: hits of each query by way of finding, without notes deleted since."""
     return logged_hits(spark, sf).groupBy("query_id").agg(F.count("*").alias("hits"), F.count("bm25_rank").alias("by_terms"), F.count("vector_rank").alias("by_vectors"))
 
 
