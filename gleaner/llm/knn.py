@@ -1,4 +1,4 @@
-"""The most similar vectors of every vector: partitions, score-aware 4-bit codes, table scans, exact reranking."""
+"""The most similar vectors of every vector: tiles, partitions, score-aware 4-bit codes, table scans, exact reranking."""
 
 from __future__ import annotations
 
@@ -8,50 +8,64 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import materialise, spread, tasks
 
-#: (model, dim) groups whose indexes are sent to the tasks together.
-GROUPS_AT_ONCE = 200
-#: Tasks of one scan at most; beyond, a task scans several cells.
+#: Bytes of centers and centers of blocks that are sent to the tasks at once, and bytes of one task's rows or queries.
+MODEL_BYTES, TILE_BYTES = 128_000_000, 64_000_000
+#: Rows of the table of copies up to which it is broadcast.
+BROADCAST_ROWS = 200_000
+#: Levels of tiles; what is too large then is cut into blocks by hash.
+LEVELS = 4
+#: Tasks of one scan at most; beyond, a task scans several tiles.
 MOST_TASKS = 100_000
 CENTERS = 16  # of each block of dimensions: a code has four bits
 
 
 class Params(NamedTuple):
-    """`sample`: rows per (model, dim) at most, about, that an index is fitted on; `per_part` rows to a partition;
-    `block_dims` dimensions to a code; `threshold` T of the score-aware loss; `rerank` rows a query compares
-    exactly in each partition; `recall` that the number of probed partitions is chosen for on the sample;
-    `block_rows` and `query_rows` the most index rows and queries, about, that one task scans at once."""
+    """`sample`: rows at most, about, that the centers of one level are fitted on; `tile_rows` rows to a tile and
+    `per_part` to a partition within it; `block_dims` dimensions to a code; `threshold` T of the score-aware loss;
+    `rerank` rows a query compares exactly in each partition; `recall` that the numbers of tiles and partitions
+    asked are chosen for; `query_rows` the most queries, about, that one task scans a tile for."""
 
     k: int = 10
     sample: int = 20_000
+    tile_rows: int = 16_000
     per_part: int = 2_000
-    most_parts: int = 1_024
     block_dims: int = 2
     threshold: float = 0.2
     rerank: int = 40
     recall: float = 0.97
-    block_rows: int = 4_000
-    query_rows: int = 16_000
+    query_rows: int = 64_000
+
+    @property
+    def each(self) -> float:
+        """The recall of each of both choices, of tiles and of partitions."""
+        return self.recall**0.5
 
 
 class Index(NamedTuple):
-    """What one (model, dim) was fitted to: unit `parts`, `books` (blocks x 16 x block_dims), partitions to `probe`
-    at least, the rows that each partition probably gets."""
+    """What codes are made with: unit `parts`, `books` (blocks x 16 x block_dims), the weight of error along the vector."""
 
     parts: np.ndarray
     books: np.ndarray
-    probe: int
-    rows: np.ndarray
     eta: float
     block_dims: int
 
 
+class Level(NamedTuple):
+    """The unit centers that part the rows of a tile, the number of the first, and how many of them a query asks."""
+
+    centers: np.ndarray
+    first: int
+    ask: int
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -130,42 +144,63 @@ def _refit(x: np.ndarray, ix: Index, part: np.ndarray, codes: np.ndarray) -> Non
 
 
 def fit(x: np.ndarray, rows: int, p: Params) -> Index:
-    """An index for about `rows` unit vectors like the sample `x`."""
+    """Partitions and block centers for about `rows` unit vectors like the sample `x`."""
     rng = np.random.default_rng(7)
     dim = x.shape[1]
-    k = int(min(max(1, round(rows / p.per_part)), p.most_parts, max(1, len(x) // 20)))
+    k = int(min(max(1, round(rows / p.per_part)), max(1, len(x) // 20)))
     parts = _k_means(x, k, 10, rng, True)
     eta = max(1.0, (dim - 1) * p.threshold**2 / (1 - p.threshold**2))
     at = np.argmax(x @ parts.T, axis=1)
     residual = _blocks(x - parts[at], p.block_dims)
     books = np.stack([_k_means(residual[:, m], CENTERS, 8, rng, False) for m in range(residual.shape[1])])
-    ix = Index(parts, books, k, np.bincount(at, minlength=k) * (rows / len(x)), eta, p.block_dims)
+    ix = Index(parts, books, eta, p.block_dims)
     for _ in range(2):
         _refit(x, ix, at, np.concatenate([encode(x[i : i + 2000], ix, at[i : i + 2000], 1) for i in range(0, len(x), 2000)]))
-    if k > 1:  # so many partitions that sample queries find `recall` of their sample neighbours
-        q = x[rng.choice(len(x), min(500, len(x)), replace=False)]
-        score = q @ x.T
-        near = np.argsort(-score, axis=1)[:, 1 : p.k + 1]
-        order = np.argsort(np.argsort(-(q @ parts.T), axis=1), axis=1)
-        needed = np.take_along_axis(order, at[near], axis=1).ravel()
-        ix = ix._replace(probe=int(min(k, np.quantile(needed, p.recall) + 1)))
     return ix
 
 
+def fit_level(x: np.ndarray, children: int, p: Params) -> Level:
+    """Centers for so many tiles (at most a twentieth of the sample `x`), and how many of them reach the wanted recall."""
+    rng = np.random.default_rng(11)
+    n = int(min(max(1, children), max(1, len(x) // 20)))
+    centers = _k_means(x, n, 10, rng, True)
+    at = np.argmax(x @ centers.T, axis=1)
+    queries = rng.choice(len(x), min(500, len(x)), replace=False)
+    return Level(centers, 0, _to_ask(x[queries], queries, x, np.arange(len(x)), at, centers, p))
+
+
+def _to_ask(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, at: np.ndarray, centers: np.ndarray, p: Params) -> int:
+    """In so many partitions, the nearest first, sample queries find the wanted share of their `k` best rows of `x`."""
+    if len(centers) == 1 or len(x) < 2:
+        return len(centers)
+    score = q @ x.T
+    score[ids[None, :] == q_ids[:, None]] = -np.inf
+    k = min(p.k, len(x) - 1)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(q @ centers.T), axis=1), axis=1)
+    return int(min(len(centers), np.quantile(np.take_along_axis(place, at[near], axis=1), p.each) + 1))
+
+
 def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray, width: int) -> np.ndarray:
-    """Scores (queries, rows) by tables of the 16 centers, whose sums are read two codes at a time, in whole numbers."""
+    """Scores (queries, rows): sums of entries of each query's tables of 16, in whole numbers.
+
+    `codes` has two codes to a byte. A byte's entry of the two tables is added up for all queries
+    at once: the tables lie side by side, so what is read for a row is one run of memory.
+    """
     tables = np.einsum("qmw,mcw->qmc", _blocks(queries, width), books)
     tables -= tables.min(axis=2, keepdims=True)
     if tables.shape[1] % 2:
         tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
-    # a query's largest entry becomes 127, so two of them fit a byte
-    whole = np.rint(tables * (127 / np.maximum(tables.max(axis=(1, 2), keepdims=True), 1e-12))).astype(np.uint8)
-    pair = (whole[:, 0::2, None, :] + whole[:, 1::2, :, None]).reshape(len(queries), -1, 256)
-    # a byte of codes adds 254 at most; beyond 258 of them two bytes would wrap
-    scores = np.zeros((len(queries), len(codes)), np.uint16 if 254 * pair.shape[1] <= 65_535 else np.uint32)
+    # a query's largest entry becomes 127; a byte of codes adds 254 at most, and beyond 258 of them two bytes would wrap
+    kind = np.uint16 if 127 * tables.shape[1] <= 65_535 else np.uint32
+    whole = np.rint(tables * (127 / np.maximum(tables.max(axis=(1, 2), keepdims=True), 1e-12))).astype(kind)
+    whole = np.ascontiguousarray(whole.transpose(1, 2, 0))
+    scores, read = np.zeros((len(codes), len(queries)), kind), np.empty((len(codes), len(queries)), kind)
     for m in range(codes.shape[1]):
-        scores += pair[:, m].take(codes[:, m], axis=1)
-    return scores
+        both = (whole[2 * m + 1][:, None, :] + whole[2 * m][None, :, :]).reshape(256, -1)
+        np.take(both, codes[:, m].astype(np.intp), axis=0, out=read, mode="clip")
+        scores += read
+    return scores.T
 
 
 def pack(codes: np.ndarray) -> np.ndarray:
@@ -174,89 +209,137 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | codes[:, 1::2] << 4
 
 
-def best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each query the ids and exact cosines of its `k` best other rows; the scan picks what is compared."""
-    step = max(1, 2_000_000 // max(1, len(ids)))
-    most = min(len(ids), p.rerank + 1)
-    single = vectors.astype(np.float32)
-    for i in range(0, len(queries), step):
-        q, own = queries[i : i + step], q_ids[i : i + step]
-        scores = scan(q, codes, books, p.block_dims)
-        pick = np.argpartition(scores, len(ids) - most, axis=1)[:, len(ids) - most :]
-        # in single precision down to a few more than wanted, in double for these
-        close = np.matmul(single[pick], q.astype(np.float32)[:, :, None])[:, :, 0]
-        close[ids[pick] == own[:, None]] = -np.inf
-        few = min(most, p.k + 6)
-        pick = np.take_along_axis(pick, np.argpartition(close, most - few, axis=1)[:, most - few :], 1)
-        exact = np.einsum("qd,qrd->qr", q, vectors[pick])
-        exact[ids[pick] == own[:, None]] = -np.inf
-        order = np.lexsort((ids[pick], -exact), axis=1)[:, : p.k]
-        yield own, np.take_along_axis(ids[pick], order, 1), np.take_along_axis(exact, order, 1)
+def _picked(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the `most` best rows of every query and of all that tie with the last."""
+    scores = np.ascontiguousarray(scores)
+    bound = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
+    return np.nonzero(scores >= bound[:, None])
+
+
+def best(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, ix: Index, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and cosines (queries, k) of each query's best other rows of a tile, all unit vectors; -inf where there are fewer.
+
+    The tile is parted once more; every query asks the partitions that sample
+    queries need. Each is scanned by its codes, the `rerank` best are compared
+    exactly, and a query keeps its `k` best so far.
+    """
+    rng = np.random.default_rng(13)
+    n = max(1, round(len(x) / p.per_part))
+    some = rng.choice(len(x), min(len(x), max(2000, 20 * n)), replace=False)
+    centers = _k_means(x[some], n, 6, rng, True)
+    at = np.concatenate([np.argmax(x[i : i + 16_000] @ centers.T, axis=1) for i in range(0, len(x), 16_000)])
+    tried = rng.choice(len(queries), min(300, len(queries)), replace=False)
+    ask = _to_ask(queries[tried], q_ids[tried], x[some[:4000]], ids[some[:4000]], at[some[:4000]], centers, p)
+    order = np.argsort(at, kind="stable")
+    x, ids, at = x[order], ids[order], at[order]
+    ix = ix._replace(parts=centers)
+    codes = pack(np.concatenate([encode(x[i : i + 2000], ix, at[i : i + 2000]) for i in range(0, len(x), 2000)]))
+    asked = np.concatenate([np.argpartition(-(queries[i : i + 16_000] @ centers.T), ask - 1, axis=1)[:, :ask] for i in range(0, len(queries), 16_000)])
+    by_part = np.argsort(asked, axis=None, kind="stable")
+    start = np.searchsorted(asked.ravel()[by_part], np.arange(n + 1))
+    by_part //= ask
+
+    top_id, top = np.full((len(queries), p.k), -1), np.full((len(queries), p.k), -np.inf)
+    edge = np.searchsorted(at, np.arange(n + 1))
+    for j in range(n):
+        mine, own = x[edge[j] : edge[j + 1]], ids[edge[j] : edge[j + 1]]
+        step = int(min(512, max(16, 4_000_000 // max(1, len(mine)))))
+        for i in range(start[j], start[j + 1] if len(mine) else start[j], step):
+            at_q = by_part[i : min(i + step, start[j + 1])]
+            q = queries[at_q]
+            row, col = _picked(scan(q, codes[edge[j] : edge[j + 1]], ix.books, p.block_dims), min(len(mine), p.rerank + 1))
+            cosine = np.einsum("ij,ij->i", q[row], mine[col])
+            cosine[own[col] == q_ids[at_q][row]] = -np.inf
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            wide = np.full((len(q), p.k + int(place.max()) + 1), -np.inf)
+            wide_id = np.full(wide.shape, -1)
+            wide[:, : p.k], wide_id[:, : p.k] = top[at_q], top_id[at_q]
+            wide[row, p.k + place], wide_id[row, p.k + place] = cosine, own[col]
+            first = np.lexsort((wide_id, -wide), axis=1)[:, : p.k]
+            top[at_q], top_id[at_q] = np.take_along_axis(wide, first, 1), np.take_along_axis(wide_id, first, 1)
+    return top_id, top
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of float lists of one length as unit rows in double precision."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64))
 
 
 def _fit_groups(p: Params, rows: dict[int, int]):
     def run(t: pa.Table) -> pa.Table:
         g = t.column("g")[0].as_py()
-        x = _unit(np.array(t.column("vector").to_pylist(), np.float64))
-        return pa.table({"g": pa.array([g], pa.int32()), "model": pa.array([pickle.dumps(fit(x, rows[g], p))], pa.binary())})
+        return pa.table({"g": pa.array([g], pa.int32()), "model": pa.array([pickle.dumps(fit(_vectors(t.column("vector")), rows[g], p))], pa.binary())})
 
     return run
 
 
-def probes(order: np.ndarray, ix: Index, k: int) -> list[np.ndarray]:
-    """Of each row's partitions, nearest first, those to ask: so many that three times the rows wanted are probably there."""
-    enough = (np.cumsum(ix.rows[order], axis=1) < 3 * (k + 1)).sum(1) + 1
-    return [o[:n] for o, n in zip(order.astype(np.int32), np.maximum(enough, ix.probe))]
+def _fit_levels(p: Params, tiles: dict[int, int]):
+    def run(t: pa.Table) -> pa.Table:
+        g, tile, n = (t.column(c)[0].as_py() for c in ("g", "tile", "n"))
+        return pa.table({"g": pa.array([g], pa.int32()), "tile": pa.array([tile], pa.int64()), "model": pa.array([pickle.dumps(fit_level(_vectors(t.column("vector")), round(n / tiles[g]), p))], pa.binary())})
+
+    return run
+
 
+def _route(levels: dict[tuple[int, int], Level], schema: pa.Schema):
+    """Rows of parted tiles to their child tiles; who asks such a tile asks the nearest of its children."""
 
-def _encode(indexes: dict[int, Index], k: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            groups = b.column("g").to_numpy()
-            for g in np.unique(groups):
-                ix = indexes[int(g)]
-                at = np.flatnonzero(groups == g)
-                for i in range(0, len(at), 2000):
-                    rows = b.take(pa.array(at[i : i + 2000]))
-                    x = _unit(rows.column("vector").flatten().to_numpy().reshape(rows.num_rows, -1).astype(np.float64))
-                    order = np.argsort(-(x @ ix.parts.T), axis=1, kind="stable")
-                    codes = pack(encode(x, ix, order[:, 0]))
-                    unit = x.astype("<f8")
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column("g"), rows.column("id"), pa.array([v.tobytes() for v in unit.astype("<f4")], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(order[:, 0].astype(np.int32)), pa.array(probes(order, ix, k), pa.list_(pa.int32()))],
-                        schema=schema,
-                    )
+            g, tile = b.column("g").to_numpy(), b.column("tile").to_numpy().copy()
+            asked = b.column("asked")
+            who = np.repeat(np.arange(b.num_rows), asked.value_lengths().to_numpy())
+            what = asked.flatten().to_numpy()
+            kept, more = np.ones(len(what), bool), []
+            for group, t in set(zip(g[who].tolist(), what.tolist())) & levels.keys():
+                level = levels[group, t]
+                at = np.flatnonzero((what == t) & (g[who] == group))
+                near = _vectors(b.column("vector").take(pa.array(who[at]))) @ level.centers.T
+                nearest = level.first + np.argsort(-near, axis=1, kind="stable")[:, : level.ask]
+                kept[at] = False
+                more.append((np.repeat(who[at], nearest.shape[1]), nearest.ravel()))
+                own = tile[who[at]] == t
+                tile[who[at][own]] = nearest[own, 0]
+            who, what = np.concatenate([who[kept], *(w for w, _ in more)]), np.concatenate([what[kept], *(t for _, t in more)])
+            order = np.argsort(who, kind="stable")
+            cut = np.searchsorted(who[order], np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("id"), b.column("vector"), pa.array(tile), pa.ListArray.from_arrays(pa.array(cut), pa.array(what[order].astype(np.int64)))], schema=schema)
 
     return run
 
 
-def _scan_cells(indexes: dict[int, Index], p: Params, schema: pa.Schema):
-    def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+def _scan_tile(indexes: dict[int, Index], p: Params, schema: pa.Schema):
+    def run(t: pa.Table) -> pa.Table:
+        role, ids = t.column("role").to_numpy(), t.column("id").to_numpy()
+        held, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        if not len(held) or not len(asks):
             return schema.empty_table()
-        ix = indexes[left.column("g")[0].as_py()]
-        codes, vectors, ids = matrix(left.column("code"), np.uint8), matrix(left.column("vector"), "<f4").astype(np.float64), left.column("id").to_numpy()
-        queries = matrix(right.column("asked"), "<f4").astype(np.float64)
-        out = []
-        for own, near, cosine in best(queries, right.column("query").to_numpy(), vectors, ids, codes, ix.books, p):
-            ok = np.isfinite(cosine)
-            cut = pa.array(np.concatenate(([0], np.cumsum(ok.sum(1)))).astype(np.int32))
-            near_list = pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays([pa.array(-cosine[ok]), pa.array(near[ok])], names=["far", "id"]))
-            out.append(pa.table([pa.array(np.full(len(own), left.column("g")[0].as_py(), np.int32)), pa.array(own), near_list], schema=schema))
-        return pa.concat_tables(out)
+        g, x = t.column("g")[0].as_py(), _vectors(t.column("vector"))
+        near, cosine = best(x[asks], ids[asks], x[held], ids[held], indexes[g], p)
+        ok = np.isfinite(cosine)
+        return pa.table([pa.array(np.full(ok.sum(), g, np.int32)), pa.array(np.repeat(ids[asks], ok.sum(1))), pa.array(near[ok]), pa.array(cosine[ok])], schema=schema)
 
     return run
 
 
 def usable(df: DataFrame, id: str, model: str, dim: str, vector: str) -> DataFrame:
-    """``id, model, dim, vector``: one row for every id, model and dim with a usable vector; of differing ones the smallest."""
+    """``id, model, dim, vector``: one row for every id, model and dim with a usable vector; of differing ones the smallest.
+
+    Only ids are shuffled to find those that come twice, and only the vectors of these.
+    """
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(model).alias("model"), F.col(dim).cast("int").alias("dim"), F.col(vector).cast("array<float>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = rows.where("id is not null and model is not null and vector is not null and size(vector) = dim and dim > 0").where(finite & F.exists("vector", lambda x: x != 0))
-    return ok.groupBy("id", "model", "dim").agg(F.min("vector").alias("vector"))
+    key = ["id", "model", "dim"]
+    twice = _few(materialise(ok.groupBy(*key).count().where("count > 1").select(*key), "twice"))
+    single = ok.join(twice, key, "left_semi").groupBy(*key).agg(F.min("vector").alias("vector"))
+    return ok.join(twice, key, "left_anti").select(*key, "vector").unionAll(single.select(*key, "vector"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def nearest(df: DataFrame, id: str = "chunk_id", model: str = "model", dim: str = "dim", vector: str = "vector", params: Params = Params()) -> DataFrame:
@@ -266,15 +349,23 @@ def nearest(df: DataFrame, id: str = "chunk_id", model: str = "model", dim: str
     and its id and model are not null, it has `dim` elements, all of them
     finite numbers, and is not all zero; a row delivered twice counts once.
 
-    For each (model, dim) an index is fitted on a bounded sample: unit
-    centroids that part the rows, and 16 centers per block of dimensions,
-    found with the score-aware loss, which weighs error along the vector
-    `eta` times as much as error across it. Every row is coded and queries
-    every partition that the sample says it needs. A task scans a block of
-    coded rows for a block of queries by table sums and compares the `rerank`
-    best exactly; the cosine that comes out is exact. Partitions, however
-    large, are cut into blocks of bounded size on both sides, so copies of
-    one vector don't meet in one task.
+    Equal vectors are one class, searched once: its rows take each other, by
+    falling cosine and rising id, and what the class found.
+
+    Unit centers fitted on a bounded sample part the rows of a (model, dim)
+    into tiles of about `tile_rows`; a tile too large after that is parted
+    again by a sample of its own rows, so tiles grow in number, not in size,
+    and what a level's centers take is the data's bytes over `tile_rows`
+    (which rises where that would pass MODEL_BYTES). Every row asks the tiles
+    that samples say it needs and is sent to each once. There the tile is
+    parted into partitions of `per_part`, its rows are coded by 16 centers per
+    block of dimensions (found with the score-aware loss, which weighs error
+    along the vector `eta` times as much as error across it), each partition
+    asked is scanned by table sums, and the `rerank` best are compared in
+    double precision on the stored vectors: that is the cosine that comes out.
+    Tiles still too large after LEVELS levels are cut into blocks by hash, and
+    so are the queries of a tile, so no task holds more than TILE_BYTES or so
+    of either. A row that met fewer rows than wanted asks all tiles.
 
     Equal cosines are ordered by id. Groups of one row give none. An empty
     table gives no rows; other columns are not read. `id` must be a whole
@@ -285,60 +376,150 @@ def nearest(df: DataFrame, id: str = "chunk_id", model: str = "model", dim: str
     sizes = rows.groupBy("model", "dim").count().orderBy("model", "dim").collect()  # one row per model and dim
     schema = f"`{id}` long, neighbour long, model string, dim int, rank int, cosine double"
     out = spark.createDataFrame([], schema)
-    for i in range(0, len(sizes), GROUPS_AT_ONCE):
-        found = _nearest_in(rows, sizes[i : i + GROUPS_AT_ONCE], p).withColumnRenamed("id", id)
-        out = found if i == 0 else out.unionAll(found)
+    while sizes:  # groups together as long as their models fit
+        bytes_, n = 0, 0
+        while n < len(sizes) and (not n or bytes_ + _model_bytes(sizes[n], p) <= MODEL_BYTES):
+            bytes_ += _model_bytes(sizes[n], p)
+            n += 1
+        out = out.unionAll(_nearest_in(rows, sizes[:n], p).withColumnRenamed("id", id))
+        sizes = sizes[n:]
     return out
 
 
-NEAR = T.ArrayType(T.StructType([T.StructField("far", T.DoubleType()), T.StructField("id", T.LongType())]))
+def _model_bytes(size, p: Params) -> int:
+    return 8 * size["dim"] * (2 * CENTERS + p.sample // 20 + size["count"] // p.tile_rows)
+
 
+def _tile_rows(size, p: Params) -> int:
+    """Rows to a tile: `tile_rows`, or more where the centers would take more than MODEL_BYTES."""
+    return max(p.tile_rows, size["count"] * size["dim"] * 8 // MODEL_BYTES)
 
-def _scanned(query_side: DataFrame, coded_rows: DataFrame, indexes: dict[int, Index], p: Params) -> DataFrame:
-    """``g, id, near``: the best rows of each query (``g, part, id, vector``) in the partitions it names."""
-    found = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("near", NEAR)])
-    index_side = coded_rows.select("g", "part", "id", "vector", "code")
-    # how many blocks each side of a partition needs: one row per partition, at most most_parts per group
-    cells = index_side.groupBy("g", "part").agg(F.count("*").alias("n")).join(query_side.groupBy("g", "part").agg(F.count("*").alias("q")), ["g", "part"])
-    cells = cells.select("g", "part", F.ceil(F.col("n") / p.block_rows).cast("int").alias("n"), F.ceil(F.col("q") / p.query_rows).cast("int").alias("q"))
-    cells = materialise(cells, "cells")
-    n_tasks = tasks(coded_rows.sparkSession, min(cells.agg(F.coalesce(F.sum(F.col("n") * F.col("q")), F.lit(0))).first()[0], MOST_TASKS))
-    cells = F.broadcast(cells)
 
-    def blocks(side: DataFrame, mine: str, other: str) -> DataFrame:
-        own = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int").alias(f"{mine}_block")
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_block")
-        return side.join(cells, ["g", "part"]).select(*side.columns, own, every)
+ROUTED = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("tile", T.LongType()), T.StructField("asked", T.ArrayType(T.LongType()))])
+FOUND = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("cosine", T.DoubleType())])
 
-    key = ["g", "part", "n_block", "q_block"]
-    asked = blocks(query_side, "q", "n").select(*(F.col(c).alias(f"{c}_asked") for c in key), F.col("id").alias("query"), F.col("vector").alias("asked"))
-    asked_key = [f"{c}_asked" for c in key]
-    scanned = blocks(index_side, "n", "q").repartition(n_tasks, *key).groupBy(*key).cogroup(asked.repartition(n_tasks, *asked_key).groupBy(*asked_key)).applyInArrow(_scan_cells(indexes, p, to_arrow_schema(found)), found)
-    return scanned.groupBy("g", "id").agg(F.flatten(F.collect_list("near")).alias("near")).select("g", "id", F.slice(F.array_sort("near"), 1, p.k).alias("near"))
+
+def _draw(rows: DataFrame, share: Column, seed: int) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
+
+
+def _tiled(rows: DataFrame, count: dict[int, int], tiles: dict[int, int], p: Params) -> tuple[DataFrame, DataFrame]:
+    """``g, id, vector`` with ``tile`` and the tiles ``asked``, and the written table of ``g, tile, n, q``: rows in and asking each."""
+    spark = rows.sparkSession
+    routed = rows.select("g", "id", "vector", F.lit(0).cast("long").alias("tile"), F.array(F.lit(0).cast("long")).alias("asked"))
+    large = [(g, 0, n) for g, n in count.items()]
+    last = 0
+    for level in range(LEVELS):
+        cells = F.broadcast(spark.createDataFrame(large, "g int, tile long, n long"))
+        drawn = _draw(routed.join(cells, ["g", "tile"]), F.least(F.lit(1.0), p.sample / F.col("n")), 17 + level)
+        fitted = drawn.select("g", "tile", "n", "vector").groupBy("g", "tile").applyInArrow(_fit_levels(p, tiles), "g int, tile long, model binary").collect()
+        levels = {}
+        for r in sorted(fitted, key=lambda r: (r["g"], r["tile"])):
+            fit_ = pickle.loads(r["model"])
+            levels[r["g"], r["tile"]] = fit_._replace(first=last + 1)
+            last += len(fit_.centers)
+        routed = routed.mapInArrow(_route(levels, to_arrow_schema(ROUTED)), ROUTED)
+        if level:
+            routed = materialise(routed, "routed")
+        own = F.explode("asked").alias("to")
+        asked = routed.select("g", "tile", own).select("g", F.col("to").alias("tile"), F.lit(0).alias("n"), F.lit(1).alias("q"))
+        cells = routed.select("g", "tile", F.lit(1).alias("n"), F.lit(0).alias("q")).unionAll(asked).groupBy("g", "tile").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+        cells = materialise(cells, "cells")
+        bound = F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv])[F.col("g")]
+        large = [(r["g"], r["tile"], r["n"]) for r in cells.where(F.col("n") > 2 * bound).collect()]
+        if not large:
+            break
+    return routed, cells
+
+
+def _scanned(routed: DataFrame, cells: DataFrame, indexes: dict[int, Index], dims: dict[int, int], tiles: dict[int, int], p: Params) -> DataFrame:
+    """``g, id, neighbour, cosine``: the `k` best rows of each asking row in the tiles it asks."""
+    of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("g")]
+    most_rows = {g: max(1, min(2 * tiles[g], TILE_BYTES // (4 * d))) if tiles[g] == p.tile_rows else 2 * tiles[g] for g, d in dims.items()}
+    most_asks = {g: max(1, min(p.query_rows, TILE_BYTES // (4 * d))) for g, d in dims.items()}
+    blocks = materialise(cells.where("n > 0 and q > 0").select("g", "tile", F.ceil(F.col("n") / of(most_rows)).cast("int").alias("nb"), F.ceil(F.col("q") / of(most_asks)).cast("int").alias("qb")), "blocks")
+    n_tasks = tasks(routed.sparkSession, min(blocks.agg(F.coalesce(F.sum(F.col("nb") * F.col("qb")), F.lit(0))).first()[0], MOST_TASKS))
+
+    every = F.array_union(F.array("tile"), "asked")
+    sent = routed.select("g", "id", "vector", F.col("tile").alias("home"), "asked", F.explode(every).alias("tile")).join(_few(blocks), ["g", "tile"])
+    mine, ask = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("qb")).cast("int")
+    at = lambda n, q, role: F.struct(n.alias("n"), q.alias("q"), F.lit(role).alias("role"))
+    asks = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: at(i, ask, 2))
+    holds = F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda j: at(mine, j, 1))
+    both = F.filter(asks, lambda s: s["n"] != mine)
+    held = F.filter(holds, lambda s: s["q"] != ask)
+    in_home, in_asked = F.col("tile") == F.col("home"), F.array_contains("asked", F.col("tile"))
+    where = F.when(in_home & in_asked, F.concat(F.array(at(mine, ask, 3)), both, held)).when(in_home, holds).otherwise(asks)
+    sent = sent.select("g", "tile", "id", "vector", F.explode(where).alias("at")).select("g", "tile", F.col("at.n").alias("n"), F.col("at.q").alias("q"), "id", F.col("at.role").alias("role"), "vector")
+    key = ["g", "tile", "n", "q"]
+    found = sent.repartition(n_tasks, *key).groupBy(*key).applyInArrow(_scan_tile(indexes, p, to_arrow_schema(FOUND)), FOUND)
+    return _first(found, p.k)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """Of ``g, id, neighbour, cosine`` each row's `k` best, by cosine and then by id."""
+    place = F.row_number().over(W.partitionBy("g", "id").orderBy(F.col("cosine").desc(), "neighbour"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def _nearest_in(rows: DataFrame, sizes: list, p: Params) -> DataFrame:
     """`nearest` for some groups (model, dim, count) of the usable rows."""
     spark = rows.sparkSession
-    count = {g: r["count"] for g, r in enumerate(sizes)}
-    groups = spark.createDataFrame([(g, r["model"], r["dim"], min(1.0, p.sample / r["count"])) for g, r in enumerate(sizes)], "g int, model string, dim int, share double")
-    rows = rows.join(F.broadcast(groups), ["model", "dim"]).select("g", "id", "vector", "share")
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    models = rows.where(draw).groupBy("g").applyInArrow(_fit_groups(p, count), "g int, model binary").collect()  # one small model per group
+    count, dims = {g: r["count"] for g, r in enumerate(sizes)}, {g: r["dim"] for g, r in enumerate(sizes)}
+    tiles = {g: _tile_rows(r, p) for g, r in enumerate(sizes)}
+    groups = F.broadcast(spark.createDataFrame([(g, r["model"], r["dim"]) for g, r in enumerate(sizes)], "g int, model string, dim int"))
+    rows = rows.join(groups, ["model", "dim"]).select("g", "id", "vector")
+
+    # rows of equal vectors are one class, named by its smallest id
+    digests = rows.select("g", "id", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
+    classes = digests.groupBy("g", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = materialise(digests.join(_few(materialise(classes, "classes")), ["g", "h1", "h2"]).select("g", "id", "rep"), "copies")
+    later = copies.where("id <> rep").select("g", "id")
+    alone = rows.join(_few(later), ["g", "id"], "left_anti")
+
+    share = F.create_map(*[F.lit(x) for g, n in count.items() for x in (g, min(1.0, p.sample / n))])[F.col("g")]
+    models = _draw(alone, share, 11).groupBy("g").applyInArrow(_fit_groups(p, count), "g int, model binary").collect()  # one small model per group
     indexes = {r["g"]: pickle.loads(r["model"]) for r in models}
     for g in set(count) - set(indexes):  # a group so small that the draw took none
-        x = np.array([r["vector"] for r in rows.where(F.col("g") == g).limit(p.sample).collect()], np.float64)
+        x = np.array([r["vector"] for r in alone.where(F.col("g") == g).limit(p.sample).collect()], np.float64)
         indexes[g] = fit(_unit(x), count[g], p)
-
-    groups = spark.createDataFrame([(g, r["model"], r["dim"], r["count"], len(indexes[g].parts)) for g, r in enumerate(sizes)], "g int, model string, dim int, n long, parts int")
-    coded = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("code", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType()))])
-    coded_rows = materialise(rows.select("g", "id", "vector").mapInArrow(_encode(indexes, p.k, to_arrow_schema(coded)), coded), "coded")
-    best = materialise(_scanned(coded_rows.select("g", F.explode("probes").alias("part"), "id", "vector"), coded_rows, indexes, p), "best")
-    # whoever met too few rows in the partitions it asked asks all of them
-    short = materialise(best.join(F.broadcast(groups), "g").where(F.size("near") < F.least(F.lit(p.k), F.col("n") - 1)).select("g", "id"), "short")
+    routed, cells = _tiled(alone, count, tiles, p)
+    best_ = materialise(_scanned(routed, cells, indexes, dims, tiles, p), "best")
+
+    # whoever met too few rows in the tiles it asked asks all of them
+    have = cells.groupBy("g").agg((F.sum("n") - 1).alias("others"))
+    met = best_.groupBy("g", "id").count()
+    short = routed.select("g", "id").join(met, ["g", "id"], "left").join(F.broadcast(have), "g")
+    short = materialise(short.where(F.coalesce("count", F.lit(0)) < F.least(F.lit(p.k), F.col("others"))).select("g", "id"), "short")
     if not short.isEmpty():
-        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-        again = coded_rows.join(short, ["g", "id"], "left_semi").join(F.broadcast(groups), "g").select("g", every, "id", "vector")
-        best = best.join(short, ["g", "id"], "left_anti").unionAll(_scanned(again, coded_rows, indexes, p))
-    flat = best.select("g", "id", F.posexplode("near").alias("rank", "n")).join(F.broadcast(groups.select("g", "model", "dim")), "g")
-    return flat.select("id", F.col("n.id").alias("neighbour"), "model", "dim", (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("cosine"))
+        asking = routed.join(short.withColumn("asks", F.lit(True)), ["g", "id"], "left")
+        # as many as the data's bytes over a tile's
+        all_tiles = cells.where("n > 0").groupBy("g").agg(F.collect_list("tile").alias("every"))
+        none = F.array().cast("array<bigint>")
+        asking = asking.join(F.broadcast(all_tiles), "g").select("g", "id", "vector", "tile", F.when(F.col("asks"), F.col("every")).otherwise(none).alias("asked"))
+        more = cells.drop("q").join(F.broadcast(short.groupBy("g").agg(F.count("*").alias("q"))), "g")
+        again = _scanned(asking, more, indexes, dims, tiles, p)
+        best_ = best_.join(short, ["g", "id"], "left_anti").unionByName(again)
+
+    if not copies.isEmpty():
+        best_ = _with_copies(best_, copies, p.k)
+    return best_.join(groups, "g").select("id", "neighbour", "model", "dim", "rank", "cosine")
+
+
+def _with_copies(found: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """``g, id, neighbour, cosine, rank`` of classes to those of all rows; `copies` has ``g, id, rep`` of classes of several rows.
+
+    Of a class its k + 1 smallest ids are enough: any row takes k of them at most besides itself.
+    """
+    place = F.row_number().over(W.partitionBy("g", "rep").orderBy("id"))
+    members = materialise(copies.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "members")
+    of_near = _few(members.select("g", F.col("rep").alias("neighbour"), F.col("id").alias("member")))
+    wide = found.drop("rank").join(of_near, ["g", "neighbour"], "left").select("g", "id", F.coalesce("member", "neighbour").alias("neighbour"), "cosine")
+    wide = materialise(_first(wide, k), "wide")
+    reps = _few(members.select("g", F.col("rep").alias("id")).distinct())
+    own = members.select("g", F.col("rep").alias("id"), F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"))
+    # at most 2 k + 1 entries to a class
+    lists = wide.drop("rank").join(reps, ["g", "id"], "left_semi").unionByName(own).groupBy("g", "id").agg(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbour")).alias("near"))
+    each = copies.join(_few(lists.withColumnRenamed("id", "rep")), ["g", "rep"]).select("g", "id", F.slice(F.array_sort(F.filter("near", lambda n: n["neighbour"] != F.col("id"))), 1, k).alias("near"))
+    each = each.select("g", "id", F.posexplode("near").alias("place", "n")).select("g", "id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.far")).alias("cosine"), (F.col("place") + 1).alias("rank"))
+    return wide.join(reps, ["g", "id"], "left_anti").select(*each.columns).unionAll(each)

@@ -1,7 +1,9 @@
+import os
 import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import knn, neardup, queries
@@ -101,7 +103,7 @@ def test_nearest(spark):
     rows = [(i, "a", 24, v.tolist()) for i, v in enumerate(x)] + [(i, "b", 9, v.tolist()) for i, v in enumerate(y)]
     bad = [(5000, "a", 24, None), (5001, "a", 24, [0.0] * 24), (5002, "a", 24, [float("nan")] + [1.0] * 23), (5003, "a", 3, x[0].tolist()), (5004, None, 9, y[0].tolist()), (5005, "a", 24, [None] + [1.0] * 23), (None, "b", 9, y[0].tolist()), (5006, "lone", 2, [1.0, 0.0]), (5007, "b", None, y[0].tolist())]
     df = spark.createDataFrame(rows + bad + rows[:50], "chunk_id long, model string, dim int, vector array<float>").withColumns({"part": F.lit("p"), "id": F.lit("q"), "g": F.lit(1)})
-    p = knn.Params(per_part=100, block_rows=70, query_rows=110, rerank=20, sample=600)
+    p = knn.Params(tile_rows=150, per_part=50, query_rows=110, rerank=20, sample=600)
     got = knn.nearest(df, params=p)
     by = {}
     for r in got.collect():
@@ -119,9 +121,60 @@ def test_nearest(spark):
     assert hit / total >= 0.9
 
 
+def recall(got, ids, x, k=10):
+    mine = {}
+    for r in got:
+        mine.setdefault(r["chunk_id"], set()).add(r["neighbour"])
+    want = nearest_by_force(ids, x, k)
+    return sum(len({n for n, _ in w} & mine.get(i, set())) for i, w in want.items()) / (k * len(want))
+
+
+def test_tiles_are_parted_again(spark):
+    """A level's sample allows 20 tiles at most here, so larger ones are parted by a second level."""
+    x = vectors(6, 4000, 12)
+    df = spark.createDataFrame([(i, "a", 12, v.tolist()) for i, v in enumerate(x)], "chunk_id long, model string, dim int, vector array<float>")
+    p = knn.Params(tile_rows=40, per_part=20, sample=400)
+    routed, cells = knn._tiled(df.select(F.lit(0).alias("g"), F.col("chunk_id").alias("id"), "vector"), {0: 4000}, {0: 40}, p)
+    sizes = [r["n"] for r in cells.where("n > 0").collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 60 and routed.select("id").distinct().count() == 4000
+    got = knn.nearest(df, params=p).collect()
+    assert len(got) == 40_000 and recall(got, np.arange(4000), x) >= 0.9
+
+
+def test_recall_of_each_model(spark):
+    """Against brute force over all vectors of the test data, with production parameters."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data here")
+    df = spark.read.parquet(f"{sf}/chunk_vectors.parquet")
+    got = knn.nearest(df).toPandas()
+    rows = knn.usable(df, "chunk_id", "model", "dim", "vector").toPandas()
+    for (model, dim), mine in rows.groupby(["model", "dim"]):
+        if len(mine) > 100:
+            found = got[(got["model"] == model) & (got["dim"] == dim)].to_dict("records")
+            assert len(found) == 10 * len(mine)
+            assert recall(found, mine["id"].to_numpy(), np.stack(mine["vector"].to_numpy())) >= 0.95
+
+
+def test_a_third_are_copies(spark):
+    x = vectors(8, 400, 8)
+    rows = [(i, "a", 8, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, "a", 8, x[3].tolist()) for i in range(200)] + [(2000 + i, "a", 8, x[i].tolist()) for i in range(40)]
+    got = knn.nearest(spark.createDataFrame(rows, "chunk_id long, model string, dim int, vector array<float>"), params=knn.Params(tile_rows=100, per_part=30)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["chunk_id"], []).append((r["rank"], r["neighbour"], r["cosine"]))
+    ids = np.array([r[0] for r in rows])
+    want = nearest_by_force(ids, np.array([r[3] for r in rows], np.float32), 10)
+    assert by.keys() == set(ids.tolist()) and all(len(v) == 10 for v in by.values())
+    assert [n for _, n, _ in sorted(by[1150])] == [3, *range(1000, 1009)] and [n for _, n, _ in sorted(by[3])] == list(range(1000, 1010))
+    assert all(sorted(by[2000 + i])[0][1] == i for i in range(40) if i != 3)
+    close = sum(abs(sorted(v)[-1][2] - want[i][-1][1]) < 1e-9 for i, v in by.items())
+    assert close / len(by) >= 0.9
+
+
 def test_copies_of_one_vector(spark):
     rows = [(i, "a", 4, [1.0, 2.0, 3.0, 4.0]) for i in range(300)] + [(300, "a", 4, [4.0, 3.0, 2.0, 1.0])]
-    got = knn.nearest(spark.createDataFrame(rows, "chunk_id long, model string, dim int, vector array<float>"), params=knn.Params(per_part=50, block_rows=40))
+    got = knn.nearest(spark.createDataFrame(rows, "chunk_id long, model string, dim int, vector array<float>"), params=knn.Params(tile_rows=50, per_part=20))
     assert got.where("chunk_id < 300 and cosine < 0.999999").count() == 0 and got.count() == 3010
     assert knn.nearest(spark.createDataFrame([], "chunk_id long, model string, dim int, vector array<float>")).count() == 0
 
