@@ -1,4 +1,4 @@
-"""The most similar vectors of every vector: tiles, partitions, score-aware 4-bit codes, table scans, exact reranking."""
+"""The most similar vectors of every vector: partitions, score-aware 4-bit codes, table scans, exact reranking."""
 
 from __future__ import annotations
 
@@ -16,22 +16,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import materialise, spread, tasks
 
-#: Bytes of centers and centers of blocks that are sent to the tasks at once, and bytes of one task's rows or queries.
-MODEL_BYTES, TILE_BYTES = 128_000_000, 64_000_000
+#: Bytes of centers that are sent to the tasks at once, and bytes of one task's rows or queries.
+MODEL_BYTES, TILE_BYTES = 64_000_000, 64_000_000
 #: Rows of the table of copies up to which it is broadcast.
 BROADCAST_ROWS = 200_000
-#: Levels of tiles; what is too large then is cut into blocks by hash.
+#: Levels of partitions; what is too large then is cut into blocks by hash.
 LEVELS = 4
+#: A partition's number is its tile's, shifted, and its place in the tile; the last place stands for all of a tile.
+SHIFT = 20
+ALL = (1 << SHIFT) - 1
 #: Tasks of one scan at most; beyond, a task scans several tiles.
 MOST_TASKS = 100_000
 CENTERS = 16  # of each block of dimensions: a code has four bits
 
 
 class Params(NamedTuple):
-    """`sample`: rows at most, about, that the centers of one level are fitted on; `tile_rows` rows to a tile and
-    `per_part` to a partition within it; `block_dims` dimensions to a code; `threshold` T of the score-aware loss;
-    `rerank` rows a query compares exactly in each partition; `recall` that the numbers of tiles and partitions
-    asked are chosen for; `query_rows` the most queries, about, that one task scans a tile for."""
+    """`sample`: rows at most, about, that the centers of one level are fitted on; `per_part` rows to a partition and
+    `tile_rows` to the tile of neighbouring partitions that one task holds; `block_dims` dimensions to a code;
+    `threshold` T of the score-aware loss; `rerank` rows a query compares exactly in each partition; `recall` that the
+    number of partitions asked is chosen for; `query_rows` the most queries, about, that one task scans a tile for."""
 
     k: int = 10
     sample: int = 20_000
@@ -43,11 +46,6 @@ class Params(NamedTuple):
     recall: float = 0.97
     query_rows: int = 64_000
 
-    @property
-    def each(self) -> float:
-        """The recall of each of both choices, of tiles and of partitions."""
-        return self.recall**0.5
-
 
 class Index(NamedTuple):
     """What codes are made with: unit `parts`, `books` (blocks x 16 x block_dims), the weight of error along the vector."""
@@ -59,10 +57,10 @@ class Index(NamedTuple):
 
 
 class Level(NamedTuple):
-    """The unit centers that part the rows of a tile, the number of the first, and how many of them a query asks."""
+    """The unit centers that part some rows, their numbers, and how many of them a query asks."""
 
     centers: np.ndarray
-    first: int
+    numbers: np.ndarray
     ask: int
 
 
@@ -159,26 +157,24 @@ def fit(x: np.ndarray, rows: int, p: Params) -> Index:
     return ix
 
 
-def fit_level(x: np.ndarray, children: int, p: Params) -> Level:
-    """Centers for so many tiles (at most a twentieth of the sample `x`), and how many of them reach the wanted recall."""
+def fit_level(x: np.ndarray, rows: int, p: Params) -> Level:
+    """Partitions for about `rows` rows like the sample `x` (at most a twentieth of it), in tiles of neighbouring ones.
+
+    A query asks so many that sample queries find the wanted share of their `k` best rows of the sample.
+    """
     rng = np.random.default_rng(11)
-    n = int(min(max(1, children), max(1, len(x) // 20)))
+    n = int(min(max(1, round(rows / p.per_part)), max(1, len(x) // 20), ALL))
     centers = _k_means(x, n, 10, rng, True)
     at = np.argmax(x @ centers.T, axis=1)
-    queries = rng.choice(len(x), min(500, len(x)), replace=False)
-    return Level(centers, 0, _to_ask(x[queries], queries, x, np.arange(len(x)), at, centers, p))
-
-
-def _to_ask(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, at: np.ndarray, centers: np.ndarray, p: Params) -> int:
-    """In so many partitions, the nearest first, sample queries find the wanted share of their `k` best rows of `x`."""
-    if len(centers) == 1 or len(x) < 2:
-        return len(centers)
-    score = q @ x.T
-    score[ids[None, :] == q_ids[:, None]] = -np.inf
-    k = min(p.k, len(x) - 1)
-    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    place = np.argsort(np.argsort(-(q @ centers.T), axis=1), axis=1)
-    return int(min(len(centers), np.quantile(np.take_along_axis(place, at[near], axis=1), p.each) + 1))
+    tiles = int(min(n, max(1, round(rows / p.tile_rows))))
+    tile = np.argmax(centers @ _k_means(centers, tiles, 10, rng, True).T, axis=1) if tiles > 1 else np.zeros(n, np.int64)
+    ask = n
+    if n > 1:
+        q = x[rng.choice(len(x), min(500, len(x)), replace=False)]
+        near = np.argsort(-(q @ x.T), axis=1)[:, 1 : p.k + 1]
+        place = np.argsort(np.argsort(-(q @ centers.T), axis=1), axis=1)
+        ask = int(min(n, np.quantile(np.take_along_axis(place, at[near], axis=1), p.recall) + 1))
+    return Level(centers.astype(np.float32), (tile << SHIFT) + np.arange(n), ask)
 
 
 def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray, width: int) -> np.ndarray:
@@ -216,36 +212,30 @@ def _picked(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(scores >= bound[:, None])
 
 
-def best(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, ix: Index, p: Params) -> tuple[np.ndarray, np.ndarray]:
+def best(queries: np.ndarray, q_ids: np.ndarray, asked: tuple[np.ndarray, np.ndarray], x: np.ndarray, ids: np.ndarray, part: np.ndarray, ix: Index, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Ids and cosines (queries, k) of each query's best other rows of a tile, all unit vectors; -inf where there are fewer.
 
-    The tile is parted once more; every query asks the partitions that sample
-    queries need. Each is scanned by its codes, the `rerank` best are compared
-    exactly, and a query keeps its `k` best so far.
+    `asked` has (query, partition), `part` each row's partition. A partition
+    is scanned by its codes for those who ask it, the `rerank` best are
+    compared exactly, and a query keeps its `k` best so far.
     """
-    rng = np.random.default_rng(13)
-    n = max(1, round(len(x) / p.per_part))
-    some = rng.choice(len(x), min(len(x), max(2000, 20 * n)), replace=False)
-    centers = _k_means(x[some], n, 6, rng, True)
-    at = np.concatenate([np.argmax(x[i : i + 16_000] @ centers.T, axis=1) for i in range(0, len(x), 16_000)])
-    tried = rng.choice(len(queries), min(300, len(queries)), replace=False)
-    ask = _to_ask(queries[tried], q_ids[tried], x[some[:4000]], ids[some[:4000]], at[some[:4000]], centers, p)
-    order = np.argsort(at, kind="stable")
-    x, ids, at = x[order], ids[order], at[order]
-    ix = ix._replace(parts=centers)
+    order = np.argsort(part, kind="stable")
+    x, ids = x[order], ids[order]
+    parts, at = np.unique(part[order], return_inverse=True)
+    ix = ix._replace(parts=_unit(_sums(x, at, len(parts)) + 1e-12))
     codes = pack(np.concatenate([encode(x[i : i + 2000], ix, at[i : i + 2000]) for i in range(0, len(x), 2000)]))
-    asked = np.concatenate([np.argpartition(-(queries[i : i + 16_000] @ centers.T), ask - 1, axis=1)[:, :ask] for i in range(0, len(queries), 16_000)])
-    by_part = np.argsort(asked, axis=None, kind="stable")
-    start = np.searchsorted(asked.ravel()[by_part], np.arange(n + 1))
-    by_part //= ask
+    edge = np.searchsorted(at, np.arange(len(parts) + 1))
+    who, what = asked
+    whole = (what & ALL) == ALL
+    everything = np.unique(who[whole])
 
     top_id, top = np.full((len(queries), p.k), -1), np.full((len(queries), p.k), -np.inf)
-    edge = np.searchsorted(at, np.arange(n + 1))
-    for j in range(n):
+    for j, number in enumerate(parts):
         mine, own = x[edge[j] : edge[j + 1]], ids[edge[j] : edge[j + 1]]
-        step = int(min(512, max(16, 4_000_000 // max(1, len(mine)))))
-        for i in range(start[j], start[j + 1] if len(mine) else start[j], step):
-            at_q = by_part[i : min(i + step, start[j + 1])]
+        asking = np.concatenate([who[what == number], everything]) if len(everything) else who[what == number]
+        step = int(min(512, max(16, 4_000_000 // len(mine))))
+        for i in range(0, len(asking), step):
+            at_q = asking[i : i + step]
             q = queries[at_q]
             row, col = _picked(scan(q, codes[edge[j] : edge[j + 1]], ix.books, p.block_dims), min(len(mine), p.rerank + 1))
             cosine = np.einsum("ij,ij->i", q[row], mine[col])
@@ -274,37 +264,39 @@ def _fit_groups(p: Params, rows: dict[int, int]):
     return run
 
 
-def _fit_levels(p: Params, tiles: dict[int, int]):
+def _fit_levels(p: Params, schema: pa.Schema):
     def run(t: pa.Table) -> pa.Table:
-        g, tile, n = (t.column(c)[0].as_py() for c in ("g", "tile", "n"))
-        return pa.table({"g": pa.array([g], pa.int32()), "tile": pa.array([tile], pa.int64()), "model": pa.array([pickle.dumps(fit_level(_vectors(t.column("vector")), round(n / tiles[g]), p))], pa.binary())})
+        g, part, n = (t.column(c)[0].as_py() for c in ("g", "part", "n"))
+        return pa.table([[g], [part], [pickle.dumps(fit_level(_vectors(t.column("vector")), n, p))]], schema=schema)
 
     return run
 
 
 def _route(levels: dict[tuple[int, int], Level], schema: pa.Schema):
-    """Rows of parted tiles to their child tiles; who asks such a tile asks the nearest of its children."""
+    """Rows of partitions that are parted again to their children; who asks such a partition asks the nearest of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, tile = b.column("g").to_numpy(), b.column("tile").to_numpy().copy()
+            g, part = b.column("g").to_numpy(), b.column("part").to_numpy().copy()
             asked = b.column("asked")
             who = np.repeat(np.arange(b.num_rows), asked.value_lengths().to_numpy())
             what = asked.flatten().to_numpy()
             kept, more = np.ones(len(what), bool), []
-            for group, t in set(zip(g[who].tolist(), what.tolist())) & levels.keys():
-                level = levels[group, t]
-                at = np.flatnonzero((what == t) & (g[who] == group))
+            for group, number in set(zip(g[who].tolist(), what.tolist())) & levels.keys():
+                level = levels[group, number]
+                at = np.flatnonzero((what == number) & (g[who] == group))
                 near = _vectors(b.column("vector").take(pa.array(who[at]))) @ level.centers.T
-                nearest = level.first + np.argsort(-near, axis=1, kind="stable")[:, : level.ask]
+                nearest = level.numbers[np.argsort(-near, axis=1, kind="stable")[:, : level.ask]]
                 kept[at] = False
                 more.append((np.repeat(who[at], nearest.shape[1]), nearest.ravel()))
-                own = tile[who[at]] == t
-                tile[who[at][own]] = nearest[own, 0]
+            for group, number in set(zip(g.tolist(), part.tolist())) & levels.keys():
+                level = levels[group, number]
+                at = np.flatnonzero((b.column("part").to_numpy() == number) & (g == group))
+                part[at] = level.numbers[np.argmax(_vectors(b.column("vector").take(pa.array(at))) @ level.centers.T, axis=1)]
             who, what = np.concatenate([who[kept], *(w for w, _ in more)]), np.concatenate([what[kept], *(t for _, t in more)])
             order = np.argsort(who, kind="stable")
             cut = np.searchsorted(who[order], np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("id"), b.column("vector"), pa.array(tile), pa.ListArray.from_arrays(pa.array(cut), pa.array(what[order].astype(np.int64)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("id"), b.column("vector"), pa.array(part), pa.ListArray.from_arrays(pa.array(cut), pa.array(what[order].astype(np.int64)))], schema=schema)
 
     return run
 
@@ -316,7 +308,9 @@ def _scan_tile(indexes: dict[int, Index], p: Params, schema: pa.Schema):
         if not len(held) or not len(asks):
             return schema.empty_table()
         g, x = t.column("g")[0].as_py(), _vectors(t.column("vector"))
-        near, cosine = best(x[asks], ids[asks], x[held], ids[held], indexes[g], p)
+        wants = t.column("wants").combine_chunks().take(pa.array(asks))
+        asked = np.repeat(np.arange(len(asks)), wants.value_lengths().to_numpy()), wants.flatten().to_numpy()
+        near, cosine = best(x[asks], ids[asks], asked, x[held], ids[held], t.column("part").to_numpy()[held], indexes[g], p)
         ok = np.isfinite(cosine)
         return pa.table([pa.array(np.full(ok.sum(), g, np.int32)), pa.array(np.repeat(ids[asks], ok.sum(1))), pa.array(near[ok]), pa.array(cosine[ok])], schema=schema)
 
@@ -353,19 +347,19 @@ def nearest(df: DataFrame, id: str = "chunk_id", model: str = "model", dim: str
     falling cosine and rising id, and what the class found.
 
     Unit centers fitted on a bounded sample part the rows of a (model, dim)
-    into tiles of about `tile_rows`; a tile too large after that is parted
-    again by a sample of its own rows, so tiles grow in number, not in size,
-    and what a level's centers take is the data's bytes over `tile_rows`
-    (which rises where that would pass MODEL_BYTES). Every row asks the tiles
-    that samples say it needs and is sent to each once. There the tile is
-    parted into partitions of `per_part`, its rows are coded by 16 centers per
+    into partitions of about `per_part`; one far too large after that is parted
+    again by a sample of its own rows, so partitions grow in number with the
+    rows, not in size. Neighbouring ones form tiles of about `tile_rows`. Every
+    row asks the partitions that samples say it needs and is sent once to each
+    tile that has some of them. There the rows are coded by 16 centers per
     block of dimensions (found with the score-aware loss, which weighs error
-    along the vector `eta` times as much as error across it), each partition
-    asked is scanned by table sums, and the `rerank` best are compared in
-    double precision on the stored vectors: that is the cosine that comes out.
-    Tiles still too large after LEVELS levels are cut into blocks by hash, and
-    so are the queries of a tile, so no task holds more than TILE_BYTES or so
-    of either. A row that met fewer rows than wanted asks all tiles.
+    along the vector `eta` times as much as error across it), each partition is
+    scanned by table sums for those who ask it, and the `rerank` best are
+    compared in double precision on the stored vectors: that is the cosine that
+    comes out. Tiles still too large after LEVELS levels are cut into blocks by
+    hash, and so are the queries of a tile, so no task holds more than
+    TILE_BYTES or so of either. Centers are fitted and sent MODEL_BYTES at a
+    time. A row that met fewer rows than wanted asks all tiles.
 
     Equal cosines are ordered by id. Groups of one row give none. An empty
     table gives no rows; other columns are not read. `id` must be a whole
@@ -387,70 +381,79 @@ def nearest(df: DataFrame, id: str = "chunk_id", model: str = "model", dim: str
 
 
 def _model_bytes(size, p: Params) -> int:
-    return 8 * size["dim"] * (2 * CENTERS + p.sample // 20 + size["count"] // p.tile_rows)
+    return 8 * size["dim"] * (2 * CENTERS + p.sample // 20)
 
 
-def _tile_rows(size, p: Params) -> int:
-    """Rows to a tile: `tile_rows`, or more where the centers would take more than MODEL_BYTES."""
-    return max(p.tile_rows, size["count"] * size["dim"] * 8 // MODEL_BYTES)
+ROUTED = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("part", T.LongType()), T.StructField("asked", T.ArrayType(T.LongType()))])
+LEVEL = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("model", T.BinaryType())])
+FOUND = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("cosine", T.DoubleType())])
 
 
-ROUTED = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("tile", T.LongType()), T.StructField("asked", T.ArrayType(T.LongType()))])
-FOUND = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("cosine", T.DoubleType())])
+def _tile(part: Column) -> Column:
+    return F.shiftright(part, SHIFT)
+
+
+def _of(values: dict[int, float]) -> Column:
+    """What a group (column ``g``) has in a dictionary with one entry for each."""
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("g")]
 
 
 def _draw(rows: DataFrame, share: Column, seed: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
 
 
-def _tiled(rows: DataFrame, count: dict[int, int], tiles: dict[int, int], p: Params) -> tuple[DataFrame, DataFrame]:
-    """``g, id, vector`` with ``tile`` and the tiles ``asked``, and the written table of ``g, tile, n, q``: rows in and asking each."""
+def _parted(rows: DataFrame, count: dict[int, int], dims: dict[int, int], p: Params) -> tuple[DataFrame, DataFrame]:
+    """``g, id, vector`` with ``part`` and the partitions ``asked``, and the written table of ``g, tile, n, q``: rows in and asking each tile."""
     spark = rows.sparkSession
-    routed = rows.select("g", "id", "vector", F.lit(0).cast("long").alias("tile"), F.array(F.lit(0).cast("long")).alias("asked"))
+    zero = F.lit(0).cast("long")
+    routed = rows.select("g", "id", "vector", zero.alias("part"), F.array(zero).alias("asked"))
     large = [(g, 0, n) for g, n in count.items()]
-    last = 0
+    tiles = 1
     for level in range(LEVELS):
-        cells = F.broadcast(spark.createDataFrame(large, "g int, tile long, n long"))
-        drawn = _draw(routed.join(cells, ["g", "tile"]), F.least(F.lit(1.0), p.sample / F.col("n")), 17 + level)
-        fitted = drawn.select("g", "tile", "n", "vector").groupBy("g", "tile").applyInArrow(_fit_levels(p, tiles), "g int, tile long, model binary").collect()
-        levels = {}
-        for r in sorted(fitted, key=lambda r: (r["g"], r["tile"])):
-            fit_ = pickle.loads(r["model"])
-            levels[r["g"], r["tile"]] = fit_._replace(first=last + 1)
-            last += len(fit_.centers)
-        routed = routed.mapInArrow(_route(levels, to_arrow_schema(ROUTED)), ROUTED)
+        while large:  # as many as their centers fit
+            size = [4 * dims[g] * min(n // p.per_part + 1, p.sample // 20) for g, _, n in large]
+            now = max(1, int(np.searchsorted(np.cumsum(size), MODEL_BYTES, "right")))
+            cells = F.broadcast(spark.createDataFrame(large[:now], "g int, part long, n long"))
+            drawn = _draw(routed.join(cells, ["g", "part"]), F.least(F.lit(1.0), p.sample / F.col("n")), 17 + level)
+            fitted = drawn.select("g", "part", "n", "vector").groupBy("g", "part").applyInArrow(_fit_levels(p, to_arrow_schema(LEVEL)), LEVEL).collect()
+            levels = {}
+            for r in sorted(fitted, key=lambda r: (r["g"], r["part"])):
+                fit_ = pickle.loads(r["model"])
+                levels[r["g"], r["part"]] = fit_._replace(numbers=fit_.numbers + (tiles << SHIFT))
+                tiles += int(fit_.numbers.max() >> SHIFT) + 1
+            routed = routed.mapInArrow(_route(levels, to_arrow_schema(ROUTED)), ROUTED)
+            large = large[now:]
         if level:
             routed = materialise(routed, "routed")
-        own = F.explode("asked").alias("to")
-        asked = routed.select("g", "tile", own).select("g", F.col("to").alias("tile"), F.lit(0).alias("n"), F.lit(1).alias("q"))
-        cells = routed.select("g", "tile", F.lit(1).alias("n"), F.lit(0).alias("q")).unionAll(asked).groupBy("g", "tile").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
-        cells = materialise(cells, "cells")
-        bound = F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv])[F.col("g")]
-        large = [(r["g"], r["tile"], r["n"]) for r in cells.where(F.col("n") > 2 * bound).collect()]
+        asks = routed.select("g", F.explode(F.array_distinct(F.transform("asked", _tile))).alias("at"), F.lit(True).alias("asks"))
+        counts = materialise(routed.select("g", F.col("part").alias("at"), F.lit(False).alias("asks")).unionAll(asks).groupBy("g", "at", "asks").count(), "counts")
+        large = [(r["g"], r["at"], r["count"]) for r in counts.where(~F.col("asks") & (F.col("count") > 2 * p.tile_rows)).collect()]
         if not large:
             break
-    return routed, cells
+    tile = F.when(F.col("asks"), F.col("at")).otherwise(_tile(F.col("at"))).alias("tile")
+    cells = counts.groupBy("g", tile).agg(F.sum(F.when(F.col("asks"), 0).otherwise(F.col("count"))).alias("n"), F.sum(F.when(F.col("asks"), F.col("count")).otherwise(0)).alias("q"))
+    return routed, materialise(cells, "cells")
 
 
-def _scanned(routed: DataFrame, cells: DataFrame, indexes: dict[int, Index], dims: dict[int, int], tiles: dict[int, int], p: Params) -> DataFrame:
-    """``g, id, neighbour, cosine``: the `k` best rows of each asking row in the tiles it asks."""
-    of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("g")]
-    most_rows = {g: max(1, min(2 * tiles[g], TILE_BYTES // (4 * d))) if tiles[g] == p.tile_rows else 2 * tiles[g] for g, d in dims.items()}
+def _scanned(routed: DataFrame, cells: DataFrame, indexes: dict[int, Index], dims: dict[int, int], p: Params) -> DataFrame:
+    """``g, id, neighbour, cosine``: the `k` best rows of each asking row in the partitions it asks."""
+    most_rows = {g: max(1, min(2 * p.tile_rows, TILE_BYTES // (4 * d))) for g, d in dims.items()}
     most_asks = {g: max(1, min(p.query_rows, TILE_BYTES // (4 * d))) for g, d in dims.items()}
-    blocks = materialise(cells.where("n > 0 and q > 0").select("g", "tile", F.ceil(F.col("n") / of(most_rows)).cast("int").alias("nb"), F.ceil(F.col("q") / of(most_asks)).cast("int").alias("qb")), "blocks")
+    blocks = materialise(cells.where("n > 0 and q > 0").select("g", "tile", F.ceil(F.col("n") / _of(most_rows)).cast("int").alias("nb"), F.ceil(F.col("q") / _of(most_asks)).cast("int").alias("qb")), "blocks")
     n_tasks = tasks(routed.sparkSession, min(blocks.agg(F.coalesce(F.sum(F.col("nb") * F.col("qb")), F.lit(0))).first()[0], MOST_TASKS))
 
-    every = F.array_union(F.array("tile"), "asked")
-    sent = routed.select("g", "id", "vector", F.col("tile").alias("home"), "asked", F.explode(every).alias("tile")).join(_few(blocks), ["g", "tile"])
+    home = _tile(F.col("part"))
+    every = F.array_union(F.array(home), F.transform("asked", _tile))
+    sent = routed.select("g", "id", "vector", "part", "asked", F.explode(every).alias("tile")).join(_few(blocks), ["g", "tile"])
+    sent = sent.withColumn("wants", F.filter("asked", lambda a: _tile(a) == F.col("tile")))
     mine, ask = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("qb")).cast("int")
     at = lambda n, q, role: F.struct(n.alias("n"), q.alias("q"), F.lit(role).alias("role"))
     asks = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: at(i, ask, 2))
     holds = F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda j: at(mine, j, 1))
-    both = F.filter(asks, lambda s: s["n"] != mine)
-    held = F.filter(holds, lambda s: s["q"] != ask)
-    in_home, in_asked = F.col("tile") == F.col("home"), F.array_contains("asked", F.col("tile"))
-    where = F.when(in_home & in_asked, F.concat(F.array(at(mine, ask, 3)), both, held)).when(in_home, holds).otherwise(asks)
-    sent = sent.select("g", "tile", "id", "vector", F.explode(where).alias("at")).select("g", "tile", F.col("at.n").alias("n"), F.col("at.q").alias("q"), "id", F.col("at.role").alias("role"), "vector")
+    both = F.concat(F.array(at(mine, ask, 3)), F.filter(asks, lambda s: s["n"] != mine), F.filter(holds, lambda s: s["q"] != ask))
+    in_home, wants = F.col("tile") == home, F.size("wants") > 0
+    where = F.explode(F.when(in_home & wants, both).when(in_home, holds).otherwise(asks)).alias("at")
+    sent = sent.select("g", "tile", "id", "part", "wants", "vector", where).select("g", "tile", F.col("at.n").alias("n"), F.col("at.q").alias("q"), "id", F.col("at.role").alias("role"), "part", "wants", "vector")
     key = ["g", "tile", "n", "q"]
     found = sent.repartition(n_tasks, *key).groupBy(*key).applyInArrow(_scan_tile(indexes, p, to_arrow_schema(FOUND)), FOUND)
     return _first(found, p.k)
@@ -466,7 +469,6 @@ def _nearest_in(rows: DataFrame, sizes: list, p: Params) -> DataFrame:
     """`nearest` for some groups (model, dim, count) of the usable rows."""
     spark = rows.sparkSession
     count, dims = {g: r["count"] for g, r in enumerate(sizes)}, {g: r["dim"] for g, r in enumerate(sizes)}
-    tiles = {g: _tile_rows(r, p) for g, r in enumerate(sizes)}
     groups = F.broadcast(spark.createDataFrame([(g, r["model"], r["dim"]) for g, r in enumerate(sizes)], "g int, model string, dim int"))
     rows = rows.join(groups, ["model", "dim"]).select("g", "id", "vector")
 
@@ -477,28 +479,27 @@ def _nearest_in(rows: DataFrame, sizes: list, p: Params) -> DataFrame:
     later = copies.where("id <> rep").select("g", "id")
     alone = rows.join(_few(later), ["g", "id"], "left_anti")
 
-    share = F.create_map(*[F.lit(x) for g, n in count.items() for x in (g, min(1.0, p.sample / n))])[F.col("g")]
-    models = _draw(alone, share, 11).groupBy("g").applyInArrow(_fit_groups(p, count), "g int, model binary").collect()  # one small model per group
+    models = _draw(alone, _of({g: min(1.0, p.sample / n) for g, n in count.items()}), 11).groupBy("g").applyInArrow(_fit_groups(p, count), "g int, model binary").collect()  # one small model per group
     indexes = {r["g"]: pickle.loads(r["model"]) for r in models}
     for g in set(count) - set(indexes):  # a group so small that the draw took none
         x = np.array([r["vector"] for r in alone.where(F.col("g") == g).limit(p.sample).collect()], np.float64)
         indexes[g] = fit(_unit(x), count[g], p)
-    routed, cells = _tiled(alone, count, tiles, p)
-    best_ = materialise(_scanned(routed, cells, indexes, dims, tiles, p), "best")
+    routed, cells = _parted(alone, count, dims, p)
+    best_ = materialise(_scanned(routed, cells, indexes, dims, p), "best")
 
-    # whoever met too few rows in the tiles it asked asks all of them
+    # whoever met too few rows in the partitions it asked asks all of them
     have = cells.groupBy("g").agg((F.sum("n") - 1).alias("others"))
     met = best_.groupBy("g", "id").count()
     short = routed.select("g", "id").join(met, ["g", "id"], "left").join(F.broadcast(have), "g")
     short = materialise(short.where(F.coalesce("count", F.lit(0)) < F.least(F.lit(p.k), F.col("others"))).select("g", "id"), "short")
     if not short.isEmpty():
         asking = routed.join(short.withColumn("asks", F.lit(True)), ["g", "id"], "left")
-        # as many as the data's bytes over a tile's
-        all_tiles = cells.where("n > 0").groupBy("g").agg(F.collect_list("tile").alias("every"))
+        # as many tiles as the data's bytes over a tile's
+        all_tiles = cells.where("n > 0").groupBy("g").agg(F.collect_list(F.shiftleft("tile", SHIFT) + ALL).alias("every"))
         none = F.array().cast("array<bigint>")
-        asking = asking.join(F.broadcast(all_tiles), "g").select("g", "id", "vector", "tile", F.when(F.col("asks"), F.col("every")).otherwise(none).alias("asked"))
+        asking = asking.join(F.broadcast(all_tiles), "g").select("g", "id", "vector", "part", F.when(F.col("asks"), F.col("every")).otherwise(none).alias("asked"))
         more = cells.drop("q").join(F.broadcast(short.groupBy("g").agg(F.count("*").alias("q"))), "g")
-        again = _scanned(asking, more, indexes, dims, tiles, p)
+        again = _scanned(asking, more, indexes, dims, p)
         best_ = best_.join(short, ["g", "id"], "left_anti").unionByName(again)
 
     if not copies.isEmpty():

@@ -129,14 +129,13 @@ def recall(got, ids, x, k=10):
     return sum(len({n for n, _ in w} & mine.get(i, set())) for i, w in want.items()) / (k * len(want))
 
 
-def test_tiles_are_parted_again(spark):
-    """A level's sample allows 20 tiles at most here, so larger ones are parted by a second level."""
+def test_partitions_are_parted_again(spark):
+    """A level's sample allows 20 partitions at most here, so larger ones are parted by a second level."""
     x = vectors(6, 4000, 12)
     df = spark.createDataFrame([(i, "a", 12, v.tolist()) for i, v in enumerate(x)], "chunk_id long, model string, dim int, vector array<float>")
     p = knn.Params(tile_rows=40, per_part=20, sample=400)
-    routed, cells = knn._tiled(df.select(F.lit(0).alias("g"), F.col("chunk_id").alias("id"), "vector"), {0: 4000}, {0: 40}, p)
-    sizes = [r["n"] for r in cells.where("n > 0").collect()]
-    assert sum(sizes) == 4000 and len(sizes) > 60 and routed.select("id").distinct().count() == 4000
+    routed, cells = knn._parted(df.select(F.lit(0).alias("g"), F.col("chunk_id").alias("id"), "vector"), {0: 4000}, {0: 12}, p)
+    assert sum(r["n"] for r in cells.collect()) == 4000 and routed.select("part").distinct().count() > 60 and routed.select("id").distinct().count() == 4000
     got = knn.nearest(df, params=p).collect()
     assert len(got) == 40_000 and recall(got, np.arange(4000), x) >= 0.9
 
