@@ -425,8 +425,9 @@ def _parted(rows: DataFrame, count: dict[int, int], dims: dict[int, int], p: Par
             large = large[now:]
         if level:
             routed = materialise(routed, "routed")
-        asks = routed.select("g", F.explode(F.array_distinct(F.transform("asked", _tile))).alias("at"), F.lit(True).alias("asks"))
-        counts = materialise(routed.select("g", F.col("part").alias("at"), F.lit(False).alias("asks")).unionAll(asks).groupBy("g", "at", "asks").count(), "counts")
+        of = lambda at, asks: F.struct(at.alias("at"), F.lit(asks).alias("asks"))
+        each = F.concat(F.array(of(F.col("part"), False)), F.transform(F.array_distinct(F.transform("asked", _tile)), lambda t: of(t, True)))
+        counts = materialise(routed.select("g", F.explode(each).alias("c")).groupBy("g", "c.at", "c.asks").count(), "counts")
         large = [(r["g"], r["at"], r["count"]) for r in counts.where(~F.col("asks") & (F.col("count") > 2 * p.tile_rows)).collect()]
         if not large:
             break
