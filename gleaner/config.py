@@ -16,6 +16,8 @@ VERSION = 2
 MOST_WEIGHT, WEIGHT_UNIT, DEFAULT_WEIGHT = 10, 0.15, 5
 GROUPS = ("internal", "external")
 MODES = ("semantic", "tag")
+#: The environment variable that holds the secret for services.
+CREDENTIAL = "GLEANER_CREDENTIAL"
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,6 @@ class Settings:
     keyword_text: str = ""
     keywords: tuple[str, ...] = ()
     synonyms: dict[str, list[str]] = field(default_factory=dict)
-    credential: str = ""
     version: int = VERSION
 
 
@@ -91,7 +92,6 @@ def _common(d: dict, folders: list[Folder]) -> Settings:
         keyword_text=d["doctrineRaw"] if isinstance(d.get("doctrineRaw"), str) else "",
         keywords=_strings(d.get("doctrineKeywords")),
         synonyms=clean_synonyms(d.get("doctrineSynonyms")),
-        credential=d["openaiApiKey"] if isinstance(d.get("openaiApiKey"), str) else "",
     )
 
 
@@ -129,7 +129,7 @@ def from_folder_weights(d: Any) -> Settings | None:
         for f in d["folderWeights"]
         if isinstance(f, dict) and isinstance(f.get("path"), str) and isinstance(f.get("weight"), (int, float)) and not isinstance(f.get("weight"), bool)
     ]
-    kept = {k: d[k] for k in ("excludedFolders", "openaiApiKey") if k in d}
+    kept = {k: d[k] for k in ("excludedFolders",) if k in d}
     return _common(kept, folders)
 
 
@@ -157,10 +157,14 @@ def to_document(s: Settings) -> dict:
         "doctrineRaw": s.keyword_text,
         "doctrineKeywords": list(s.keywords),
         "doctrineSynonyms": s.synonyms,
-        "openaiApiKey": s.credential,
     }
 
 
+def credential() -> str:
+    """The secret for services, from the environment only: no settings file holds it, and one found in an old file is dropped."""
+    return os.environ.get(CREDENTIAL, "").strip()
+
+
 def load(path: str) -> Settings:
     try:
         with open(path, encoding="utf-8") as f:

@@ -92,6 +92,12 @@ def wikilinks(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))
 
 
+def query_tags(c: Column) -> Column:
+    """array<string>: the plain forms of the tags and links that a text writes, each once."""
+    written = F.concat(F.filter(F.transform(hashtags(c), normalize_tag), lambda t: t != ""), F.flatten(F.transform(wikilinks(c), link_variants)))
+    return F.array_distinct(written)
+
+
 def strip_emoji(c: Column) -> Column:
     """Every pictographic sign as a blank, for matching."""
     return F.regexp_replace(c, f"[{EMOJI}\\ufe0f]", " ")
@@ -144,6 +150,22 @@ def highlight(c: Column, terms: list[str], left: str = "<mark>", right: str = "<
     return F.regexp_replace(c, pattern, f"{left}$1{right}")
 
 
+def highlight_terms(c: Column, terms: Column, left: str = "<mark>", right: str = "</mark>") -> Column:
+    """`highlight` with the terms of each row's own array."""
+    kept = F.filter(F.array_distinct(terms), lambda t: (F.length(t) >= 2) & ~is_stop_word(t))
+    longest = F.array_sort(F.transform(kept, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    quoted = F.transform(longest, lambda t: F.concat(F.lit("\\Q"), F.replace(t["t"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit("(?iu)("), F.array_join(quoted, "|"), F.lit(")"))
+    return F.when(F.size(kept) > 0, F.regexp_replace(c, pattern, F.lit(f"{left}$1{right}"))).otherwise(c)
+
+
+def keywords(c: Column) -> Column:
+    """array<string>: what stands in ``[[...]]`` and then in double quotes, cut at a bar, without leading emoji, digits, # and *; each once."""
+    found = F.concat(wikilinks(c), F.regexp_extract_all(c, F.lit('["\u201c\u201d]([^"\u201c\u201d\\n]+)["\u201c\u201d]'), F.lit(1)))
+    clean = F.transform(found, lambda w: trimmed(F.regexp_replace(trimmed(_until(w, "|")), f"\\A[{EMOJI}{EMOJI_PARTS}0-9#*]+", "")))
+    return F.array_distinct(F.filter(clean, lambda w: w != ""))
+
+
 def query_key(c: Column) -> Column:
     """Identity of a query text, for caches and for dropping repeated queries."""
     return F.xxhash64(c)

@@ -61,19 +61,20 @@ def term_records(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus(chunks: DataFrame, postings: DataFrame) -> tuple[int, float]:
+def corpus(chunks: DataFrame, chunk_stats: DataFrame) -> tuple[int, float]:
     """Number of chunks and mean length; chunks without terms count."""
     n = chunks.count()
-    total = postings.agg(F.sum("tf")).first()[0] or 0
+    total = chunk_stats.agg(F.sum("length")).first()[0] or 0
     return n, total / n if n else 0.0
 
 
 def index_chunks(notes: DataFrame, chunks: DataFrame, *, keys: DataFrame | None = None, embeddings: DataFrame | None = None, key_embeddings: DataFrame | None = None, tokenize: Callable | None = None) -> Index:
-    """An index over chunks that exist already; the postings are written once, all statistics are taken from them."""
+    """An index over chunks that exist already; the postings are written once, and the statistics taken from them too."""
     spark = chunks.sparkSession
     postings = materialise(postings_of(chunks, tokenize=tokenize), "postings")
     none = empty_index(spark)
-    return Index(notes, chunks, postings, chunk_lengths(postings), term_records(postings), none.note_keys if keys is None else keys, none.embeddings if embeddings is None else embeddings, none.key_embeddings if key_embeddings is None else key_embeddings)
+    lengths, records = materialise(chunk_lengths(postings), "lengths"), materialise(term_records(postings), "records")
+    return Index(notes, chunks, postings, lengths, records, none.note_keys if keys is None else keys, none.embeddings if embeddings is None else embeddings, none.key_embeddings if key_embeddings is None else key_embeddings)
 
 
 def build_index(notes: DataFrame, folders: DataFrame, excluded: list[str] | None = None, *, lexicon: DataFrame | None = None, indexed_at: int = 0, most: int = MOST, dense_ids: bool = True, tokenize: Callable | None = None) -> Index:
@@ -122,6 +123,24 @@ def missing_embeddings(chunks: DataFrame, embeddings: DataFrame, model: str) ->
     return chunks.where(~is_blank(F.col("text"))).join(have, "chunk_id", "left_anti").select("chunk_id", "text")
 
 
+def embedding_coverage(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """``model, done, pending, state``: chunks with and without a vector by model; empty, pending or complete."""
+    total = F.lit(chunks.count())
+    done = embeddings.groupBy("model").agg(F.countDistinct("chunk_id").alias("done"))
+    state = F.when(total == 0, "empty").when(F.col("done") >= total, "complete").otherwise("pending")
+    return done.select("model", "done", F.greatest(total - F.col("done"), F.lit(0)).alias("pending"), state.alias("state"))
+
+
+def embedding_of(embeddings: DataFrame, chunk_id: int) -> DataFrame:
+    """``model, vector`` of one chunk; the filter reaches the scan."""
+    return embeddings.where(F.col("chunk_id") == chunk_id).select("model", "vector")
+
+
+def key_embedding_of(key_embeddings: DataFrame, kind: str, key: str) -> DataFrame:
+    """``model, vector`` of one key."""
+    return key_embeddings.where((F.col("kind") == kind) & (F.col("key") == key)).select("model", "vector")
+
+
 def lexicon(keys: DataFrame, kind: str | None = None) -> DataFrame:
     """``key``: the distinct keys of a kind, or of both."""
     return (keys if kind is None else keys.where(F.col("kind") == kind)).where("key <> ''").select("key").distinct()

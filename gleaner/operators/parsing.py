@@ -65,6 +65,11 @@ def with_parts(notes: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+def note_tags(parsed: DataFrame, path: str = "path") -> DataFrame:
+    """``note_path, tag``: all that a note from `with_parts` is tagged with, in front matter, text and links; each once."""
+    return parsed.select(F.col(path).alias("note_path"), F.explode(F.array_distinct(F.concat("own_doctrines", "own_tags", "links"))).alias("tag"))
+
+
 def note_keys(parsed: DataFrame, lexicon: DataFrame | None = None, path: str = "path") -> DataFrame:
     """``note_path, kind, key``, distinct: doctrine and tag keys of notes from `with_parts`.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import KEY_COSINE, KEYS_BY_VECTOR, TIERS, final_score, idf, passes_gate, reciprocal_rank, term_weight
-from ..functions.text import hashtags, is_blank, link_variants, normalize_tag, preview, query_terms, strip_emoji, title_of, wikilinks
+from ..functions.text import is_blank, preview, query_tags, query_terms, strip_emoji, title_of
 from ..runtime import materialise, tasks
 from .index import Index, corpus
 from .tokenize import terms_of
@@ -20,7 +20,7 @@ from .tokenize import terms_of
 #: Rows and bytes up to which a side of a join is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64_000_000
-#: Lexicon keys up to which each text is searched for all of them.
+#: Lexicon keys up to which the pairs of letters they begin with stand in the plan.
 SCANNED_KEYS = 5_000
 #: Most elements of the score matrix one step of a vector search holds.
 SCORES_AT_ONCE = 4_000_000
@@ -55,6 +55,13 @@ def exploded_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(query_terms(F.col("terms"))).alias("term"))
 
 
+def narrowed(index: Index, queries: DataFrame) -> Index:
+    """`index` with only the postings of query terms, written once for all that is looked up in them; statistics stay those of the whole."""
+    terms = materialise(exploded_terms(queries).select("term").distinct(), "terms")
+    few = F.broadcast if _small(terms) else lambda x: x
+    return replace(index, postings=materialise(index.postings.join(few(terms), "term", "left_semi"), "wanted"))
+
+
 def bm25(index: Index, queries: DataFrame, k: int = 30) -> DataFrame:
     """``query_id, chunk_id, bm25_score, bm25_rank``: the k chunks whose terms fit each query best.
 
@@ -62,9 +69,10 @@ def bm25(index: Index, queries: DataFrame, k: int = 30) -> DataFrame:
     query terms; where these are few enough they are broadcast, so the postings are filtered as
     they are scanned. What is left is brought together by chunk, before each posting meets the
     queries that ask for it: the scores of a chunk then add up where they are, and only the best
-    of every query leave their task.
+    rows of every query leave their task. With more terms than that both sides are shuffled by term,
+    and adaptive execution splits a term that many chunks and queries hold.
     """
-    n, mean = corpus(index.chunks, index.postings)
+    n, mean = corpus(index.chunks, index.chunk_stats)
     if not n or not mean:
         return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, bm25_score double, bm25_rank int")
     asked = exploded_terms(queries).join(index.term_stats, "term").select("query_id", "term", idf(F.lit(float(n)), F.col("df").cast("double")).alias("idf"))
@@ -77,78 +85,89 @@ def bm25(index: Index, queries: DataFrame, k: int = 30) -> DataFrame:
     return top_k(scores, k, "bm25_score", "chunk_id", rank="bm25_rank")
 
 
-def _best_rows(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, cosine) of the k best rows of every query; zero vectors have a cosine of 0."""
+def _best_rows(queries: np.ndarray, vectors: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the k best rows of every query that reach `least`; zero vectors have a cosine of 0."""
     length = np.linalg.norm(vectors, axis=1)
     unit = vectors / np.where(length > 0, length, 1.0)[:, None]
     scores = queries @ unit.T
     scores[:, length == 0] = 0.0
     k = min(k, scores.shape[1])
-    at = np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < scores.shape[1] else np.tile(np.arange(k), (len(queries), 1))
-    bound = np.take_along_axis(scores, at, 1).min(axis=1)
-    q, r = np.nonzero(scores >= bound[:, None])  # with all ties of the last place
+    bound = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    q, r = np.nonzero(scores >= np.maximum(bound, least)[:, None])  # with all ties of the last place
     return q, r, scores[q, r]
 
 
-def _scan(ids: np.ndarray, unit: np.ndarray, k: int, schema: pa.Schema):
-    step = max(1, SCORES_AT_ONCE // max(1, len(ids)))
+def _best_of(asked: tuple[np.ndarray, np.ndarray], chunk: np.ndarray, vectors: np.ndarray, k: int, least: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    ids, unit = asked
+    step = max(1, SCORES_AT_ONCE // len(ids))
+    for i in range(0, len(chunk), step):
+        q, r, s = _best_rows(unit, vectors[i : i + step], k, least)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunk[i : i + step][r]), pa.array(s)], schema=schema)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _scan(asked: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], k: int, least: float, schema: pa.Schema):
+    """Vectors, batch by batch, against the queries of their model and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float64)
-            chunk = b.column(0).to_numpy()
-            for i in range(0, len(chunk), step):
-                q, r, s = _best_rows(unit, vectors[i : i + step], k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunk[i : i + step][r]), pa.array(s)], schema=schema)
+            models, lengths = np.array(b.column("model").to_pylist(), object), b.column("vector").value_lengths().to_numpy()
+            for model, dim in set(zip(models.tolist(), lengths.tolist())) & asked.keys():
+                rows = b.take(pa.array(np.flatnonzero((models == model) & (lengths == dim))))
+                yield from _best_of(asked[model, dim], rows.column("chunk_id").to_numpy(), _matrix(rows.column("vector")), k, least, schema)
 
     return run
 
 
-def _scan_blocks(k: int, schema: pa.Schema):
+def _scan_blocks(k: int, least: float, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [schema.empty_table()]
-        if left.num_rows and right.num_rows:
-            unit = np.array(right.column("unit").to_pylist(), np.float64)
-            vectors = np.array(left.column("vector").to_pylist(), np.float64)
-            ids, chunk = right.column("query_id").to_numpy(), left.column("chunk_id").to_numpy()
-            step = max(1, SCORES_AT_ONCE // len(ids))
-            for i in range(0, len(chunk), step):
-                q, r, s = _best_rows(unit, vectors[i : i + step], k)
-                out.append(pa.table([pa.array(ids[q]), pa.array(chunk[i : i + step][r]), pa.array(s)], schema=schema))
-        return pa.concat_tables(out)
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ask = right.column("query_id").to_numpy(), _matrix(right.column("unit").combine_chunks())
+        return pa.Table.from_batches(_best_of(ask, left.column("chunk_id").to_numpy(), _matrix(left.column("vector").combine_chunks()), k, least, schema), schema)
 
     return run
 
 
-def vector_search(embeddings: DataFrame, queries: DataFrame, model: str, k: int = 30, *, block: int = 4096) -> DataFrame:
+def vector_search(embeddings: DataFrame, queries: DataFrame, model: str | None = None, k: int = 30, *, least: float = -2.0, block: int = 4096) -> DataFrame:
     """``query_id, chunk_id, vector_score, vector_rank``: the k chunks with the highest exact cosine for each query vector.
 
-    `queries` has ``query_id, embedding``, all of one length; only vectors of that length are compared.
-    A query vector of length 0 finds nothing, a zero chunk vector has the cosine 0; a vector with an
-    element that is no number is not compared. Every batch of vectors is scored against all queries in
-    one matrix product and only each query's best rows leave it. Queries that fit `BROADCAST_BYTES` go to
-    the vectors; more of them are cut into blocks, and blocks of both sides meet.
+    `queries` has ``query_id, embedding`` and, if no `model` is named for all, ``model``. A query is compared
+    with the vectors of its own model and length, whatever lengths its batch has. Only cosines of
+    `least` or more come out. A query vector of length 0 finds nothing, a zero chunk vector has the cosine 0;
+    a vector with an element that is no number is not compared. Every batch of vectors is scored against all
+    its queries in one matrix product and only each query's best rows leave it. Queries that fit
+    `BROADCAST_BYTES` go to the vectors; more of them are cut into blocks, and blocks of both sides meet.
     """
     spark = queries.sparkSession
     schema = "query_id long, chunk_id long, vector_score double"
     size = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    asked = queries.select("query_id", "embedding", F.sqrt(size).alias("n")).where("embedding is not null and n > 0 and not isnan(n)")
-    asked = asked.select("query_id", F.expr("transform(embedding, x -> cast(x as double) / n)").alias("unit"))
-    first = asked.select(F.size("unit").alias("dim")).groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(2).collect()
-    if not first:
+    own = F.col("model") if model is None else F.lit(model)
+    asked = queries.select("query_id", own.alias("model"), "embedding", F.sqrt(size).alias("n")).where("model is not null and embedding is not null and n > 0 and not isnan(n)")
+    asked = asked.select("query_id", "model", F.expr("transform(embedding, x -> cast(x as double) / n)").alias("unit"))
+    kinds = asked.groupBy("model", F.size("unit").alias("dim")).count().collect()  # one row for each model and length
+    if not kinds:
         return spark.createDataFrame([], schema + ", vector_rank int")
-    dim, n = first[0]["dim"], first[0]["count"]
-    asked = asked.where(F.size("unit") == dim)
-    rows = embeddings.where((F.col("model") == model) & (F.size("vector") == dim)).where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x))).select("chunk_id", "vector")
+    known = F.broadcast(spark.createDataFrame([(r["model"], r["dim"]) for r in kinds], "model string, dim int"))
+    rows = embeddings.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x))).select("chunk_id", "model", "vector", F.size("vector").alias("dim")).join(known, ["model", "dim"], "left_semi")
     arrow = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("vector_score", pa.float64())])
-    if n * (dim + 1) * 8 <= BROADCAST_BYTES:
-        held = asked.collect()
-        found = rows.mapInArrow(_scan(np.array([r["query_id"] for r in held], np.int64), np.array([r["unit"] for r in held], np.float64), k, arrow), schema)
+    if sum(r["count"] * (r["dim"] + 1) * 8 for r in kinds) <= BROADCAST_BYTES:
+        held: dict[tuple[str, int], list] = {}
+        for r in asked.collect():
+            held.setdefault((r["model"], len(r["unit"])), []).append(r)
+        by_kind = {kind: (np.array([r["query_id"] for r in rs], np.int64), np.array([r["unit"] for r in rs], np.float64)) for kind, rs in held.items()}
+        found = rows.select("chunk_id", "model", "vector").mapInArrow(_scan(by_kind, k, least, arrow), schema)
     else:
+        n = sum(r["count"] for r in kinds)
         q_blocks, v_blocks = -(-n // block), -(-rows.count() // (4 * block)) or 1
+        key = ["model", "dim", "v", "q"]
         left = rows.withColumn("v", F.pmod(F.xxhash64("chunk_id"), F.lit(v_blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-        found = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(_scan_blocks(k, arrow), schema)
+        right = asked.withColumn("dim", F.size("unit")).withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_scan_blocks(k, least, arrow), schema)
     return top_k(found, k, "vector_score", "chunk_id", rank="vector_rank")
 
 
@@ -156,14 +175,17 @@ def vector_keys(key_embeddings: DataFrame, queries: DataFrame, model: str, kind:
     """``query_id, key, similarity``: up to k keys of a kind close enough to each query vector.
 
     `allow` (column key) restricts the keys; `exclude` (query_id, key) takes away what a query has already.
+    Only keys close enough leave the scan, and of these k more than any query has excluded.
     """
+    least = KEY_COSINE[kind] if least is None else least
     keys = key_embeddings.where((F.col("kind") == kind) & (F.col("model") == model))
     if allow is not None:
         keys = keys.join(allow.select("key"), "key", "left_semi")
-    keys = keys.select(F.xxhash64("key").alias("chunk_id"), F.lit(model).alias("model"), "vector", "key")
-    most = int(keys.count())
-    hits = vector_search(keys.select("chunk_id", "model", "vector"), queries, model, max(1, most) if exclude is not None else max(k, 1))
-    hits = hits.where((F.col("vector_score") >= (KEY_COSINE[kind] if least is None else least)) & ~F.isnan("vector_score"))
+    keys = keys.select(F.xxhash64("key").alias("chunk_id"), "model", "vector", "key")
+    gone = 0
+    if exclude is not None:
+        gone = exclude.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    hits = vector_search(keys.select("chunk_id", "model", "vector"), queries, model, k + gone, least=least - 1e-9).where(F.round("vector_score", 9) >= least)
     hits = hits.join(keys.select("chunk_id", "key"), "chunk_id").select("query_id", "key", F.col("vector_score").alias("similarity"))
     if exclude is not None:
         hits = hits.join(exclude.select("query_id", "key"), ["query_id", "key"], "left_anti")
@@ -190,6 +212,7 @@ def hybrid_scores(index: Index, queries: DataFrame, model: str, options: Options
     """The hits of `hybrid` without their texts."""
     o = options
     if fused is None:
+        index = narrowed(index, queries)
         fused = _candidates(index, queries, model, o.candidates)
     places = fused.join(index.chunks.select("chunk_id", "note_path", "heading"), "chunk_id").join(index.notes.select(F.col("path").alias("note_path"), "category_id", F.col("weight").alias("note_weight")), "note_path")
     asked = exploded_terms(queries)
@@ -227,6 +250,7 @@ def hybrid(index: Index, queries: DataFrame, model: str, options: Options = Opti
 
 def ablation(index: Index, queries: DataFrame, model: str, top: int = 5) -> DataFrame:
     """Hits under three settings, one ``stage`` each: without weight and heading, with weight, with both."""
+    index = narrowed(index, queries)
     fused = _candidates(index, queries, model, Options.candidates)
     stages = {"rrf": Options(top=top, by_weight=False, by_heading=False), "weight": Options(top=top, by_heading=False), "heading": Options(top=top)}
     out = None
@@ -236,19 +260,29 @@ def ablation(index: Index, queries: DataFrame, model: str, top: int = 5) -> Data
     return out
 
 
+def _key_parts(clean: DataFrame, keys: DataFrame) -> DataFrame:
+    """``query_id, key``: the keys, of two letters or more, that are a part of a text (``query_id, clean``).
+
+    A key can only be part of a text that has its first two letters side by side; texts and keys meet by these.
+    Up to SCANNED_KEYS keys, what they begin with filters a text's pairs of letters where they are made.
+    """
+    start = F.substring("key", 1, 2)
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("clean") - 1), lambda i: F.substring(F.col("clean"), i, F.lit(2))))
+    texts = clean.where(F.length("clean") >= 2)
+    if _small(keys, SCANNED_KEYS):
+        starts = [r[0] for r in keys.select(start.alias("start")).distinct().collect()]
+        met = texts.select("query_id", "clean", F.explode(F.array_intersect(pairs, F.array(*map(F.lit, starts)).cast("array<string>"))).alias("start"))
+        return met.join(F.broadcast(keys.select("key", start.alias("start"))), "start").where(F.col("clean").contains(F.col("key"))).select("query_id", "key")
+    met = texts.select("query_id", F.explode(pairs).alias("start")).join(keys.select("key", start.alias("start")), "start").select("query_id", "key").distinct()
+    return met.join(texts, "query_id").where(F.col("clean").contains(F.col("key"))).select("query_id", "key")
+
+
 def text_keys(queries: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """``query_id, key``: tags and links written in a query, and lexicon keys that are a term or, from two letters on, a part of it."""
-    written = F.concat(F.filter(F.transform(hashtags(F.col(text)), normalize_tag), lambda t: t != ""), F.flatten(F.transform(wikilinks(F.col(text)), link_variants)))
-    plain = queries.select("query_id", F.explode(F.array_distinct(written)).alias("key"))
+    plain = queries.select("query_id", F.explode(query_tags(F.col(text))).alias("key"))
     clean = queries.select("query_id", strip_emoji(F.col(text)).alias("clean"))
     by_term = clean.select("query_id", F.explode(F.array_distinct(terms_of(F.col("clean")))).alias("key")).join(lexicon, "key", "left_semi").select("query_id", "key")
-    keys = lexicon.where(F.length("key") >= 2)
-    if _small(keys, SCANNED_KEYS):
-        inside = clean.join(F.broadcast(keys), F.col("clean").contains(F.col("key"))).select("query_id", "key")
-    else:  # a key can only be part of a text that has its first two letters side by side
-        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("clean") - 1), lambda i: F.substring(F.col("clean"), i, F.lit(2))))
-        starts = clean.where(F.length("clean") >= 2).select("query_id", "clean", F.explode(pairs).alias("start"))
-        inside = starts.join(keys.withColumn("start", F.substring("key", 1, 2)), "start").where(F.col("clean").contains(F.col("key"))).select("query_id", "key")
+    inside = _key_parts(clean, lexicon.where(F.length("key") >= 2).select("key").distinct())
     return plain.unionAll(by_term).unionAll(inside).distinct()
 
 

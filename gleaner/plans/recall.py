@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
@@ -13,11 +14,16 @@ from ..functions.text import title_of
 from ..operators import index as ix
 from ..operators import present, search
 from ..operators.tokenize import terms_of
+from ..runtime import discarding, materialise
 from ..sources.providers import Embedder, embed, embed_keys, embed_missing
 from ..sources.store import Store
 
 #: Hits a search brings and notes that are shown.
 SEARCHED, SHOWN = 30, 10
+#: Fixed value: results that a cache keeps.
+KEPT = 50
+#: Chunks that are embedded between two commits.
+COMMITTED = 100_000
 
 
 def prepare(queries: DataFrame, embedder: Embedder | None = None) -> DataFrame:
@@ -68,12 +74,12 @@ class Engine:
         """Builds everything anew from ``path, mtime, size, content`` and puts it in the store's place; keys keep their vectors."""
         began = time.time()
         lexicon = self.spark.createDataFrame([(k,) for k in self.settings.keywords], "key string") if self.settings.keywords else None
-        with self.store.writing():
+        with self.store.writing(), discarding():
             index = ix.build_index(notes, self._folders(), list(self.settings.excluded), lexicon=lexicon, indexed_at=int(began * 1000))
             index = replace(index, key_embeddings=self.store.load_index().key_embeddings)
-            if self.embedder:
-                index = replace(index, embeddings=embed_missing(index.chunks, index.embeddings, self.embedder))
             self.store.save_index(index, folders=config.fingerprint(self.settings))
+            if self.embedder:
+                self._embed()
         saved = self.store.load_index()
         return {"notes": saved.notes.count(), "chunks": saved.chunks.count(), "seconds": time.time() - began}
 
@@ -84,13 +90,26 @@ class Engine:
             self.store.save({"notes": notes}, folders=config.fingerprint(self.settings))
         return self.store.table("notes").count()
 
-    def embed(self) -> int:
-        """Vectors for chunks that have none. How many have one."""
-        with self.store.writing():
-            index = self.store.load_index()
-            self.store.save({"embeddings": embed_missing(index.chunks, index.embeddings, self.embedder)})
+    def embed(self, at_once: int = COMMITTED) -> int:
+        """Vectors for chunks that have none, committed `at_once` chunks at a time: a failure keeps what was done. How many have one."""
+        with self.store.writing(), discarding():
+            self._embed(at_once)
         return self.store.table("embeddings").count()
 
+    def _embed(self, at_once: int = COMMITTED) -> None:
+        index = self.store.load_index()
+        missing = ix.missing_embeddings(index.chunks, index.embeddings, self.embedder.model).select("chunk_id")
+        missing = materialise(missing, "missing")
+        parts = max(1, -(-missing.count() // at_once))
+        none = self.spark.createDataFrame([], ix.SCHEMAS["embeddings"])
+        for i in range(parts):
+            part = missing.where(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)) == i)
+            self.store.append("embeddings", embed_missing(index.chunks.join(part, "chunk_id", "left_semi"), none, self.embedder))
+        # one vector per chunk stays: the new one
+        if not index.embeddings.join(missing, "chunk_id", "left_semi").isEmpty():
+            new = self.store.table("embeddings").where(F.col("model") == self.embedder.model)
+            self.store.save({"embeddings": ix.upsert(index.embeddings, new, ["chunk_id"])})
+
     def embed_keys(self, kind: str, rebuild: bool | None = None) -> int:
         """Vectors for the keys of a kind: doctrines always anew and with synonyms, tags where missing."""
         doctrine = kind == "doctrine"
@@ -116,6 +135,49 @@ class Engine:
             how = {"synonyms": self.spark.createDataFrame(synonyms, "key string, synonym string") if synonyms else None, "vectors": self.embedder is not None}
         return recall(self.store.load_index(), asked, mode, model, self.settings.relevance, pinned, **how)
 
+    def next_step(self) -> str:
+        """What is to be done next: folders (none is set up), index (none, or under other folders), embed (chunks without vectors), none."""
+        if not self.settings.folders:
+            return "folders"
+        index = self.store.load_index()
+        if index.chunks.isEmpty() or not self.in_sync():
+            return "index"
+        if self.embedder and not ix.missing_embeddings(index.chunks, index.embeddings, self.embedder.model).isEmpty():
+            return "embed"
+        return "none"
+
     def all_paths(self, queries: DataFrame) -> DataFrame:
         """`all_paths` of what `recall` gives in either mode, whatever the setting."""
         return all_paths(self.recall(queries, "semantic"), self.recall(queries, "tag"))
+
+
+class Recaller:
+    """Answers single queries of an editor: keeps the newest `most` results, of either mode, until the store or the settings change."""
+
+    def __init__(self, engine: Engine, most: int = KEPT):
+        self.engine, self.most = engine, most
+        self.kept: OrderedDict[tuple, tuple[list[Row], float]] = OrderedDict()
+        self.state: tuple = ()
+
+    def _fresh(self) -> None:
+        m = self.engine.store.manifest()
+        state = repr(m["tables"]), repr(m["meta"]), repr(self.engine.settings)
+        if state != self.state:
+            self.kept.clear()
+            self.state = state
+
+    def recall(self, text: str, source_path: str | None = None, mode: str | None = None) -> tuple[list[Row], float]:
+        """The hits shown for a text and the seconds that finding them took; asked again, the same from memory."""
+        self._fresh()
+        key = mode or self.engine.settings.mode, text, source_path
+        if key in self.kept:
+            self.kept.move_to_end(key)
+            return self.kept[key]
+        began = time.perf_counter()
+        asked = self.engine.spark.createDataFrame([(1, text, source_path)], "query_id long, text string, source_path string")
+        with discarding():
+            rows = self.engine.recall(asked, key[0]).orderBy("tab", "place").collect()
+        self.kept[key] = rows, time.perf_counter() - began
+        while len(self.kept) > self.most:
+            self.kept.popitem(last=False)
+        return self.kept[key]

@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +42,23 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(hadoop, True)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
+@contextmanager
+def discarding() -> Iterator[None]:
+    """Deletes, at its end, the tables that `materialise` wrote since it began; what was made of them must be used up by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > before:
+            spark, path = _WRITTEN.pop()
+            try:
+                _delete(spark, path)
+            except Exception as e:  # noqa: BLE001 - the work itself is done
+                warnings.warn(f"{path} was not deleted: {e}", stacklevel=2)
 
 
 @atexit.register
@@ -58,7 +75,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage like a checkpoint, but as compressed columnar files that
     later readers can prune. A lost executor loses nothing, and values that
-    depend on the task that made them (row ids) are fixed from here on.
+    depend on the task that made them (row ids) are fixed from here on. The
+    table is deleted when the session ends, or by `discarding`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/gleaner-{label}-{uuid.uuid4().hex}"
@@ -104,4 +122,4 @@ def default_session(app: str = "gleaner", master: str | None = None, **conf: str
     return b.config(map=base | conf).getOrCreate()
 
 
-__all__ = ["table", "scratch_dir", "materialise", "spread", "tasks", "default_session"]
+__all__ = ["table", "scratch_dir", "materialise", "discarding", "spread", "tasks", "default_session"]

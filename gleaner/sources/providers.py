@@ -78,6 +78,17 @@ class HashEmbedder:
         return out
 
 
+def _post(url: str, credential: str, body: dict, timeout: float) -> Any:
+    if not credential.strip():
+        raise MissingCredentialError(f"no credential for {url}")
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {credential}"})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as r:
+            return json.load(r)
+    except urllib.error.HTTPError as e:
+        raise EmbedError(e.code, e.read().decode(errors="replace")) from e
+
+
 @dataclass(frozen=True)
 class HttpEmbedder:
     """Asks an HTTP service for vectors: sends ``{model, input, dimensions}``, takes ``data`` in the order of ``index``."""
@@ -89,17 +100,8 @@ class HttpEmbedder:
     timeout: float = 30.0
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        if not self.credential.strip():
-            raise MissingCredentialError("no credential for the embedding service")
-        body = json.dumps({"model": self.model, "input": texts, "dimensions": self.dim}).encode()
-        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.credential}"})
-
         def call() -> list[list[float]]:
-            try:
-                with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                    data = json.load(r)["data"]
-            except urllib.error.HTTPError as e:
-                raise EmbedError(e.code, e.read().decode(errors="replace")) from e
+            data = _post(self.url, self.credential, {"model": self.model, "input": texts, "dimensions": self.dim}, self.timeout)["data"]
             if len(data) != len(texts):
                 raise EmbedError(200, f"{len(data)} vectors for {len(texts)} texts")
             return [d["embedding"] for d in sorted(data, key=lambda d: d["index"])]
@@ -107,6 +109,31 @@ class HttpEmbedder:
         return with_retries(call)
 
 
+@dataclass(frozen=True)
+class HttpSynonyms:
+    """Asks an HTTP chat service for the synonyms of keys: ``{model, messages, ...}`` out, a JSON object of lists in the first choice back.
+
+    An answer that is no such object counts as none; what is in it is sorted out by `sane_synonyms`.
+    """
+
+    url: str
+    credential: str
+    model: str
+    task: str = "For each keyword, one to a line, give words and short phrases that mean the same. Answer with a JSON object from keyword to list of strings."
+    temperature: float = 0.3
+    timeout: float = 60.0
+
+    def synonyms(self, keys: list[str]) -> dict[str, Any]:
+        said = [{"role": "system", "content": self.task}, {"role": "user", "content": "\n".join(keys)}]
+        body = {"model": self.model, "temperature": self.temperature, "response_format": {"type": "json_object"}, "messages": said}
+        answer = _post(self.url, self.credential, body, self.timeout)
+        try:
+            found = json.loads(answer["choices"][0]["message"]["content"])
+        except (KeyError, IndexError, TypeError, ValueError):
+            return {}
+        return found if isinstance(found, dict) else {}
+
+
 def _embed(embedder: Embedder, at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

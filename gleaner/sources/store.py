@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import socket
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from ..operators.index import SCHEMAS, Index, empty_index
 
 SCHEMA_VERSION = 2
+#: Seconds for which a writer holds a store without a commit.
+HELD = 6 * 3600.0
 
 
 class NewerSchemaError(RuntimeError):
@@ -46,6 +51,7 @@ class Store:
         self._jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(conf)
+        self._held: tuple[str, float] | None = None
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
@@ -93,6 +99,11 @@ class Store:
         return {**m, "version": SCHEMA_VERSION, "meta": m.get("meta", {}), "tables": m.get("tables", {})}
 
     def _commit(self, m: dict) -> None:
+        if self._held:
+            me, seconds = self._held
+            if (self._owner() or {}).get("owner") != me:
+                raise BusyError(f"{self.folder} was taken over by another writer")
+            self._write("lock", {"owner": me, "until": time.time() + seconds})
         new, main, previous = f"manifest.{uuid.uuid4().hex[:8]}.json", "manifest.json", "manifest.previous.json"
         self._write(new, m)
         if self._fs.exists(self._path(main)):
@@ -101,32 +112,76 @@ class Store:
         self._fs.rename(self._path(new), self._path(main))
 
     @contextmanager
-    def writing(self):
-        """Holds the store for one writer; a second one is refused."""
-        try:
-            self._write("lock", {}, overwrite=False)
-        except Exception as e:  # noqa: BLE001
-            raise BusyError(f"{self.folder} is being written") from e
+    def writing(self, seconds: float = HELD):
+        """Holds the store for one writer; a second one is refused.
+
+        The lock names its owner and the time until which it holds; each commit moves
+        that on. One that was left behind by a writer that is gone is taken over after it.
+        """
+        me = f"{socket.gethostname()}-{os.getpid()}-{uuid.uuid4().hex[:8]}"
+        if not self._lock(me, seconds):
+            raise BusyError(f"{self.folder} is being written")
+        self._held = me, seconds
         try:
             yield self
         finally:
-            self._fs.delete(self._path("lock"), False)
+            self._held = None
+            if (self._owner() or {}).get("owner") == me:
+                self._fs.delete(self._path("lock"), False)
+
+    def _owner(self) -> dict | None:
+        try:
+            return self._read("lock")
+        except Exception:  # noqa: BLE001 - another writer may be writing it just now
+            return {}
+
+    def _lock(self, me: str, seconds: float) -> bool:
+        for _ in range(2):
+            try:
+                self._write("lock", {"owner": me, "until": time.time() + seconds}, overwrite=False)
+                return True
+            except Exception:  # noqa: BLE001 - the file exists
+                held = self._owner()
+                if held is None:
+                    continue
+                if held.get("until", float("inf")) >= time.time():
+                    return False
+                # whoever moves the old lock aside may try again; for all others it is gone
+                aside = self._path(f"lock.{uuid.uuid4().hex[:8]}")
+                if self._fs.rename(self._path("lock"), aside):
+                    self._fs.delete(aside, False)
+        return False
 
     def save(self, tables: dict[str, DataFrame], **meta: Any) -> None:
         """New snapshots of some tables and new values in the metadata, all visible at once."""
         m = self.manifest()
         written = {}
         for name, df in tables.items():
-            written[name] = f"{name}-{uuid.uuid4().hex}"
-            rows = df.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else df  # for skipping row groups by term
-            rows.write.parquet(f"{self.folder}/{written[name]}")
+            written[name] = self._snapshot(name, df)
         self._commit({**m, "tables": {**m["tables"], **written}, "meta": {**m["meta"], **meta}})
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """More rows for a table, visible at once; what it has stays where it is."""
+        m = self.manifest()
+        self._commit({**m, "tables": {**m["tables"], name: [*self._folders(m, name), self._snapshot(name, df)]}})
+
+    def _snapshot(self, name: str, df: DataFrame) -> str:
+        folder = f"{name}-{uuid.uuid4().hex}"
+        # for skipping row groups by term; a term that all chunks hold is split by chunk
+        rows = df.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id") if name == "postings" else df
+        rows.write.parquet(f"{self.folder}/{folder}")
+        return folder
+
+    @staticmethod
+    def _folders(m: dict, name: str) -> list[str]:
+        at = m["tables"].get(name)
+        return [] if at is None else at if isinstance(at, list) else [at]
+
     def table(self, name: str) -> DataFrame:
-        at = self.manifest()["tables"].get(name)
-        if at is None:
+        at = self._folders(self.manifest(), name)
+        if not at:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.parquet(f"{self.folder}/{at}")
+        return self.spark.read.parquet(*(f"{self.folder}/{a}" for a in at))
 
     def save_index(self, index: Index, **meta: Any) -> None:
         self.save(index.tables(), **meta)
@@ -146,7 +201,8 @@ class Store:
 
     def vacuum(self) -> None:
         """Delete snapshots that neither the present nor the previous manifest names."""
-        kept = {t for n in ("manifest.json", "manifest.previous.json") for t in ((self._read(n) or {}).get("tables") or {}).values()}
+        states = [{"tables": {}, **(self._read(n) or {})} for n in ("manifest.json", "manifest.previous.json")]
+        kept = {folder for m in states for name in m["tables"] for folder in self._folders(m, name)}
         for status in self._fs.listStatus(self._path("")):
             if status.isDirectory() and status.getPath().getName() not in kept:
                 self._fs.delete(status.getPath(), True)

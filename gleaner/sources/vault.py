@@ -47,14 +47,13 @@ def selected(selection: Column) -> Column:
 
 
 def query_contexts(states: DataFrame) -> DataFrame:
-    """``path, at, text, mode`` of editor states (``path, at, selection, content, line``): the selection, else the paragraph,
-    else the last query of the same note; states without any are dropped."""
+    """``session, path, at, text, mode`` of editor states (``session, path, at, selection, content, line``): the selection, else the
+    paragraph, else the session's last query, if it was of the same note; states without any are dropped."""
     from pyspark.sql import Window as W
 
     own = states.withColumn("s", selected(F.col("selection"))).withColumn("p", paragraph_at(F.col("content"), F.col("line")))
     query = F.when(F.col("s").isNotNull(), F.struct(F.col("s").alias("text"), F.lit("selection").alias("mode"))).when(F.col("p").isNotNull(), F.struct(F.col("p").alias("text"), F.lit("paragraph").alias("mode")))
     # the one query kept is of whichever note asked last, so it holds only until another note asks
     last = own.withColumn("q", F.when(query.isNotNull(), F.struct("path", query.alias("q"))))
-    session = [F.col("session")] if "session" in states.columns else [F.lit(0)]
-    kept = F.last("q", ignorenulls=True).over(W.partitionBy(*session).orderBy("at").rowsBetween(W.unboundedPreceding, 0))
-    return last.withColumn("k", kept).where(F.col("k.path") == F.col("path")).select("path", "at", F.col("k.q.text").alias("text"), F.col("k.q.mode").alias("mode"))
+    kept = F.last("q", ignorenulls=True).over(W.partitionBy("session").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    return last.withColumn("k", kept).where(F.col("k.path") == F.col("path")).select("session", "path", "at", F.col("k.q.text").alias("text"), F.col("k.q.mode").alias("mode"))

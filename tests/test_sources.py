@@ -28,7 +28,7 @@ def test_paragraph(spark, line, expected):
 
 def test_query_contexts(spark):
     rows = [("a", 1, "selected text here", "", 0), ("a", 2, "", "short", 0), ("b", 3, "", "x", 0), ("b", 4, "", "a paragraph of text", 0), ("a", 5, "", "x", 0)]
-    got = vault.query_contexts(spark.createDataFrame(rows, "path string, at int, selection string, content string, line int")).orderBy("at").collect()
+    got = vault.query_contexts(spark.createDataFrame([("s", *r) for r in rows], "session string, path string, at int, selection string, content string, line int")).drop("session").orderBy("at").collect()
     assert [tuple(r) for r in got] == [("a", 1, "selected text here", "selection"), ("a", 2, "selected text here", "selection"), ("b", 4, "a paragraph of text", "paragraph")]
 
 
