@@ -56,7 +56,7 @@ def present(hits: DataFrame, relevance: int = 10, pinned: DataFrame | None = Non
 
 def hit_counts(hits: DataFrame) -> DataFrame:
     """``query_id, hits, by_terms, by_vectors, seconds``: hits of each query and how they were found; `seconds` from its first to its last, where they have ``logged_at``."""
-    took = F.unix_micros(F.max("logged_at")) - F.unix_micros(F.min("logged_at")) if "logged_at" in hits.columns else F.lit(None)
+    took = F.unix_micros(F.max("logged_at").cast("timestamp")) - F.unix_micros(F.min("logged_at").cast("timestamp")) if "logged_at" in hits.columns else F.lit(None)
     return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.count("bm25_rank").alias("by_terms"), F.count("vector_rank").alias("by_vectors"), (took / 1e6).alias("seconds"))
 
 

@@ -304,10 +304,11 @@ def synonym_keys(queries: DataFrame, stems: DataFrame, doctrines: DataFrame, exa
     return met.where("found = n").select("query_id", "key").distinct().join(exact, ["query_id", "key"], "left_anti")
 
 
-def query_keys(queries: DataFrame, keys: DataFrame, *, synonyms: DataFrame | None = None, key_embeddings: DataFrame | None = None, model: str = "") -> DataFrame:
+def query_keys(queries: DataFrame, keys: DataFrame, *, synonyms: DataFrame | None = None, key_embeddings: DataFrame | None = None, model: str = "", least: dict[str, float] = KEY_COSINE) -> DataFrame:
     """``query_id, kind, tier, key``: the keys each query asks for: exact, by synonym, by vector.
 
-    `keys` is the index's table of note keys; `synonyms` has ``key, synonym``; for keys by vector the queries need ``embedding``.
+    `keys` is the index's table of note keys; `synonyms` has ``key, synonym``; for keys by vector the queries need ``embedding``
+    and the keys of each kind a cosine of `least`.
     """
     lexicons = {kind: keys.where((F.col("kind") == kind) & (F.col("key") != "")).select("key").distinct() for kind in ("doctrine", "tag")}
     found = text_keys(queries, lexicons["doctrine"].union(lexicons["tag"]).distinct())
@@ -321,7 +322,7 @@ def query_keys(queries: DataFrame, keys: DataFrame, *, synonyms: DataFrame | Non
     if key_embeddings is not None:
         text_found = out
         for kind, lex in lexicons.items():
-            near = vector_keys(key_embeddings, queries, model, kind, allow=lex, exclude=text_found.where(F.col("kind") == kind).select("query_id", "key"))
+            near = vector_keys(key_embeddings, queries, model, kind, allow=lex, exclude=text_found.where(F.col("kind") == kind).select("query_id", "key"), least=least[kind])
             out = out.unionAll(near.select("query_id", F.lit(kind).alias("kind"), F.lit("vector").alias("tier"), "key"))
     return out.distinct()
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import classify, index, present, search
+from gleaner.operators import classify, index, present, search, timings
 from gleaner.operators.ids import with_dense_ids
 
 NOTES = "path string, mtime long, size long, category_id string, weight double, indexed_at long"
@@ -30,6 +30,43 @@ def test_vectors(spark, small):
     assert [(r["query_id"], r["chunk_id"], round(r["vector_score"], 9)) for r in got] == [(7, 3, 1.0), (7, 1, 0.707106781), (7, 2, 0.0)]
 
 
+def test_vectors_of_several_lengths_and_models(spark, monkeypatch):
+    e = spark.createDataFrame([(1, "m", [1.0, 0.0]), (2, "m", [1.0, 1.0, 0.0]), (3, "n", [0.0, 1.0]), (4, "m", [float("nan"), 1.0, 0.0])], "chunk_id long, model string, vector array<float>")
+    q = spark.createDataFrame([(1, "m", [1.0, 0.0]), (2, "m", [2.0, 0.0]), (3, "m", [0.0, 1.0, 0.0]), (4, "n", [0.0, 2.0]), (5, "m", [1.0] * 5), (6, None, [1.0, 0.0])], "query_id long, model string, embedding array<float>")
+    want = {(1, 1), (2, 1), (3, 2), (4, 3)}
+    assert {tuple(r)[:2] for r in search.vector_search(e, q).select("query_id", "chunk_id").collect()} == want
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    assert {tuple(r)[:2] for r in search.vector_search(e, q, block=2).select("query_id", "chunk_id").collect()} == want
+    assert search.vector_search(e, q, least=0.9, block=2).count() == 3
+
+
+def test_many_keys_by_first_letters(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "the green hills"), (2, None), (3, ""), (4, "x")], "query_id long, text string")
+    lexicon = spark.createDataFrame([("green hills",), ("gr",), ("hillside",), ("x",)], "key string")
+    want = {(1, "green hills"), (1, "gr")}
+    assert want <= {tuple(r) for r in search.text_keys(q, lexicon).collect()}
+    monkeypatch.setattr(search, "SCANNED_KEYS", 0)
+    assert {tuple(r) for r in search.text_keys(q, lexicon).collect()} == want
+    plan = search.text_keys(q, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_vector_keys_leave_the_scan_only_if_near(spark):
+    keys = spark.createDataFrame([("tag", f"k{i}", "m", 2, [1.0, float(i)], 0) for i in range(200)], index.SCHEMAS["key_embeddings"])
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    gone = spark.createDataFrame([(1, "k0"), (1, "other")], "query_id long, key string")
+    got = search.vector_keys(keys, q, "m", "tag", exclude=gone, least=0.3, k=2)
+    assert [r["key"] for r in got.orderBy("similarity", ascending=False).collect()] == ["k1", "k2"]
+
+
+def test_timings(spark):
+    rows = spark.createDataFrame([("a", float(i % 7)) for i in range(100)] + [("b", 5.0)] * 300 + [("c", None)], "kind string, v double")
+    got = {r["kind"]: r for r in timings.summary(rows, "kind", "v").collect()}
+    values = sorted(i % 7 for i in range(100))
+    assert (got["a"]["p50"], got["a"]["p95"], got["a"]["n"]) == (values[50], values[95], 100) and got["b"]["p95"] == 5.0 and got["c"]["p50"] is None
+    assert timings.summary(rows.limit(0), "kind", "v").count() == 0
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     import numpy as np
 

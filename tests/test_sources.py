@@ -1,12 +1,15 @@
 import json
 import os
+import threading
 from datetime import datetime, timedelta
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner import config
+from gleaner import config, runtime
 from gleaner.operators import index
+from gleaner.plans import recall
 from gleaner.plans.recall import Engine, prepare
 from gleaner.sources import providers, store, vault
 from gleaner.streaming import reactive
@@ -68,6 +71,79 @@ def test_one_writer(spark, tmp_path):
         pass
 
 
+def test_lock_left_behind(spark, tmp_path):
+    s, other = store.Store(spark, str(tmp_path)), store.Store(spark, str(tmp_path))
+    with s.writing(seconds=-1):  # as if its time were over
+        with other.writing():  # takes it over
+            with pytest.raises(store.BusyError):
+                s.set_meta("x", 1)
+            other.set_meta("x", 2)
+    assert s.meta("x") == 2 and not (tmp_path / "lock").exists()
+
+
+def test_append(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    one = spark.createDataFrame([(1, "p", 0, None, "t")], index.SCHEMAS["chunks"])
+    s.append("chunks", one)
+    s.append("chunks", one)
+    s.vacuum()
+    assert s.table("chunks").count() == 2
+    s.save({"chunks": one})
+    s.save({"chunks": one})
+    s.vacuum()
+    assert s.table("chunks").count() == 1 and sum(f.startswith("chunks-") for f in os.listdir(tmp_path)) == 2
+
+
+def test_embedding_that_fails_keeps_what_was_done(spark, tmp_path):
+    class Failing(providers.HashEmbedder):
+        def embed(self, texts):
+            if any("bread" in t for t in texts):
+                raise providers.EmbedError(400, "no")
+            return super().embed(texts)
+
+    notes = spark.createDataFrame([(f"n{i}.md", 1, 1, f"{'bread' if i == 7 else 'water'} and wine {i}") for i in range(12)], "path string, mtime long, size long, content string")
+    engine = Engine(spark, store.Store(spark, str(tmp_path / "e")), config.Settings(folders=(config.Folder(""),)))
+    engine.reindex(notes)
+    assert engine.next_step() == "none"
+    engine.embedder = Failing()
+    assert engine.next_step() == "embed"
+    with pytest.raises(Exception, match="400"):
+        engine.embed(at_once=2)
+    done = engine.store.table("embeddings").count()
+    engine.embedder = providers.HashEmbedder()
+    assert 0 < done < 12 and engine.embed() == 12 and engine.next_step() == "none"
+    engine.embedder = providers.HashEmbedder(model="other")
+    assert engine.embed() == 12 and {r["model"] for r in engine.store.table("embeddings").collect()} == {"other"}
+    engine.settings = config.add_folder(engine.settings, "x/")
+    assert engine.next_step() == "index" and Engine(spark, engine.store, config.Settings()).next_step() == "folders"
+
+
+def test_results_are_kept(spark, tmp_path):
+    notes = spark.createDataFrame([("n1.md", 1, 1, "the river runs through green hills"), ("n2.md", 1, 1, "bread and wine and water")], "path string, mtime long, size long, content string")
+    engine = Engine(spark, store.Store(spark, str(tmp_path / "e")), config.Settings(folders=(config.Folder(""),)))
+    engine.reindex(notes)
+    r = recall.Recaller(engine, most=2)
+    first, seconds = r.recall("river green hills")
+    assert [h["note_path"] for h in first] == ["n1.md"] and r.recall("river green hills") == (first, seconds)
+    r.recall("bread and wine")
+    r.recall("river green hills")
+    r.recall("green hills and water")
+    assert [k[1] for k in r.kept] == ["river green hills", "green hills and water"]
+    engine.settings = config.edit_folder(engine.settings, "", weight=1)
+    engine.reapply()
+    r.recall("river green hills")
+    assert len(r.kept) == 1
+
+
+def test_scratch_is_discarded(spark):
+    with runtime.discarding():
+        kept = runtime.materialise(spark.range(3), "x")
+        assert kept.count() == 3
+        path = runtime._WRITTEN[-1][1].removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
+
+
 def test_bytes(spark):
     rows = spark.createDataFrame([([1.5, -2.0],), (None,)], "vector array<float>")
     back = store.vectors_from_bytes(store.vectors_to_bytes(rows))
@@ -117,6 +193,36 @@ def test_synonyms(spark):
     assert {tuple(r) for r in got.collect()} == {("old", "kept"), ("hope", "hopeness")}
 
 
+def test_chat_service():
+    said = []
+
+    class Handler(BaseHTTPRequestHandler):
+        answers = iter([(503, "busy"), (200, {"choices": [{"message": {"content": json.dumps({"hope": [" trust ", "hope", 5], "joy": "no list"})}}]}), (200, {"choices": [{"message": {"content": "not json"}}]})])
+
+        def do_POST(self):
+            said.append((self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            status, body = next(self.answers)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write((body if isinstance(body, str) else json.dumps(body)).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        ask = providers.HttpSynonyms(f"http://127.0.0.1:{server.server_port}", "secret", "m")
+        found = providers.with_retries(lambda: ask.synonyms(["hope", "joy"]), sleep=lambda _: None)
+        assert providers.sane_synonyms(found, ["hope", "joy"]) == {"hope": ["trust"]} and len(said) == 2
+        assert said[0][0] == "Bearer secret" and said[0][1]["messages"][1]["content"] == "hope\njoy"
+        assert ask.synonyms(["x"]) == {}
+    finally:
+        server.shutdown()
+    with pytest.raises(providers.MissingCredentialError):
+        providers.HttpSynonyms("http://localhost", "", "m").synonyms(["x"])
+
+
 def test_engine(spark, tmp_path):
     notes = spark.createDataFrame(
         [("a/n1.md", 1, 1, "# Rivers\nthe river runs through green hills #water"), ("a/n2.md", 1, 1, "a river of hope and water and green hills"), ("b/n3.md", 1, 1, "bread and wine #water")], "path string, mtime long, size long, content string"
@@ -188,3 +294,26 @@ def test_suppression(spark):
     shown = spark.createDataFrame([("s", "c")], "session string, path string")
     got = {(r["path"], r["manual"], r["ts"].microsecond) for r in reactive.not_suppressed(triggers, opened, shown).collect()}
     assert got == {("a", True, 100000), ("a", False, 900000), ("b", False, 100000)}
+
+
+def test_gate_of_tables_and_streams(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    steps = [(0, "a", "open"), (100, "a", "trigger"), (200, "b", "trigger"), (300, "a", "manual"), (900, "a", "trigger"), (1000, None, "pause"), (1100, "b", "trigger"), (1200, "b", "manual"), (1300, None, "resume"), (1400, "b", "trigger"), (1500, None, "trigger")]
+    rows = spark.createDataFrame([("s", i, t + timedelta(milliseconds=ms), p, kind) for i, (ms, p, kind) in enumerate(steps)], "session string, event_id int, ts timestamp, path string, kind string")
+    want = [2, 3, 4, 7, 9, 10]
+    assert sorted(r["event_id"] for r in reactive.gate(rows).collect()) == want
+    for i, part in enumerate((rows.where("event_id < 6"), rows.where("event_id >= 6"))):  # the state outlives a run
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        q = reactive.stream_gate(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    got = sorted((r["ts"], r["path"], r["kind"]) for r in spark.read.parquet(str(tmp_path / "out")).fillna("").collect())
+    assert got == sorted((t + timedelta(milliseconds=steps[i][0]), steps[i][1] or "", steps[i][2]) for i in want)
+
+
+def test_sticky_stream(spark, tmp_path):
+    events(spark).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    q = reactive.stream_sticky(stream, "session", "value").writeStream.format("memory").queryName("stuck").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [r["value"] for r in spark.table("stuck").orderBy("ts").collect()] == ["a", "a", "b", "b"]
