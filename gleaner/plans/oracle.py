@@ -280,8 +280,8 @@ l as (select *, {_is_blank('line')} as blank from lines), e as (select doc_id, c
 p as (select l.doc_id, {_trim("string_agg(line, chr(10) order by pos)")} as paragraph from l join e using (doc_id) where n >= 2 and pos > low and pos < coalesce(high, n + 1) group by 1),
 s as (select lang as session, 'note' || ((d.doc_id // 3) % 7) as path, d.doc_id as "at", case when d.doc_id % 3 = 0 and length({_trim('title')}) >= 10 then {_trim('title')} end as chosen, case when length(paragraph) >= 10 then paragraph end as paragraph from documents d left join p using (doc_id) where text is not null and lang is not null),
 a as (select *, case when coalesce(chosen, paragraph) is not null then {{'path': path, 'text': coalesce(chosen, paragraph), 'mode': case when chosen is not null then 'selection' else 'paragraph' end}} end as asks from s),
-k as (select *, last_value(asks ignore nulls) over (partition by session order by "at" rows unbounded preceding) as k from a)
-select session, path, "at", k.text as text, k.mode as mode from k where k.path = path"""
+kept as (select *, last_value(asks ignore nulls) over (partition by session order by "at" rows unbounded preceding) as held from a)
+select session, path, "at", held['text'] as text, held['mode'] as mode from kept where held['path'] = path"""
     q["unique_queries"] = f"with {_ASKED} select text, count(*) as times, min(query_id) as first from asked group by 1"
     q["paragraphs"] = f"""with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null),
 l as (select *, {_is_blank('line')} as blank from lines), e as (select doc_id, coalesce(max(pos) filter (blank and pos < 2), -1) as low, min(pos) filter (blank and pos > 2) as high, max(pos) as n from l group by 1),

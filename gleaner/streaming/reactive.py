@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 QUIET, LEFT_ALONE = 2500, 800
 #: Milliseconds without an event after which a stream forgets a key.
 FORGOTTEN = 24 * 3_600_000
+#: How late an event of such a stream may be; later ones are dropped.
+LATE = "1 hour"
 
 
 def debounce(events: DataFrame, key: str, at: str = "ts", order: str = "event_id", quiet_ms: int = QUIET, watermark: str | None = None) -> DataFrame:
@@ -34,7 +36,12 @@ def changes(events: DataFrame, key: str, value: str, at: str = "ts", order: str
     return events.withColumn("__before", before).where(F.coalesce(F.col(value), F.lit("")) != F.col("__before")).drop("__before")
 
 
-def stream_changes(events: DataFrame, key: str, value: str, at: str = "ts", forget_ms: int = FORGOTTEN) -> DataFrame:
+def _forget(state, times: pd.Series, after_ms: int) -> None:
+    """Lets a key's state end so long after its last event, by the time of events."""
+    state.setTimeoutTimestamp(max(int(times.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + after_ms)
+
+
+def stream_changes(events: DataFrame, key: str, value: str, at: str = "ts", forget_ms: int = FORGOTTEN, late: str = LATE) -> DataFrame:
     """The same for a stream: ``<key>, <value>, <at>`` of each change; the last value of a key is kept until it was silent for `forget_ms`."""
     types = dict(events.dtypes)
     schema = f"{key} {types[key]}, {value} {types[value]}, {at} {types[at]}"
@@ -49,13 +56,13 @@ def stream_changes(events: DataFrame, key: str, value: str, at: str = "ts", forg
         changed = shown != shown.shift(fill_value=last)
         if len(rows):
             state.update((shown.iloc[-1],))
-            state.setTimeoutDuration(forget_ms)
+            _forget(state, rows[at], forget_ms)
         yield pd.DataFrame({key: k[0], value: rows[value][changed], at: rows[at][changed]})
 
-    return events.groupBy(key).applyInPandasWithState(run, schema, f"last {types[value]}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(run, schema, f"last {types[value]}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_sticky(events: DataFrame, key: str, value: str, at: str = "ts", forget_ms: int = FORGOTTEN) -> DataFrame:
+def stream_sticky(events: DataFrame, key: str, value: str, at: str = "ts", forget_ms: int = FORGOTTEN, late: str = LATE) -> DataFrame:
     """`sticky` for a stream: ``<key>, <at>, <value>`` of every event; a key's last value is kept until it was silent for `forget_ms`."""
     types = dict(events.dtypes)
     schema = f"{key} {types[key]}, {at} {types[at]}, {value} {types[value]}"
@@ -72,10 +79,10 @@ def stream_sticky(events: DataFrame, key: str, value: str, at: str = "ts", forge
             out.append(known[-1])
         if known[-1] is not None:
             state.update((known[-1],))
-            state.setTimeoutDuration(forget_ms)
+            _forget(state, rows[at], forget_ms)
         yield pd.DataFrame({key: k[0], at: rows[at], value: pd.Series(out, index=rows.index, dtype=object)})
 
-    return events.groupBy(key).applyInPandasWithState(run, schema, f"last {types[value]}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(run, schema, f"last {types[value]}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 #: What an event may be to `gate`.
@@ -99,7 +106,7 @@ def gate(events: DataFrame, key: str = "session", at: str = "ts", order: str = "
     return rows.where((F.col("kind") == MANUAL) | ((F.col("kind") == TRIGGER) & ~paused & ~alone)).drop("__switch", "__opened")
 
 
-def stream_gate(events: DataFrame, key: str = "session", at: str = "ts", ms: int = LEFT_ALONE, forget_ms: int = FORGOTTEN) -> DataFrame:
+def stream_gate(events: DataFrame, key: str = "session", at: str = "ts", ms: int = LEFT_ALONE, forget_ms: int = FORGOTTEN, late: str = LATE) -> DataFrame:
     """`gate` for a stream: ``<key>, <at>, path, kind`` of the triggers that pass.
 
     A key's state is whether it is paused and the notes opened within `ms`; it is dropped when the key was silent for `forget_ms`.
@@ -121,11 +128,11 @@ def stream_gate(events: DataFrame, key: str = "session", at: str = "ts", ms: int
                 opened = {p: t for p, t in opened.items() if when - t < ms} | {path: int(when)}
             passed.append(kind == MANUAL or (kind == TRIGGER and not paused and not (path in opened and when - opened[path] < ms)))
         state.update((bool(paused), json.dumps(opened)))
-        state.setTimeoutDuration(forget_ms)
+        _forget(state, rows[at], forget_ms)
         kept = rows[passed]
         yield pd.DataFrame({key: k[0], at: kept[at], "path": kept["path"], "kind": kept["kind"]})
 
-    return events.groupBy(key).applyInPandasWithState(run, schema, "paused boolean, opened string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(run, schema, "paused boolean, opened string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_wins(results: DataFrame, key: str, generation: str = "generation") -> DataFrame:
