@@ -14,13 +14,15 @@ from ..runtime import materialise, spread
 
 #: Bytes of keys and ids up to which the items' table is broadcast.
 BROADCAST_BYTES = 32_000_000
-#: An item or basket beyond this share of the rows is handled apart; there are at most as many as its inverse.
+#: An item beyond this share of the rows is looked up by broadcast; there are at most as many as its inverse.
 HOT_SHARE = 1 / 1000
+#: How often an item's baskets may double beyond `hot_rows` for its stripes still to be cut further.
+DOUBLINGS = 24
 #: Fixed value: the log-likelihood ratio that chance alone exceeds once in a thousand (chi-square, one degree of freedom).
 SIGNIFICANT = 10.828
 
 
-def _stripes(hot_below: int, parts: int, flush: int):
+def _stripes(hot: np.ndarray, flush: int):
     """Arrays of items by basket to stripes: item, part, its neighbours and their counts, combined within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +33,7 @@ def _stripes(hot_below: int, parts: int, flush: int):
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal size
             if left:
-                yield from as_stripes(*add_up(np.concatenate(left), np.concatenate(right), None), hot_below, parts)
+                yield from as_stripes(*add_up(np.concatenate(left), np.concatenate(right), None), hot)
             left.clear()
             right.clear()
             size = 0
@@ -78,8 +80,16 @@ def add_up(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None) -> tuple[np.
     return x[start], y[start], n
 
 
-def as_stripes(x: np.ndarray, y: np.ndarray, n: np.ndarray, hot_below: int, parts: int) -> Iterator[pa.RecordBatch]:
-    part = np.where(x <= hot_below, (y * 0x9E3779B1 >> 7) % parts, 0)
+def parts_of(x: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Into how many parts the stripes of the items `x` are cut: two for items up to id `hot[0]`, twice as many up to `hot[1]`, and so on.
+
+    Ids rise as support falls, and the bounds of `hot` fall.
+    """
+    return 1 << (len(hot) - np.searchsorted(hot[::-1], x, "left"))
+
+
+def as_stripes(x: np.ndarray, y: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    part = (y * 0x9E3779B1 >> 7) % parts_of(x, hot)
     order = np.lexsort((y, part, x))
     x, y, n, part = x[order], y[order], n[order], part[order]
     start = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (part[1:] != part[:-1]))))
@@ -136,13 +146,13 @@ def log_likelihood_ratio(c: Column, a: Column, b: Column, n: Column) -> Column:
 
 
 def item_pairs(
-    rows: DataFrame, basket: str, item: str, *, names: DataFrame | None = None, min_together: int = 8, min_lift: float = 0.0, block: int = 2048, parts: int = 64, hot_rows: int = 10_000, flush: int = 1_000_000
+    rows: DataFrame, basket: str, item: str, *, names: DataFrame | None = None, min_together: int = 8, min_lift: float = 0.0, min_llr: float = 0.0, block: int = 2048, hot_rows: int = 10_000, flush: int = 1_000_000
 ) -> DataFrame:
     """Pairs of items that at least `min_together` baskets hold: ``item_1, item_2, together, records_1, records_2, records, lift, llr, significant``.
 
     `records_1`, `records_2` are the baskets that hold each item, `records`
     all distinct baskets, `lift` how many times more often the pair occurs
-    than by chance (at least `min_lift`), `llr` the log-likelihood ratio.
+    than by chance (at least `min_lift`), `llr` the log-likelihood ratio (at least `min_llr`).
     `significant` are pairs above chance (lift over 1) whose ratio is SIGNIFICANT
     or more; the others come out too.
     Items are compared by value, ``item_1 < item_2``. `names` (columns ``key,
@@ -151,8 +161,8 @@ def item_pairs(
     Stripes: every task turns its baskets into rows (item, neighbours,
     counts), one per item, adding up equal ones before they are shuffled;
     stripes of an item meet in one task, which adds the arrays up. The stripes
-    of frequent items (a thousandth of all rows, and `hot_rows`) are cut into
-    `parts` by neighbour, so none grows without bound. Items below `min_together`, or so frequent that no pair of
+    of an item in more than `hot_rows` baskets are cut by neighbour into twice as
+    many parts for every doubling of its baskets, so none grows with the data. Items below `min_together`, or so frequent that no pair of
     theirs can reach `min_lift` (c <= min(a, b) gives c N / (a b) <= N / max(a, b)),
     are left out beforehand: no pair is lost.
 
@@ -181,8 +191,9 @@ def item_pairs(
     support = support.repartitionByRange(F.col("records").desc(), F.col("key")).sortWithinPartitions(F.col("records").desc(), F.col("key"))
     support = materialise(support.withColumn("id", F.monotonically_increasing_id()), "items")
     hot_from = max(size * HOT_SHARE, hot_rows)
-    known, hot_below = support.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0)), F.max(F.when(F.col("records") > hot_from, F.col("id")))).first()
-    hot_below = -1 if hot_below is None else hot_below
+    up_to = lambda bound: F.coalesce(F.max(F.when(F.col("records") > F.lit(bound), F.col("id"))), F.lit(-1))
+    known, hot_below, *hot = support.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0)), up_to(float(hot_from)), *(up_to(float(hot_rows << j)) for j in range(DOUBLINGS))).first()
+    hot = np.array([h for h in hot if h >= 0], np.int64)
 
     ids = support.select("key", "id")
     full = held.where("key is not null")
@@ -216,7 +227,7 @@ def item_pairs(
     baskets = small.groupBy("basket").agg(F.collect_list("id").alias("mine")).where("size(mine) > 1").select("mine", F.lit(None).cast("array<long>").alias("other"))
     if extra is not None:
         baskets = baskets.unionAll(extra)
-    stripes = baskets.mapInArrow(_stripes(hot_below, parts, flush), "item long, part int, others array<long>, counts array<long>")
+    stripes = baskets.mapInArrow(_stripes(hot, flush), "item long, part int, others array<long>, counts array<long>")
     least = max(1, min_together - len(aside))
     # every row has one item and part; the number of partitions is the session's
     merged = stripes.repartition("item", "part").sortWithinPartitions("item", "part").mapInArrow(_merge(least), "id_1 long, id_2 long, together long")
@@ -238,6 +249,8 @@ def item_pairs(
     swap = F.col("name_1") > F.col("name_2")
     lift = c.cast("double") * n / (a.cast("double") * b)
     out = out.where(c.cast("double") * n >= F.lit(float(min_lift)) * a * b)
+    if min_llr > 0:
+        out = out.where(log_likelihood_ratio(c, a, b, n) >= min_llr)
     return out.select(
         F.least("name_1", "name_2").alias("item_1"),
         F.greatest("name_1", "name_2").alias("item_2"),

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def test_large_baskets_hot_items_and_shuffle_joins(spark, monkeypatch):
     rows = make(2) + [(b, f"i{i:02}") for b in range(1000, 1006) for i in range(25) if (i + b) % 6] + [(b, "i00") for b in range(2000, 2100)]
     monkeypatch.setattr(co, "BROADCAST_BYTES", 0)
     df = spark.createDataFrame(rows, "b int, i string")
-    got = co.item_pairs(df, "b", "i", min_together=3, block=6, parts=4, hot_rows=20, flush=50)
+    got = co.item_pairs(df, "b", "i", min_together=3, block=6, hot_rows=3, flush=50)
     want = brute_pairs(rows, 3, 0)
     assert found(got) == want
     row = got.where("item_1 = 'i00'").orderBy(F.desc("together")).first()
@@ -58,6 +59,19 @@ def test_large_baskets_hot_items_and_shuffle_joins(spark, monkeypatch):
     assert math.isclose(row["llr"], llr, rel_tol=1e-9) and math.isclose(row["lift"], c * n / (a * b))
 
 
+def test_parts_follow_support():
+    """An item's parts double with its baskets; ids rise as support falls."""
+    hot = np.array([9, 4, 1])  # ids up to 9 have more than n baskets, up to 4 more than 2 n, up to 1 more than 4 n
+    assert co.parts_of(np.array([0, 1, 2, 4, 5, 9, 10, 99]), hot).tolist() == [8, 8, 4, 4, 2, 2, 1, 1]
+    assert co.parts_of(np.array([0, 7]), np.zeros(0, np.int64)).tolist() == [1, 1]
+
+
+def test_least_ratio(spark):
+    df = spark.createDataFrame(make(4), "b int, i string")
+    every = co.item_pairs(df, "b", "i", min_together=1)
+    assert 0 < co.item_pairs(df, "b", "i", min_together=1, min_llr=2.0).count() == every.where("llr >= 2.0").count() < every.count()
+
+
 def test_significance(spark):
     """Marked are pairs that chance hardly gives; not those at chance, nor those far below it."""
     rows = [(b, i) for b in range(20) for i in "xy"] + [(b, "z") for b in range(0, 200, 2)] + [(b, "p" if b % 2 else "q") for b in range(200)] + [(1, "q")]
