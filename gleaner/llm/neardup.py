@@ -152,6 +152,32 @@ def estimate(p: Params) -> Column:
     return (agree - chance) / (1 - chance)
 
 
+def standard_error(similarity: float, hashes: int, bits: int) -> float:
+    """Of the similarity that `bits` bits of each of `hashes` minima give, corrected for chance."""
+    chance = 2.0**-bits
+    agree = similarity + (1 - similarity) * chance
+    return (agree * (1 - agree) / hashes) ** 0.5 / (1 - chance)
+
+
+def met_in_bands(signed: DataFrame, p: Params) -> DataFrame:
+    """``id_1, id_2``: pairs of rows that agree in a band and whose lowest bits don't say that they differ too much.
+
+    The lowest bit of every minimum goes along with each band key, so that what meets by
+    chance, or is one of many of a kind without being similar, is left out inside the
+    join, before it is written or shuffled; the other bits are looked up for what stays.
+    """
+    lowest = [f"s{w}" for w in range(p.hashes // 64)]
+    bands = signed.select("id", F.explode("bands").alias("band"), *lowest)
+    a, b = bands.alias("a"), bands.alias("b")
+    differ = F.lit(0)
+    for w in lowest:
+        differ = differ + F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}")))
+    similar = 1 - 2 * differ / F.lit(float(p.hashes))
+    least = p.threshold - 5 * standard_error(p.threshold, p.hashes, 1)
+    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (similar >= least))
+    return near.select(F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2")).distinct()
+
+
 def _verify(p: Params, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -177,6 +203,14 @@ def _verify(p: Params, schema: pa.Schema):
     return run
 
 
+def signatures(source: DataFrame, p: Params) -> DataFrame:
+    """``id, h1, h2``, the words of the packed minima and ``bands``, of rows (``id, text``) with a text of `min_terms` terms."""
+    long = T.LongType()
+    fields = [source.schema["id"], *(T.StructField(n, long) for n in ("h1", "h2", *(f"s{i}" for i in range(_words(p))))), T.StructField("bands", T.ArrayType(long))]
+    schema = T.StructType(fields)
+    return spread(source.where("text is not null")).mapInArrow(_sign(p, to_arrow_schema(schema)), schema)
+
+
 def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text", params: Params = Params()) -> Near:
     """Rows whose sets of `shingle` consecutive terms have a Jaccard similarity of `threshold` or more.
 
@@ -188,8 +222,9 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text", pa
     key per band brings the classes that agree in a band together, the low
     BITS bits of every minimum stay as a packed signature. Candidates are
     thinned by the similarity that bit counts of two signatures give,
-    corrected for chance, down to five standard errors below the threshold;
-    what remains is compared exactly. The join on band keys is a plain
+    corrected for chance, down to five standard errors below the threshold:
+    by the lowest bits inside the join, by all of them after it; what remains
+    is compared exactly. The join on band keys is a plain
     equi-join, which adaptive execution splits where a band key is frequent;
     nothing is capped.
 
@@ -202,11 +237,9 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text", pa
     """
     p = params
     source = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kind = source.schema["id"].dataType
+    kind, long = source.schema["id"].dataType, T.LongType()
     names = [f"s{i}" for i in range(_words(p))]
-    long = T.LongType()
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(n, long) for n in ("h1", "h2", *names)), T.StructField("bands", T.ArrayType(long))])
-    signed = materialise(spread(source.where("text is not null")).mapInArrow(_sign(p, to_arrow_schema(schema)), schema), "signatures")
+    signed = materialise(signatures(source, p), "signatures")
     classes = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     several = materialise(classes.where("n > 1").select("h1", "h2", "rep"), "classes")
     copies = materialise(signed.select("id", "h1", "h2").join(several, ["h1", "h2"]).select("id", "rep").where("id <> rep").distinct(), "copies")
@@ -215,13 +248,10 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text", pa
         members = members.unionAll(source.where("text is null").select("id", F.col("id").alias("rep")).distinct())
     alone = signed.join(copies, "id", "left_anti")
 
-    bands = alone.select("id", F.explode("bands").alias("band"))
-    a, b = bands.alias("a"), bands.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2")).distinct()
+    met = met_in_bands(alone, p)
     for k in "12":
         met = met.join(signed.select(F.col("id").alias(f"id_{k}"), *(F.col(n).alias(f"{n}_{k}") for n in names)), f"id_{k}")
-    error = (p.threshold * (1 - p.threshold) / p.hashes) ** 0.5
-    likely = materialise(met.where(estimate(p) >= p.threshold - 5 * error).select("id_1", "id_2").distinct(), "candidates")
+    likely = materialise(met.where(estimate(p) >= p.threshold - 5 * standard_error(p.threshold, p.hashes, BITS)).select("id_1", "id_2").distinct(), "candidates")
     # only texts of candidates are read again
     wanted = likely.select(F.col("id_1").alias("id")).union(likely.select("id_2")).distinct()
     texts = source.join(wanted, "id", "left_semi")

@@ -66,6 +66,25 @@ def test_every_chunk_has_a_class(spark, tmp_path):
     assert got == {i: {2: 1, 4: 3, 6: 5, 9: 8}.get(i, i) for i, _ in rows}
 
 
+def test_a_family_that_is_not_similar_stays_in_the_join(spark):
+    """Chunks made from one template that share a third of their shingles: they agree in some bands, but none is a candidate."""
+    rng = random.Random(5)
+    head = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(head + [f"w{rng.randrange(10**6)}" for _ in range(100)])) for i in range(250)]
+    p = neardup.Params(shingle=3, threshold=0.8, min_terms=5)
+    df = spark.createDataFrame(rows, "chunk_id long, text string")
+    signed = neardup.signatures(df.select(F.col("chunk_id").alias("id"), "text"), p)
+    bands = signed.select("id", F.explode("bands").alias("band"))
+    meet = bands.alias("a").join(bands.alias("b"), "band").where("a.id < b.id").count()
+    assert meet > 2000 and neardup.met_in_bands(signed, p).count() < meet / 50
+    assert neardup.near_duplicates(df, params=p).links.count() == 0
+
+
+def test_standard_error():
+    assert abs(neardup.standard_error(0.5, 128, 64) - (0.25 / 128) ** 0.5) < 1e-9
+    assert neardup.standard_error(0.7, 128, 1) > neardup.standard_error(0.7, 128, 4) > (0.21 / 128) ** 0.5
+
+
 def test_none(spark):
     near = neardup.near_duplicates(spark.createDataFrame([], "chunk_id long, text string"), params=P)
     assert near.members.count() == near.links.count() == neardup.near_duplicate_pairs(near).count() == neardup.near_duplicate_groups(near).count() == 0
