@@ -36,7 +36,8 @@ def solve_rates(cells: DataFrame, goals: dict[str, tuple[float, float]], *, roun
     goals and stay within 0 and the cap. The dual is convex, with one unknown per source; every
     Newton round sums its slope and curvature over the cells on the cluster
     and brings one row per source back. A step that leaves the bracket of the
-    root is replaced by bisection.
+    root is replaced by bisection. Rates that don't meet the goals after `rounds`
+    are an error.
     """
     stats = {r["source"]: r for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"), F.sum("n").alias("n")).collect()}
     state = {s: [0.0, -math.inf, math.inf] for s in goals}  # tilt, and what it lies between
@@ -70,6 +71,9 @@ def solve_rates(cells: DataFrame, goals: dict[str, tuple[float, float]], *, roun
                 at[0] = step
         if worst <= tolerance:
             break
+    else:
+        if worst > 1e-6:  # beyond what sums of doubles differ by
+            raise RuntimeError(f"no rates in {rounds} rounds: a source misses its goal by a share of {worst:.2g}")
     return {s: (base[s], state[s][0], scale[s]) for s in goals}
 
 

@@ -90,6 +90,12 @@ def test_mix(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, copies))
 
 
+def test_rates_that_are_not_solved_are_an_error(spark):
+    cells = spark.createDataFrame([("a", t, 10) for t in (1, 5, 20, 100)] + [("b", t, 3) for t in (2, 50)], "source string, tokens long, n long")
+    with pytest.raises(RuntimeError, match="misses its goal"):
+        mixing.solve_rates(cells, {"a": (900.0, 1.0), "b": (200.0, 3.0)}, rounds=1)
+
+
 def test_rates_solve_the_dual(spark):
     import math
 
