@@ -8,7 +8,7 @@ from functools import cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +26,15 @@ LOOKALIKES = {
     "Г": "Γ", "П": "Π", "Ф": "Φ", "Ѱ": "Ψ", "ѱ": "ψ",
     # Armenian
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L",
+    # Latin, phonetic
+    "ɡ": "g",
     # Cherokee
     "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮟ": "b", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
 }
+#: Letters that the published table joins with Latin ones though they are drawn otherwise.
+APART = frozenset("αγισгᴦꮁⲅѡաᏒᏔᏕᏻցռքգզҽꙇꭵУ")
+#: Blocks of Hangul letters; they make up syllables and stay.
+JAMO = ((0x1100, 0x1200), (0x3130, 0x3190), (0xA960, 0xA980), (0xAC00, 0xD800))
 #: Compatibility forms that show the same signs; raised, lowered, encircled and fraction forms can be told apart.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<square>", "<small>", "<font>", "<vertical>", "<initial>", "<medial>", "<final>", "<isolated>"}
 #: Compatibility signs whose mapping shows something else than they do.
@@ -39,12 +45,36 @@ DRAWN = {*map(chr, range(0x0600, 0x0606)), *"\u06dd\u070f\u0890\u0891\u08e2\U000
 INVISIBLE = {*"\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0", *map(chr, range(0x180B, 0x1810)), *map(chr, range(0xFE00, 0xFE10)), *map(chr, range(0xE0100, 0xE01F0))}
 
 
-def _prototype(c: str) -> str | None:
+def published(spark: SparkSession) -> dict[str, str]:
+    """Letters of other alphabets that Unicode's published table of confusables gives the prototype of a Latin letter of the same case.
+
+    The table is read from the ICU library that Spark brings along, letter by letter, and
+    kept to letters of one case: the table itself makes one of I, l and 1, which readers
+    tell apart. Without that library there are none but LOOKALIKES.
+    """
+    try:
+        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except TypeError:
+        return {}
+    alphabet = lambda c: unicodedata.name(c, "").split(" ")[0]
+    kind = lambda c: "Lu" if alphabet(c) == "LISU" else unicodedata.category(c)  # noqa: E731 - Lisu has one case, drawn as capitals
+    letters = [c for c in map(chr, range(0x20000)) if kind(c) in ("Lu", "Ll") and not unicodedata.decomposition(c) and not any(a <= ord(c) < b for a, b in JAMO)]
+    shown = {}
+    for i in range(0, len(letters), 5000):
+        shown |= zip(letters[i : i + 5000], checker.getSkeleton("\n".join(letters[i : i + 5000])).split("\n"))
+    latin = {(shown[c], kind(c)): c for c in letters if c.isascii()}
+    found = {c: latin.get((s, kind(c)), c) for c, s in shown.items()}
+    return {c: to for c, to in found.items() if c != to and alphabet(c) != "LATIN" and c not in APART}
+
+
+def _prototype(c: str, letters: dict[str, str]) -> str | None:
     """What one sign of a decomposed text becomes; None if it stays."""
     if c in INVISIBLE or unicodedata.category(c) == "Cf" and c not in DRAWN:
         return ""
     if c in LOOKALIKES:
         return LOOKALIKES[c]
+    if c in letters:
+        return letters[c]
     if c in KEPT:
         return None
     if unicodedata.category(c) == "Zs":
@@ -56,20 +86,25 @@ def _prototype(c: str) -> str | None:
     if shown.startswith(" ") and len(shown) > 1:  # spacing accents
         return None
     shown = unicodedata.normalize("NFD", shown)
-    return "".join(x if (p := _prototype(x)) is None else p for x in shown)
+    return "".join(x if (p := _prototype(x, letters)) is None else p for x in shown)
 
 
 @cache
-def prototypes() -> dict[int, str]:
-    """The look-alike table, for str.translate: made by rule from the character database and the lists above."""
-    return {i: p for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (p := _prototype(chr(i))) is not None and p != chr(i)}
+def _prototypes(letters: tuple[tuple[str, str], ...]) -> dict[int, str]:
+    known = dict(letters)
+    return {i: p for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (p := _prototype(chr(i), known)) is not None and p != chr(i)}
+
+
+def prototypes(spark: SparkSession | None = None) -> dict[int, str]:
+    """The look-alike table, for str.translate: made by rule from the character database, the lists above and, with a session, the published table."""
+    return _prototypes(tuple(sorted(published(spark).items())) if spark else ())
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str, table: dict[int, str] | None = None) -> str:
     """Decompose, replace every sign by its prototype, decompose again; composed for storage."""
     if text.isascii():
         return text
-    shown = unicodedata.normalize("NFD", text).translate(prototypes())
+    shown = unicodedata.normalize("NFD", text).translate(prototypes() if table is None else table)
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", shown))
 
 
@@ -77,12 +112,12 @@ def _halves(x: bytes) -> tuple[int, int]:
     return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
-def _forms(schema: pa.Schema, whole: bool):
+def _forms(schema: pa.Schema, whole: bool, table: dict[int, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                form = None if text is None else skeleton(text)
+                form = None if text is None else skeleton(text, table)
                 if whole:
                     rows.append((key, form))
                 elif form is not None:
@@ -97,7 +132,7 @@ def _run(df: DataFrame, key: str, text: str, fields: list[tuple[str, T.DataType]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *(T.StructField(n, t) for n, t in fields)])
-    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(_forms(to_arrow_schema(schema), whole), schema)
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(_forms(to_arrow_schema(schema), whole, prototypes(df.sparkSession)), schema)
 
 
 def visible_forms(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
