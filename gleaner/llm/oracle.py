@@ -47,6 +47,27 @@ select chunk_id_1, chunk_id_2 from met join size x on x.chunk_id = chunk_id_1 jo
 where met.n * 10 >= 7 * (x.n + y.n - met.n)
 """
 
+_GROUPS = rf"""
+with recursive words as (select chunk_id, text, regexp_extract_all(lower(nfc_normalize(text)), '[\p{{L}}\p{{N}}]{{2,}}') as terms from chunks),
+runs as (select chunk_id, case when text is null then ['null ' || chunk_id] when len(terms) = 0 then ['text ' || nfc_normalize(text)] when len(terms) < 5 then ['run ' || array_to_string(terms, ' ')]
+  else list_sort(list_distinct(list_transform(range(1, len(terms) - 3), lambda i: 'run ' || array_to_string(terms[i:i + 4], ' ')))) end as runs from words),
+members as (select chunk_id, min(chunk_id) over (partition by runs) as rep, runs from runs),
+reps as (select chunk_id as rep, runs from members where chunk_id = rep),
+flat as (select rep, len(runs) as n, unnest(runs) as run from reps),
+links as (select a.rep as a, b.rep as b from flat a join flat b on a.run = b.run and a.rep <> b.rep group by 1, 2, a.n, b.n having count(*) * 5 >= 4 * (a.n + b.n - count(*))),
+reach as (select rep as a, rep as b from reps union select reach.a, links.b from reach join links on links.a = reach.b),
+grouped as (select a as rep, min(b) as group_id from reach group by 1),
+ends as (select a as rep, count(*) as links from links group by 1)
+select chunk_id, rep, group_id, coalesce(links, 0) as links from members join grouped using (rep) left join ends using (rep)
+"""
+
+_SHARES = r"""
+with wanted as (select lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) as source, sum(target_share) as share, min(max_repeats) as cap from mix_targets where source is not null group by 1),
+given as (select distinct lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) as source from documents where text <> '' and source is not null),
+able as (select w.source, share from wanted w join given using (source) where share > 0 and cap >= 1)
+select source, round(coalesce(w.share, 0), 6) as target_share, round(coalesce(a.share / (select sum(share) from able), 0), 6) as reachable_share, true as met, true as within from wanted w left join able a using (source)
+"""
+
 _P5 = """
 with usable as (
   select distinct on (chunk_id, model, dim) chunk_id, model, dim, list_transform(vector, lambda x: x::double) as v from chunk_vectors
@@ -84,8 +105,12 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"select term, mark from ({_P2}) where mark <> 'kept'",
         "p2_terms": _P2,
         "p3_found": _P3,
+        "p3_checked": "select chunk_id, true as whole, true as within, true as overlap from chunks where length(text) + coalesce(length(heading), 0) > 1500",
         "p4_found": _P4,
+        "p4_groups": _GROUPS,
         "p5_found": _P5,
+        "p6_checked": "select doc_id, true as whole, true as fits from documents where text is not null",
+        "p7_checked": _SHARES,
         "p8_found": _p8(_LOOK_ALIKE),
         "p8_forms": _p8("select doc_id, form from forms"),
     }

@@ -93,6 +93,7 @@ def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """What each source was to give and gave. All shares are met, so the total follows the source that is shortest of tokens for its share."""
     return _mixture(spark, sf).shares
 
 
@@ -104,6 +105,40 @@ def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
     return skeleton.visible_forms(table(spark, sf, "documents"))
 
 
+def p3_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every oversized chunk: do its pieces cover the whole text in order, each within the limit, sharing no more than the overlap?"""
+    chunks = table(spark, sf, "chunks").select("chunk_id", F.length("text").alias("n"))
+    made = F.array_sort(F.collect_list(F.struct("piece", "start", "end", F.length("text").alias("n"), F.coalesce(F.length("heading"), F.lit(0)).alias("h"), F.octet_length("text").alias("b"))))
+    pieces = p3_pieces(spark, sf).groupBy("chunk_id").agg(made.alias("p")).join(chunks, "chunk_id")
+    last = F.element_at("p", -1)["end"]
+    steps = F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
+    pairs = F.arrays_zip(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("a"), steps.alias("b"))
+    shared = lambda x: x["a"]["end"] - x["b"]["start"]
+    return pieces.select(
+        "chunk_id",
+        ((F.element_at("p", 1)["start"] == 0) & (last == F.col("n")) & F.forall("p", lambda x: (x["n"] == x["end"] - x["start"]))).alias("whole"),
+        F.forall("p", lambda x: x["n"] + x["h"] <= 1500).alias("within"),
+        F.forall(pairs, lambda x: (shared(x) >= 0) & (shared(x) <= 150)).alias("overlap"),
+    )
+
+
+def p6_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every document: do its pieces add up to it, and does none of their containers hold more than fits?"""
+    packed = p6_containers(spark, sf)
+    full = packed.groupBy("container").agg((F.sum("tokens") <= 2048).alias("fits"), (F.sum("tokens") == F.max("used")).alias("adds"))
+    mine = packed.join(full, "container").groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.bool_and(F.col("fits") & F.col("adds")).alias("fits"), F.count("*").alias("pieces"))
+    sizes = packing.token_sizes(table(spark, sf, "documents"), ["doc_id"])
+    few = F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / 2048))
+    return mine.join(sizes, "doc_id").select("doc_id", ((F.col("placed") == F.col("tokens")) & few).alias("whole"), "fits")
+
+
+def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every source: the share it could reach; does it reach it, and is no document used too often?"""
+    met = F.abs(F.col("actual_share") - F.col("reachable_share")) < 0.002
+    within = F.col("most_copies") <= F.col("max_repeats")
+    return p7_shares(spark, sf).select("source", F.round("target_share", 6).alias("target_share"), F.round("reachable_share", 6).alias("reachable_share"), met.alias("met"), within.alias("within"))
+
+
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_pairs, p1_all, p2_found, p2_terms, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_nearest, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms]
+    named = [p1_found, p1_pairs, p1_all, p2_found, p2_terms, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_nearest, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_forms, p3_checked, p6_checked, p7_checked]
     return {q.__name__: q for q in named}
