@@ -201,8 +201,8 @@ def item_pairs(
         coded = full.join(F.broadcast(ids), "key").select("basket", "id")
     else:
         # few hot keys by broadcast, the rest by a shuffle that none of them can skew
-        hot = ids.where(F.col("id") <= hot_below).withColumnRenamed("id", "hot")
-        marked = full.join(F.broadcast(hot), "key", "left")
+        often = ids.where(F.col("id") <= hot_below).withColumnRenamed("id", "hot")
+        marked = full.join(F.broadcast(often), "key", "left")
         cold = marked.where("hot is null").select("basket", "key").join(ids.where(F.col("id") > hot_below), "key").select("basket", "id")
         coded = marked.where("hot is not null").select("basket", F.col("hot").alias("id")).unionAll(cold)
     coded = materialise(coded, "coded")
