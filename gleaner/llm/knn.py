@@ -489,11 +489,14 @@ def _nearest_in(rows: DataFrame, sizes: list, p: Params) -> DataFrame:
     best_ = materialise(_scanned(routed, cells, indexes, dims, p), "best")
 
     # whoever met too few rows in the partitions it asked asks all of them
-    have = cells.groupBy("g").agg((F.sum("n") - 1).alias("others"))
-    met = best_.groupBy("g", "id").count()
-    short = routed.select("g", "id").join(met, ["g", "id"], "left").join(F.broadcast(have), "g")
-    short = materialise(short.where(F.coalesce("count", F.lit(0)) < F.least(F.lit(p.k), F.col("others"))).select("g", "id"), "short")
-    if not short.isEmpty():
+    have = materialise(cells.groupBy("g").agg(F.sum("n").alias("n")), "have")
+    whole = have.agg(F.coalesce(F.sum(F.col("n") * F.least(F.lit(p.k), F.col("n") - 1)), F.lit(0))).first()[0]
+    short = None
+    if best_.count() < whole:
+        met = best_.groupBy("g", "id").count()
+        short = routed.select("g", "id").join(met, ["g", "id"], "left").join(F.broadcast(have), "g")
+        short = materialise(short.where(F.coalesce("count", F.lit(0)) < F.least(F.lit(p.k), F.col("n") - 1)).select("g", "id"), "short")
+    if short is not None:
         asking = routed.join(short.withColumn("asks", F.lit(True)), ["g", "id"], "left")
         # as many tiles as the data's bytes over a tile's
         all_tiles = cells.where("n > 0").groupBy("g").agg(F.collect_list(F.shiftleft("tile", SHIFT) + ALL).alias("every"))
@@ -515,13 +518,18 @@ def _with_copies(found: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """
     place = F.row_number().over(W.partitionBy("g", "rep").orderBy("id"))
     members = materialise(copies.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "members")
+    reps = members.select("g", F.col("rep").alias("id")).distinct()
+    # rows that found no class of several keep what they have
+    near_class = found.join(_few(reps.withColumnRenamed("id", "neighbour")), ["g", "neighbour"], "left_semi").select("g", "id")
+    touched = _few(materialise(near_class.unionAll(reps).distinct(), "touched"))
+    kept = found.join(touched, ["g", "id"], "left_anti").select("g", "id", "neighbour", "cosine", "rank")
     of_near = _few(members.select("g", F.col("rep").alias("neighbour"), F.col("id").alias("member")))
-    wide = found.drop("rank").join(of_near, ["g", "neighbour"], "left").select("g", "id", F.coalesce("member", "neighbour").alias("neighbour"), "cosine")
+    wide = found.join(touched, ["g", "id"], "left_semi").drop("rank").join(of_near, ["g", "neighbour"], "left").select("g", "id", F.coalesce("member", "neighbour").alias("neighbour"), "cosine")
     wide = materialise(_first(wide, k), "wide")
-    reps = _few(members.select("g", F.col("rep").alias("id")).distinct())
+    reps = _few(reps)
     own = members.select("g", F.col("rep").alias("id"), F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"))
     # at most 2 k + 1 entries to a class
     lists = wide.drop("rank").join(reps, ["g", "id"], "left_semi").unionByName(own).groupBy("g", "id").agg(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbour")).alias("near"))
     each = copies.join(_few(lists.withColumnRenamed("id", "rep")), ["g", "rep"]).select("g", "id", F.slice(F.array_sort(F.filter("near", lambda n: n["neighbour"] != F.col("id"))), 1, k).alias("near"))
     each = each.select("g", "id", F.posexplode("near").alias("place", "n")).select("g", "id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.far")).alias("cosine"), (F.col("place") + 1).alias("rank"))
-    return wide.join(reps, ["g", "id"], "left_anti").select(*each.columns).unionAll(each)
+    return kept.unionAll(wide.join(reps, ["g", "id"], "left_anti").select(*each.columns)).unionAll(each)
