@@ -153,7 +153,7 @@ def test_partitions_are_parted_again(spark):
     x = vectors(6, 4000, 12)
     df = spark.createDataFrame([(i, "a", 12, v.tolist()) for i, v in enumerate(x)], "chunk_id long, model string, dim int, vector array<float>")
     p = knn.Params(tile_rows=40, per_part=20, sample=400)
-    routed, cells = knn._parted(df.select(F.lit(0).alias("g"), F.col("chunk_id").alias("id"), "vector"), {0: 4000}, {0: 12}, p)
+    routed, cells = knn._parted(knn.packed(df.select(F.lit(0).alias("g"), F.col("chunk_id").alias("id"), "vector")), {0: 4000}, {0: 12}, p)
     assert sum(r["n"] for r in cells.collect()) == 4000 and routed.select("part").distinct().count() > 60 and routed.select("id").distinct().count() == 4000
     got = knn.nearest(df, params=p).collect()
     assert len(got) == 40_000 and recall(got, np.arange(4000), x) >= 0.9
@@ -171,7 +171,7 @@ def test_recall_of_each_model(spark):
         if len(mine) > 100:
             found = got[(got["model"] == model) & (got["dim"] == dim)].to_dict("records")
             assert len(found) == 10 * len(mine)
-            assert recall(found, mine["id"].to_numpy(), np.stack(mine["vector"].to_numpy())) >= 0.95
+            assert recall(found, mine["id"].to_numpy(), np.stack([np.frombuffer(v, "<f4") for v in mine["vector"]])) >= 0.95
 
 
 def test_a_third_are_copies(spark):
