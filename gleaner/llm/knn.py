@@ -44,7 +44,7 @@ class Params(NamedTuple):
     threshold: float = 0.2
     rerank: int = 40
     recall: float = 0.97
-    query_rows: int = 64_000
+    query_rows: int = 24_000
 
 
 class Index(NamedTuple):
