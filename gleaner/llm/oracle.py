@@ -102,6 +102,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"select path_1, path_2 from ({_P1}) where lift >= 4",
         "p1_pairs": f"with found as ({_P1}) select path_1, path_2, together, records_1, records_2, records, round(lift, 6) as lift, round(2 * ({_LLR}), 6) as llr from found",
+        "p1_all": f"with found as ({_P1.replace('>= 8', '>= 1')}), rated as (select path_1, path_2, together, records_1, records_2, records, round(lift, 6) as lift, round(2 * ({_LLR}), 6) as llr from found) select *, llr >= 10.828 and lift > 1 as significant from rated",
         "p2_found": f"select term, mark from ({_P2}) where mark <> 'kept'",
         "p2_terms": _P2,
         "p3_found": _P3,
