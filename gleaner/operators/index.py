@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, spread
+from ..runtime import materialise, tasks
 from .chunking import MOST, chunk_notes
 from .classify import classify, reapply
 from .ids import with_dense_ids
@@ -48,9 +48,13 @@ def empty_index(spark) -> Index:
 
 
 def postings_of(chunks: DataFrame, text: str = "text", tokenize: Callable | None = None) -> DataFrame:
-    """``chunk_id, term, tf``: how often each term occurs in each chunk."""
+    """``chunk_id, term, tf``: how often each term occurs in each chunk.
+
+    Texts are shuffled by chunk before they are split, so that their terms, which are more, need not be.
+    """
     terms = (tokenize or terms_of)(F.col(text))
-    return spread(chunks.select("chunk_id", text)).select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    texts = chunks.select("chunk_id", text).repartition(tasks(chunks.sparkSession), "chunk_id")
+    return texts.select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def chunk_lengths(postings: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,12 @@ def the_index(spark: SparkSession, sf: str) -> index.Index:
     return index.index_chunks(notes(spark, sf), table(spark, sf, "chunks"), keys=tag_keys(spark, sf), embeddings=vectors(spark, sf))
 
 
+def keyed_index(spark: SparkSession, sf: str, keys: DataFrame, near: DataFrame | None = None) -> index.Index:
+    """Without postings, which a search by keys doesn't read."""
+    ix = replace(index.empty_index(spark), notes=notes(spark, sf), chunks=table(spark, sf, "chunks"), note_keys=keys)
+    return ix if near is None else replace(ix, key_embeddings=near)
+
+
 def asked(spark: SparkSession, sf: str) -> DataFrame:
     """The query set: chunks whose id is divisible by 20, asking with their heading, or text where there is none, and their vector."""
     chunks = table(spark, sf, "chunks").where("chunk_id % 20 = 0")
@@ -161,8 +168,7 @@ def query_keys_synonym(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tiers(spark: SparkSession, sf: str, queries: DataFrame) -> tuple[index.Index, DataFrame]:
     kinds, near = note_key_kinds(spark, sf), key_vectors(spark, sf)
-    found = index.index_chunks(notes(spark, sf), table(spark, sf, "chunks"), keys=kinds, embeddings=vectors(spark, sf), key_embeddings=near)
-    return found, search.query_keys(queries, kinds, synonyms=key_synonyms(spark, sf), key_embeddings=near, model=MODEL, least=NEAR_KEY)
+    return keyed_index(spark, sf, kinds, near), search.query_keys(queries, kinds, synonyms=key_synonyms(spark, sf), key_embeddings=near, model=MODEL, least=NEAR_KEY)
 
 
 def tag_search_tiers(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +185,7 @@ def both_modes(spark: SparkSession, sf: str) -> DataFrame:
     ix, keys = _tiers(spark, sf, queries)
     hits = present.dedupe(search.tag_search(ix, keys, SEARCHED, sources=queries.select("query_id", "source_path")))
     shown = search.top_k(hits, SHOWN, "final_score", "chunk_id")
-    return all_paths(semantic(ix, queries, MODEL), shown)
+    return all_paths(semantic(the_index(spark, sf), queries, MODEL), shown)
 
 
 def key_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -431,7 +437,7 @@ def tag_search(spark: SparkSession, sf: str) -> DataFrame:
     tags = tag_keys(spark, sf)
     queries = asked(spark, sf)
     keys = search.query_keys(queries, tags)
-    found = search.tag_search(the_index(spark, sf), keys, SHOWN, sources=queries.select("query_id", "source_path"))
+    found = search.tag_search(keyed_index(spark, sf, tags), keys, SHOWN, sources=queries.select("query_id", "source_path"))
     return _hit(found).select("query_id", "chunk_id", "note_path", "final_score", "matched_query_terms", "query_terms_total")
 
 
