@@ -462,7 +462,8 @@ def _scanned(routed: DataFrame, cells: DataFrame, indexes: dict[int, Index], dim
     most_rows = {g: max(1, min(2 * p.tile_rows, TILE_BYTES // (4 * d))) for g, d in dims.items()}
     most_asks = {g: max(1, min(p.query_rows, TILE_BYTES // (4 * d))) for g, d in dims.items()}
     blocks = materialise(cells.where("n > 0 and q > 0").select("g", "tile", F.ceil(F.col("n") / _of(most_rows)).cast("int").alias("nb"), F.ceil(F.col("q") / _of(most_asks)).cast("int").alias("qb")), "blocks")
-    n_tasks = tasks(routed.sparkSession, min(blocks.agg(F.coalesce(F.sum(F.col("nb") * F.col("qb")), F.lit(0))).first()[0], MOST_TASKS))
+    # four tasks to a block, as blocks fall into tasks by hash and two in one would take twice as long
+    n_tasks = tasks(routed.sparkSession, min(4 * blocks.agg(F.coalesce(F.sum(F.col("nb") * F.col("qb")), F.lit(0))).first()[0], MOST_TASKS))
 
     home = _tile(F.col("part"))
     every = F.array_union(F.array(home), F.transform("asked", _tile))
