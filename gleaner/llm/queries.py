@@ -133,10 +133,15 @@ def p6_checked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every source: the share it could reach; does it reach it, and is no document used too often?"""
-    met = F.abs(F.col("actual_share") - F.col("reachable_share")) < 0.002
+    """Of every source: the share it could reach; does it reach it, to within one of its documents and 0.002 of all, and is no document used too often?"""
+    sizes = packing.token_sizes(table(spark, sf, "documents"), ["source"])
+    longest = sizes.groupBy(mixing.source_name(F.col("source")).alias("source")).agg(F.max("tokens").alias("longest"))
+    shares = p7_shares(spark, sf)
+    whole = shares.agg(F.sum("tokens")).first()[0] or 0
+    miss = F.abs(F.col("tokens") - F.col("reachable_share") * F.lit(whole))
+    met = miss <= F.coalesce("longest", F.lit(0)) + 0.002 * whole
     within = F.col("most_copies") <= F.col("max_repeats")
-    return p7_shares(spark, sf).select("source", F.round("target_share", 6).alias("target_share"), F.round("reachable_share", 6).alias("reachable_share"), met.alias("met"), within.alias("within"))
+    return shares.join(longest, "source", "left").select("source", F.round("target_share", 6).alias("target_share"), F.round("reachable_share", 6).alias("reachable_share"), met.alias("met"), within.alias("within"))
 
 
 def queries() -> dict[str, Query]:
