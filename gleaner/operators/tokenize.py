@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, has_hangul, is_stop_word, plain_terms
@@ -55,3 +56,16 @@ def analyzed_terms(df: DataFrame, text: str, make: Callable[[], Analyzer], name:
 
     korean = F.coalesce(has_hangul(F.col(text)), F.lit(False))
     return df.where(korean).withColumn(name, by_analyzer(text)).unionAll(df.where(~korean).withColumn(name, terms_of(F.col(text))))
+
+
+def timed(spark: SparkSession, text: str, runs: int = 50) -> dict[str, float]:
+    """Milliseconds that splitting one text into words, and these into terms, takes, as the mean of `runs` copies in one task."""
+    copies = spark.range(runs * 20).coalesce(1).select(F.concat(F.lit(text), F.lit(" "), F.col("id").cast("string")).alias("text"))
+    steps = {"words": F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), "terms": F.size(terms_of(F.col("text")))}
+    took = {}
+    for name, n in steps.items():
+        for _ in range(2):  # the first run compiles
+            began = time.perf_counter()
+            copies.select(F.sum(n)).collect()
+            took[name] = (time.perf_counter() - began) * 1000 / (runs * 20)
+    return took

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import scoring, text
+from gleaner.operators import tokenize
 from gleaner.operators.chunking import chunk_notes
 from gleaner.operators.parsing import note_keys, with_parts
 from gleaner.operators.tokenize import analyzed_terms, terms_of
@@ -146,3 +147,8 @@ def test_nearest_rank(spark):
 def test_cosine(spark):
     rows = spark.createDataFrame([([1.0, 1.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     assert [round(r[0], 9) for r in rows.select(scoring.cosine(F.col("a"), F.col("b"))).collect()] == [0.707106781, 0]
+
+
+def test_tokenizer_is_timed(spark):
+    took = tokenize.timed(spark, "some words of a text", runs=2)
+    assert set(took) == {"words", "terms"} and all(0 < v < 60_000 for v in took.values())
