@@ -18,8 +18,8 @@ from ..runtime import materialise, spread, tasks
 
 #: Bytes of centers that are sent to the tasks at once, and bytes of one task's rows or queries.
 MODEL_BYTES, TILE_BYTES = 64_000_000, 64_000_000
-#: Rows of the table of copies up to which it is broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes of the files of a table up to which it is broadcast.
+BROADCAST_BYTES = 4_000_000
 #: Levels of partitions; what is too large then is cut into blocks by hash.
 LEVELS = 4
 #: A partition's number is its tile's, shifted, and its place in the tile; the last place stands for all of a tile.
@@ -353,8 +353,9 @@ def usable(df: DataFrame, id: str, model: str, dim: str, vector: str) -> DataFra
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """A table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A table that follows from written ones, to be broadcast if their files are small."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= BROADCAST_BYTES else df
 
 
 def nearest(df: DataFrame, id: str = "chunk_id", model: str = "model", dim: str = "dim", vector: str = "vector", params: Params = Params()) -> DataFrame:
@@ -389,16 +390,16 @@ def nearest(df: DataFrame, id: str = "chunk_id", model: str = "model", dim: str
     p, spark = params, df.sparkSession
     rows = usable(spread(df.select(id, model, dim, vector)), id, model, dim, vector)
     sizes = rows.groupBy("model", "dim").count().orderBy("model", "dim").collect()  # one row per model and dim
-    schema = f"`{id}` long, neighbour long, model string, dim int, rank int, cosine double"
-    out = spark.createDataFrame([], schema)
+    out = None
     while sizes:  # groups together as long as their models fit
         bytes_, n = 0, 0
         while n < len(sizes) and (not n or bytes_ + _model_bytes(sizes[n], p) <= MODEL_BYTES):
             bytes_ += _model_bytes(sizes[n], p)
             n += 1
-        out = out.unionAll(_nearest_in(rows, sizes[:n], p).withColumnRenamed("id", id))
+        found = _nearest_in(rows, sizes[:n], p).withColumnRenamed("id", id)
+        out = found if out is None else out.unionAll(found)
         sizes = sizes[n:]
-    return out
+    return spark.createDataFrame([], f"`{id}` long, neighbour long, model string, dim int, rank int, cosine double") if out is None else out
 
 
 def _model_bytes(size, p: Params) -> int:
@@ -461,7 +462,7 @@ def _scanned(routed: DataFrame, cells: DataFrame, indexes: dict[int, Index], dim
     """``g, id, neighbour, cosine``: the `k` best rows of each asking row in the partitions it asks."""
     most_rows = {g: max(1, min(2 * p.tile_rows, TILE_BYTES // (4 * d))) for g, d in dims.items()}
     most_asks = {g: max(1, min(p.query_rows, TILE_BYTES // (4 * d))) for g, d in dims.items()}
-    blocks = materialise(cells.where("n > 0 and q > 0").select("g", "tile", F.ceil(F.col("n") / _of(most_rows)).cast("int").alias("nb"), F.ceil(F.col("q") / _of(most_asks)).cast("int").alias("qb")), "blocks")
+    blocks = cells.where("n > 0 and q > 0").select("g", "tile", F.ceil(F.col("n") / _of(most_rows)).cast("int").alias("nb"), F.ceil(F.col("q") / _of(most_asks)).cast("int").alias("qb"))
     # four tasks to a block, as blocks fall into tasks by hash and two in one would take twice as long
     n_tasks = tasks(routed.sparkSession, min(4 * blocks.agg(F.coalesce(F.sum(F.col("nb") * F.col("qb")), F.lit(0))).first()[0], MOST_TASKS))
 
@@ -511,13 +512,12 @@ def _nearest_in(rows: DataFrame, sizes: list, p: Params) -> DataFrame:
     best_ = materialise(_scanned(routed, cells, indexes, dims, p), "best")
 
     # whoever met too few rows in the partitions it asked asks all of them
-    have = materialise(cells.groupBy("g").agg(F.sum("n").alias("n")), "have")
-    whole = have.agg(F.coalesce(F.sum(F.col("n") * F.least(F.lit(p.k), F.col("n") - 1)), F.lit(0))).first()[0]
+    have = {r["g"]: r["n"] for r in cells.groupBy("g").agg(F.sum("n").alias("n")).collect()}
     short = None
-    if best_.count() < whole:
+    if best_.count() < sum(n * min(p.k, n - 1) for n in have.values()):
         met = best_.groupBy("g", "id").count()
-        short = routed.select("g", "id").join(met, ["g", "id"], "left").join(F.broadcast(have), "g")
-        short = materialise(short.where(F.coalesce("count", F.lit(0)) < F.least(F.lit(p.k), F.col("n") - 1)).select("g", "id"), "short")
+        short = routed.select("g", "id").join(met, ["g", "id"], "left")
+        short = materialise(short.where(F.coalesce("count", F.lit(0)) < _of({g: min(p.k, n - 1) for g, n in have.items()})).select("g", "id"), "short")
     if short is not None:
         asking = routed.join(short.withColumn("asks", F.lit(True)), ["g", "id"], "left")
         # as many tiles as the data's bytes over a tile's
