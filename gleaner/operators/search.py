@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import KEY_COSINE, KEYS_BY_VECTOR, TIERS, final_score, idf, passes_gate, reciprocal_rank, term_weight
 from ..functions.text import is_blank, preview, query_tags, query_terms, strip_emoji, title_of
-from ..runtime import materialise, tasks
+from ..runtime import materialise
 from .index import Index, corpus
+from .sums import best_sums
 from .tokenize import terms_of
 
 #: Rows and bytes up to which a side of a join is broadcast; beyond, both sides are shuffled.
@@ -55,54 +56,85 @@ def exploded_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(query_terms(F.col("terms"))).alias("term"))
 
 
-def narrowed(index: Index, queries: DataFrame) -> Index:
-    """`index` with only the postings of query terms, written once for all that is looked up in them; statistics stay those of the whole."""
-    terms = materialise(exploded_terms(queries).select("term").distinct(), "terms")
+@dataclass(frozen=True)
+class Wanted:
+    """What a batch of queries can find: ``query_id, wants`` (key and df of its terms that occur), ``chunk_id, held`` (key and tf of asked terms)."""
+
+    asked: DataFrame
+    held: DataFrame
+
+
+def wanted(index: Index, queries: DataFrame, *, kept: bool = True) -> Wanted:
+    """The terms of `queries` as numbers, a list for each query and each chunk; written once if they are `kept` for several uses."""
+    asked = exploded_terms(queries)
+    terms = materialise(asked.select("term").distinct().join(index.term_stats, "term").select("term", "df", F.monotonically_increasing_id().alias("key")), "terms")
     few = F.broadcast if _small(terms) else lambda x: x
-    return replace(index, postings=materialise(index.postings.join(few(terms), "term", "left_semi"), "wanted"))
+    wants = asked.join(few(terms), "term").groupBy("query_id").agg(F.collect_list(F.struct("key", "df")).alias("wants"))
+    held = index.postings.join(few(terms.select("term", "key")), "term").groupBy("chunk_id").agg(F.collect_list(F.struct("key", "tf")).alias("held"))
+    return Wanted(materialise(wants, "asked"), materialise(held, "held") if kept else held)
 
 
-def bm25(index: Index, queries: DataFrame, k: int = 30) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int = 30, *, having: Wanted | None = None) -> DataFrame:
     """``query_id, chunk_id, bm25_score, bm25_rank``: the k chunks whose terms fit each query best.
 
     `queries` has ``query_id, terms``. The postings are read once for all queries and keep only
-    query terms; where these are few enough they are broadcast, so the postings are filtered as
-    they are scanned. What is left is brought together by chunk, before each posting meets the
-    queries that ask for it: the scores of a chunk then add up where they are, and only the best
-    rows of every query leave their task. With more terms than that both sides are shuffled by term,
-    and adaptive execution splits a term that many chunks and queries hold.
+    query terms, as numbers and a list for each chunk; where the terms are few enough they are broadcast, so the postings are
+    filtered as they are scanned. The scores of a block of chunks add up in one task (`best_sums`), and
+    only the best rows of every query leave it. `having` is what `wanted` gave for the same queries.
     """
     n, mean = corpus(index.chunks, index.chunk_stats)
     if not n or not mean:
         return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, bm25_score double, bm25_rank int")
-    asked = exploded_terms(queries).join(index.term_stats, "term").select("query_id", "term", idf(F.lit(float(n)), F.col("df").cast("double")).alias("idf"))
-    asked = materialise(asked, "asked")
-    few = F.broadcast if _small(asked) else lambda x: x
-    wanted = index.postings.join(few(asked.select("term").distinct()), "term", "left_semi").repartition(tasks(index.postings.sparkSession), "chunk_id")
-    found = wanted.join(index.chunk_stats, "chunk_id", "left").join(few(asked), "term")
+    having = wanted(index, queries, kept=False) if having is None else having
     length = F.coalesce(F.col("length").cast("double"), F.lit(mean))
-    scores = found.withColumn("s", F.col("idf") * term_weight(F.col("tf").cast("double"), length, F.lit(mean))).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("bm25_score"))
+    values = F.transform("held", lambda x: F.struct(x["key"].alias("key"), term_weight(x["tf"].cast("double"), length, F.lit(mean)).alias("value")))
+    docs = having.held.join(index.chunk_stats, "chunk_id", "left").select(F.col("chunk_id").alias("doc"), F.lit(1.0).alias("factor"), values.alias("held"))
+    weights = F.transform("wants", lambda x: F.struct(x["key"].alias("key"), idf(F.lit(float(n)), x["df"].cast("double")).alias("weight")))
+    scores = best_sums(docs, having.asked.select("query_id", weights.alias("wants")), k, n).withColumnsRenamed({"doc": "chunk_id", "total": "bm25_score"})
     return top_k(scores, k, "bm25_score", "chunk_id", rank="bm25_rank")
 
 
-def _best_rows(queries: np.ndarray, vectors: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, cosine) of the k best rows of every query that reach `least`; zero vectors have a cosine of 0."""
-    length = np.linalg.norm(vectors, axis=1)
-    unit = vectors / np.where(length > 0, length, 1.0)[:, None]
-    scores = queries @ unit.T
-    scores[:, length == 0] = 0.0
-    k = min(k, scores.shape[1])
-    bound = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    q, r = np.nonzero(scores >= np.maximum(bound, least)[:, None])  # with all ties of the last place
-    return q, r, scores[q, r]
-
-
-def _best_of(asked: tuple[np.ndarray, np.ndarray], chunk: np.ndarray, vectors: np.ndarray, k: int, least: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    ids, unit = asked
-    step = max(1, SCORES_AT_ONCE // len(ids))
-    for i in range(0, len(chunk), step):
-        q, r, s = _best_rows(unit, vectors[i : i + step], k, least)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunk[i : i + step][r]), pa.array(s)], schema=schema)
+class _Best:
+    """The k best rows of every query so far; scores equal to nine digits are ties, which go by chunk id. Zero vectors have a cosine of 0."""
+
+    def __init__(self, asked: tuple[np.ndarray, np.ndarray], k: int, least: float):
+        (self.ids, self.unit), self.k, self.least = asked, k, least
+        self.bound = np.full(len(self.ids), least)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = self.kept = 0
+
+    def add(self, chunk: np.ndarray, vectors: np.ndarray) -> None:
+        length = np.linalg.norm(vectors, axis=1)
+        unit = vectors / np.where(length > 0, length, 1.0)[:, None]
+        step = max(1, SCORES_AT_ONCE // len(self.ids))
+        for i in range(0, len(chunk), step):
+            scores = self.unit @ unit[i : i + step].T
+            scores[:, length[i : i + step] == 0] = 0.0
+            bound = self.bound
+            if not self.held:  # all ties of the last place stay
+                k = min(self.k, scores.shape[1])
+                bound = np.maximum(bound, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] - 2e-9)
+            q, r = np.nonzero(scores >= bound[:, None])
+            self.held.append((q, chunk[i : i + step][r], scores[q, r]))
+            self.n += len(q)
+            if self.n > self.kept + len(self.ids) * self.k // 2:
+                self._cut()
+
+    def _cut(self) -> None:
+        q, chunk, score = map(np.concatenate, zip(*self.held))
+        order = np.lexsort((chunk, -np.round(score, 9), q))
+        q, chunk, score = q[order], chunk[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.bound[q[last]] = np.maximum(score[last] - 2e-9, self.least)
+        self.held = [(q[place < self.k], chunk[place < self.k], score[place < self.k])]
+        self.n = self.kept = len(self.held[0][0])
+
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._cut()
+            q, chunk, score = self.held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(chunk), pa.array(score)], schema=schema)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -114,11 +146,14 @@ def _scan(asked: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], k: int, l
     """Vectors, batch by batch, against the queries of their model and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[str, int], _Best] = {}
         for b in batches:
             models, lengths = np.array(b.column("model").to_pylist(), object), b.column("vector").value_lengths().to_numpy()
             for model, dim in set(zip(models.tolist(), lengths.tolist())) & asked.keys():
                 rows = b.take(pa.array(np.flatnonzero((models == model) & (lengths == dim))))
-                yield from _best_of(asked[model, dim], rows.column("chunk_id").to_numpy(), _matrix(rows.column("vector")), k, least, schema)
+                best.setdefault((model, dim), _Best(asked[model, dim], k, least)).add(rows.column("chunk_id").to_numpy(), _matrix(rows.column("vector")))
+        for one in best.values():
+            yield from one.batches(schema)
 
     return run
 
@@ -127,8 +162,9 @@ def _scan_blocks(k: int, least: float, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ask = right.column("query_id").to_numpy(), _matrix(right.column("unit").combine_chunks())
-        return pa.Table.from_batches(_best_of(ask, left.column("chunk_id").to_numpy(), _matrix(left.column("vector").combine_chunks()), k, least, schema), schema)
+        best = _Best((right.column("query_id").to_numpy(), _matrix(right.column("unit").combine_chunks())), k, least)
+        best.add(left.column("chunk_id").to_numpy(), _matrix(left.column("vector").combine_chunks()))
+        return pa.Table.from_batches(best.batches(schema), schema)
 
     return run
 
@@ -140,7 +176,7 @@ def vector_search(embeddings: DataFrame, queries: DataFrame, model: str | None =
     with the vectors of its own model and length, whatever lengths its batch has. Only cosines of
     `least` or more come out. A query vector of length 0 finds nothing, a zero chunk vector has the cosine 0;
     a vector with an element that is no number is not compared. Every batch of vectors is scored against all
-    its queries in one matrix product and only each query's best rows leave it. Queries that fit
+    its queries in one matrix product and only each query's best rows of all batches leave the task. Queries that fit
     `BROADCAST_BYTES` go to the vectors; more of them are cut into blocks, and blocks of both sides meet.
     """
     spark = queries.sparkSession
@@ -199,43 +235,48 @@ def fuse(by_terms: DataFrame, by_vectors: DataFrame) -> DataFrame:
     return met.withColumn("rrf_score", F.coalesce(reciprocal_rank(F.col("bm25_rank")), zero) + F.coalesce(reciprocal_rank(F.col("vector_rank")), zero))
 
 
-def _candidates(index: Index, queries: DataFrame, model: str, k: int) -> DataFrame:
-    """Both lists of k fused; written once, since texts, notes and terms are looked up for them."""
-    return materialise(fuse(bm25(index, queries, k), vector_search(index.embeddings, queries, model, k)), "fused")
-
-
 def _heading_has(heading: Column, terms: Column) -> Column:
     return F.coalesce(F.exists(terms, lambda t: (F.length(t) > 0) & heading.contains(t)), F.lit(False))
 
 
-def hybrid_scores(index: Index, queries: DataFrame, model: str, options: Options = Options(), *, fused: DataFrame | None = None) -> DataFrame:
+def candidates(index: Index, queries: DataFrame, model: str, k: int) -> DataFrame:
+    """Both lists of k fused, with what scores and the gate need of notes, headings and terms; only rows that pass the gate.
+
+    Candidates meet headings and lists of terms by chunk; the queries' terms and the notes are broadcast where they are few enough.
+    """
+    having = wanted(index, queries)
+    fused = materialise(fuse(bm25(index, queries, k, having=having), vector_search(index.embeddings, queries, model, k)), "fused")
+    asks = queries.select("query_id", query_terms(F.col("terms")).alias("terms")).join(having.asked.select("query_id", F.col("wants.key").alias("keys")), "query_id", "left")
+    asks = materialise(asks, "asks")
+    size = asks.agg(F.sum(F.octet_length(F.array_join("terms", "  ")) + 8 * F.size("keys") + 64)).first()[0] or 0
+    notes = index.notes.select(F.col("path").alias("note_path"), "category_id", F.col("weight").alias("note_weight"))
+    rows = fused.join(index.chunks.select("chunk_id", "note_path", "heading"), "chunk_id").join(having.held.select("chunk_id", F.col("held.key").alias("held")), "chunk_id", "left")
+    rows = rows.join(F.broadcast(asks) if size <= BROADCAST_BYTES else asks, "query_id")
+    matched = F.coalesce(F.when(F.col("keys").isNotNull() & F.col("held").isNotNull(), F.size(F.array_intersect("keys", "held"))), F.lit(0))
+    rows = rows.withColumns({"matched_query_terms": matched, "query_terms_total": F.size("terms"), "heading_matched": _heading_has(F.col("heading"), F.col("terms"))}).drop("terms", "keys", "held")
+    rows = rows.where(passes_gate(F.col("matched_query_terms"), F.col("query_terms_total"), F.col("vector_score")))
+    return rows.join(F.broadcast(notes) if _small(notes) else notes, "note_path")
+
+
+def _scored(rows: DataFrame, o: Options) -> DataFrame:
+    """The best of `candidates` under some options."""
+    total = F.col("query_terms_total")
+    coverage = F.when(total > 0, F.col("matched_query_terms") / total).otherwise(0.0)
+    score = final_score(F.col("rrf_score"), F.col("note_weight"), F.col("heading_matched"), coverage, by_weight=o.by_weight, by_heading=o.by_heading, by_overlap=o.by_overlap)
+    return top_k(rows.withColumn("final_score", score), o.top, "final_score", "chunk_id").drop("rank")
+
+
+def hybrid_scores(index: Index, queries: DataFrame, model: str, options: Options = Options()) -> DataFrame:
     """The hits of `hybrid` without their texts."""
-    o = options
-    if fused is None:
-        index = narrowed(index, queries)
-        fused = _candidates(index, queries, model, o.candidates)
-    places = fused.join(index.chunks.select("chunk_id", "note_path", "heading"), "chunk_id").join(index.notes.select(F.col("path").alias("note_path"), "category_id", F.col("weight").alias("note_weight")), "note_path")
-    asked = exploded_terms(queries)
-    wanted = fused.select("query_id", "chunk_id").join(asked, "query_id")
-    matched = index.postings.select("chunk_id", "term").join(wanted, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.countDistinct("term").alias("matched_query_terms"))
-    terms = queries.select("query_id", query_terms(F.col("terms")).alias("terms"))
-    hits = places.join(matched, ["query_id", "chunk_id"], "left").join(terms, "query_id")
-    total = F.size("terms")
-    n = F.coalesce("matched_query_terms", F.lit(0))
-    coverage = F.when(total > 0, n / total).otherwise(0.0)
-    heading = _heading_has(F.col("heading"), F.col("terms"))
-    score = final_score(F.col("rrf_score"), F.col("note_weight"), heading, coverage, by_weight=o.by_weight, by_heading=o.by_heading, by_overlap=o.by_overlap)
-    hits = hits.withColumns({"heading_matched": heading, "query_terms_total": total, "final_score": score}).withColumn("matched_query_terms", n.cast("int"))
-    hits = hits.where(passes_gate(F.col("matched_query_terms"), F.col("query_terms_total"), F.col("vector_score")))
-    return top_k(hits, o.top, "final_score", "chunk_id").drop("rank", "terms")
+    return _scored(candidates(index, queries, model, options.candidates), options)
 
 
 def with_texts(hits: DataFrame, chunks: DataFrame, length: int = 80) -> DataFrame:
     """Hits with title, preview and full text; texts are joined to what is left after ranking."""
     hits = materialise(hits, "hits")
-    texts = chunks.select("chunk_id", F.col("text").alias("full_text"))
+    texts = chunks.select("chunk_id", F.col("text").alias("full_text"), preview(F.col("text"), length).alias("preview"))
     small = F.broadcast(hits) if _small(hits, 50_000) else hits
-    out = texts.join(small, "chunk_id").withColumn("preview", preview(F.col("full_text"), length)).withColumn("note_title", title_of(F.col("note_path")))
+    out = texts.join(small, "chunk_id").withColumn("note_title", title_of(F.col("note_path")))
     return out.select(*HIT)
 
 
@@ -250,13 +291,13 @@ def hybrid(index: Index, queries: DataFrame, model: str, options: Options = Opti
 
 def ablation(index: Index, queries: DataFrame, model: str, top: int = 5) -> DataFrame:
     """Hits under three settings, one ``stage`` each: without weight and heading, with weight, with both."""
-    index = narrowed(index, queries)
-    fused = _candidates(index, queries, model, Options.candidates)
+    rows = candidates(index, queries, model, Options.candidates).select("query_id", "chunk_id", "rrf_score", "note_weight", "heading_matched", "matched_query_terms", "query_terms_total")
+    rows = materialise(rows, "candidates")
     stages = {"rrf": Options(top=top, by_weight=False, by_heading=False), "weight": Options(top=top, by_heading=False), "heading": Options(top=top)}
     out = None
     for name, o in stages.items():
-        rows = hybrid_scores(index, queries, model, o, fused=fused).withColumn("stage", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
+        best = _scored(rows, o).withColumn("stage", F.lit(name))
+        out = best if out is None else out.unionByName(best)
     return out
 
 
