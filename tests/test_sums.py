@@ -1,7 +1,9 @@
 """Best sums by blocks against brute force, and that pairs of queries and documents stay inside their tasks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.operators import index, search, sums
 
@@ -44,3 +46,44 @@ def test_best_sums(spark, monkeypatch, asked_bytes, at_once):
 def test_bm25_pairs_stay_in_their_task(spark, small):
     q = spark.createDataFrame([(i, ["apple", "banana", "fig"][: i % 4]) for i in range(8)], "query_id long, terms array<string>")
     assert "keys=[query_id" not in plan(search.bm25(small, q, 5))
+
+
+def test_tag_pairs_stay_in_their_task_and_ties_go_by_path(spark, small):
+    keys = spark.createDataFrame([(f"n{i}.md", "tag", "k") for i in range(9)] * 2, index.SCHEMAS["note_keys"])
+    asked = spark.createDataFrame([(1, "tag", "exact", "k"), (2, "tag", "exact", "k")], "query_id long, kind string, tier string, key string")
+    own = spark.createDataFrame([(1, "n2.md"), (2, None)], "query_id long, source_path string")
+    got = search.tag_scores(index.replace(small, note_keys=keys), asked, 4, sources=own)
+    assert "sum(w" not in plan(got)
+    rows = {q: [r["note_path"] for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] for q in (1, 2)}
+    assert rows == {1: ["n5.md", "n8.md", "n1.md", "n4.md"], 2: ["n2.md", "n5.md", "n8.md", "n1.md"]}
+
+
+def test_candidates_don_t_explode_terms(spark, small):
+    q = spark.createDataFrame([(1, ["apple", "fig"], [1.0, 0.0, 0.0, 0.0]), (2, ["none"], None), (3, None, [0.0, 1.0, 0.0, 1.0])], "query_id long, terms array<string>, embedding array<float>")
+    rows = search.hybrid_scores(small, q, "m", search.Options(top=5))
+    assert "Generate" not in plan(rows)
+    held = {r["chunk_id"]: set(r["text"].split()) for r in small.chunks.collect()}
+    assert all(r["matched_query_terms"] == len(held[r["chunk_id"]] & {"apple", "fig"}) for r in rows.where("query_id = 1").collect())
+
+
+def test_ablation_finds_candidates_once(spark, small):
+    q = spark.createDataFrame([(1, ["apple", "fig"], [1.0, 0.0, 0.0, 0.0])], "query_id long, terms array<string>, embedding array<float>")
+    out = search.ablation(small, q, "m")
+    assert out.inputFiles() and all("gleaner-candidates" in f for f in out.inputFiles())
+    assert {r["stage"] for r in out.select("stage").collect()} == {"rrf", "weight", "heading"}
+
+
+def test_a_task_gives_each_query_s_best_of_all_batches():
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(3, 4))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    vectors = np.round(rng.normal(size=(500, 4)), 1)
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("vector_score", pa.float64())])
+    kind = pa.schema([("chunk_id", pa.int64()), ("model", pa.string()), ("vector", pa.list_(pa.float32()))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 50)), pa.array(["m"] * 50), pa.array(vectors[i : i + 50].astype(np.float32).tolist(), pa.list_(pa.float32()))], schema=kind) for i in range(0, 500, 50)]
+    got = pa.Table.from_batches(search._scan({("m", 4): (np.arange(3), unit)}, 8, -2.0, schema)(iter(batches))).to_pylist()
+    v = vectors.astype(np.float32).astype(np.float64)
+    length = np.linalg.norm(v, axis=1)
+    cos = np.round(np.where(length > 0, unit @ v.T / np.where(length > 0, length, 1), 0), 9)
+    want = {(q, int(c)) for q in range(3) for c in np.argsort(-cos[q], kind="stable")[:8]}
+    assert {(r["query_id"], r["chunk_id"]) for r in got} == want and len(got) == 24
