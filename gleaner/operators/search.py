@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import KEY_COSINE, KEYS_BY_VECTOR, TIERS, final_score, idf, passes_gate, reciprocal_rank, term_weight
 from ..functions.text import is_blank, preview, query_tags, query_terms, strip_emoji, title_of
 from ..runtime import materialise
+from .ids import with_dense_ids
 from .index import Index, corpus
 from .sums import best_sums
 from .tokenize import terms_of
@@ -372,19 +373,26 @@ def tag_scores(index: Index, keys: DataFrame, top: int = 10, *, sources: DataFra
     """``query_id, note_path, category_id, note_weight, raw, final_score, total, rank``: notes by the keys they share with a query.
 
     `keys` is from `query_keys`; a key counts once per kind, by its best tier. `sources`
-    (``query_id, source_path``) names the note a query comes from, which is left out.
+    (``query_id, source_path``) names the note a query comes from, which is left out. Sums add up in blocks of notes (`best_sums`), which
+    keep as many more of each query's best as any query may have to leave out.
     """
     keys = materialise(keys, "keys")
     weight = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("tier") == t), w) for (k, t), w in TIERS.items()])
     asked = keys.withColumn("w", weight).where("w is not null").groupBy("query_id", "kind", "key").agg(F.max("w").alias("w"))
     total = keys.groupBy("query_id").agg(F.countDistinct("key").alias("total"))
-    have = index.note_keys.select("note_path", "kind", "key").distinct()
-    asked = F.broadcast(asked) if _small(asked) else asked
-    raw = have.join(asked, ["kind", "key"]).groupBy("query_id", "note_path").agg(F.sum("w").alias("raw"))
+    number = materialise(asked.select("kind", "key").distinct().withColumn("id", F.monotonically_increasing_id()), "key-ids")
+    few = F.broadcast if _small(number) else lambda x: x
+    have = index.note_keys.select("note_path", "kind", "key").distinct().join(few(number), ["kind", "key"])
+    held = have.groupBy("note_path").agg(F.collect_list(F.struct(F.col("id").alias("key"), F.lit(1.0).alias("value"))).alias("held"))
     notes = index.notes.select(F.col("path").alias("note_path"), "category_id", F.col("weight").alias("note_weight"))
-    scored = raw.where("raw > 0").join(notes, "note_path")
-    if sources is not None:
-        own = sources.select("query_id", F.col("source_path").alias("note_path"))
+    docs = materialise(with_dense_ids(held.join(notes, "note_path"), "doc", "note_path"), "keyed")
+    wants = asked.join(few(number), ["kind", "key"]).groupBy("query_id").agg(F.collect_list(F.struct(F.col("id").alias("key"), F.col("w").alias("weight"))).alias("wants"))
+    own = None if sources is None else sources.select("query_id", F.col("source_path").alias("note_path"))
+    gone = 0 if own is None else own.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    best = best_sums(docs.select("doc", F.col("note_weight").alias("factor"), "held"), wants, top + gone, docs.count())
+    known = docs.drop("held")
+    scored = best.withColumnRenamed("total", "raw").join(F.broadcast(known) if _small(known) else known, "doc").drop("doc")
+    if own is not None:
         scored = scored.join(own, ["query_id", "note_path"], "left_anti")
     scored = scored.withColumn("final_score", F.col("raw") * F.col("note_weight")).join(total, "query_id")
     return top_k(scored, top, "final_score", "note_path")
