@@ -26,12 +26,8 @@ STOP_WORDS = (
 ).split()
 
 
-def stop_words() -> Column:
-    return F.array(*map(F.lit, STOP_WORDS))
-
-
 def is_stop_word(term: Column) -> Column:
-    return F.array_contains(stop_words(), term)
+    return term.isin(*STOP_WORDS)
 
 
 def trimmed(c: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, tasks
+from ..runtime import materialise, spread, tasks
 from .chunking import MOST, chunk_notes
 from .classify import classify, reapply
 from .ids import with_dense_ids
@@ -30,6 +32,8 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Index:
+    """The tables of `SCHEMAS`; `lists` has the postings once more, a row for each chunk (`term_lists`), where they were counted just now."""
+
     notes: DataFrame
     chunks: DataFrame
     postings: DataFrame
@@ -38,9 +42,10 @@ class Index:
     note_keys: DataFrame
     embeddings: DataFrame
     key_embeddings: DataFrame
+    lists: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in SCHEMAS}
 
 
 def empty_index(spark) -> Index:
@@ -57,6 +62,22 @@ def postings_of(chunks: DataFrame, text: str = "text", tokenize: Callable | None
     return texts.select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("chunk_id", pa.int64()), ("length", pa.int64()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32()))])
+    for b in batches:
+        n, words = b.column("terms").value_lengths().to_numpy(), b.column("terms").flatten().dictionary_encode("encode")
+        pairs, tf = np.unique(np.repeat(np.arange(len(n)) << 32, n) + words.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(pairs >> 32, np.arange(len(n) + 1)).astype(np.int32))
+        terms = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(pairs & 0xFFFFFFFF)))
+        yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(n.astype(np.int64)), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], schema=schema)
+
+
+def term_lists(chunks: DataFrame, text: str = "text", tokenize: Callable | None = None) -> DataFrame:
+    """``chunk_id, length, terms, tfs``: the distinct terms of each row of `chunks` and how often each occurs, counted where it is read."""
+    terms = F.coalesce((tokenize or terms_of)(F.col(text)), F.array().cast("array<string>"))
+    return spread(chunks.select("chunk_id", text)).select("chunk_id", terms.alias("terms")).mapInArrow(_counted, "chunk_id long, length long, terms array<string>, tfs array<int>")
+
+
 def chunk_lengths(postings: DataFrame) -> DataFrame:
     return postings.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
 
@@ -73,12 +94,21 @@ def corpus(chunks: DataFrame, chunk_stats: DataFrame) -> tuple[int, float]:
 
 
 def index_chunks(notes: DataFrame, chunks: DataFrame, *, keys: DataFrame | None = None, embeddings: DataFrame | None = None, key_embeddings: DataFrame | None = None, tokenize: Callable | None = None) -> Index:
-    """An index over chunks that exist already; the postings are written once, and the statistics taken from them too."""
-    spark = chunks.sparkSession
-    postings = materialise(postings_of(chunks, tokenize=tokenize), "postings")
-    none = empty_index(spark)
-    lengths, records = materialise(chunk_lengths(postings), "lengths"), materialise(term_records(postings), "records")
-    return Index(notes, chunks, postings, lengths, records, none.note_keys if keys is None else keys, none.embeddings if embeddings is None else embeddings, none.key_embeddings if key_embeddings is None else key_embeddings)
+    """An index over chunks that exist already; the lists of their terms are written once, and the statistics taken from these.
+
+    Rows of one chunk id count as one chunk: where there are any, the postings are added up by chunk and term, and there are no lists.
+    """
+    none = empty_index(chunks.sparkSession)
+    lists: DataFrame | None = materialise(term_lists(chunks, tokenize=tokenize), "lists")
+    found = lists.agg(F.count("*").alias("rows"), F.countDistinct("chunk_id").alias("ids")).first()
+    postings = lists.select("chunk_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("chunk_id", F.col("p.terms").alias("term"), F.col("p.tfs").cast("long").alias("tf"))
+    if found["rows"] == found["ids"]:
+        lengths, records = lists.where("length > 0").select("chunk_id", "length"), term_records(lists.select(F.explode("terms").alias("term")))
+    else:
+        postings, lists = materialise(postings.groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf")), "postings"), None
+        lengths, records = materialise(chunk_lengths(postings), "lengths"), term_records(postings)
+    keys, embeddings, key_embeddings = (b if a is None else a for a, b in ((keys, none.note_keys), (embeddings, none.embeddings), (key_embeddings, none.key_embeddings)))
+    return Index(notes, chunks, postings, lengths, materialise(records, "records"), keys, embeddings, key_embeddings, lists)
 
 
 def build_index(notes: DataFrame, folders: DataFrame, excluded: list[str] | None = None, *, lexicon: DataFrame | None = None, indexed_at: int = 0, most: int = MOST, dense_ids: bool = True, tokenize: Callable | None = None) -> Index:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,27 +60,54 @@ def exploded_terms(queries: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Wanted:
-    """What a batch of queries can find: ``query_id, wants`` (key and df of its terms that occur), ``chunk_id, held`` (key and tf of asked terms)."""
+    """What a batch of queries can find: ``query_id, wants`` (key and df of its terms that occur), ``chunk_id, length, keys, tfs`` (of asked terms)."""
 
     asked: DataFrame
     held: DataFrame
 
 
+def _numbered(known: pa.Table):
+    """Lists of terms to lists of the numbers of known ones, batch by batch; without chunks that have none."""
+    terms, keys = known.column("term").combine_chunks(), known.column("key").combine_chunks()
+    schema = pa.schema([("chunk_id", pa.int64()), ("length", pa.int64()), ("keys", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = pc.index_in(b.column("terms").flatten(), value_set=terms)
+            kept = place.is_valid()
+            n = b.column("terms").value_lengths().to_numpy()
+            n = np.bincount(np.repeat(np.arange(len(n)), n)[kept.to_numpy(zero_copy_only=False)], minlength=len(n))
+            rows = np.flatnonzero(n)
+            ends = pa.array(np.append(0, np.cumsum(n[rows])).astype(np.int32))
+            held = keys.take(place.filter(kept)), b.column("tfs").flatten().filter(kept)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("chunk_id", "length")), *(pa.ListArray.from_arrays(ends, x) for x in held)], schema=schema)
+
+    return run
+
+
 def wanted(index: Index, queries: DataFrame, *, kept: bool = True) -> Wanted:
-    """The terms of `queries` as numbers, a list for each query and each chunk; written once if they are `kept` for several uses."""
+    """The terms of `queries` as numbers, a list for each query and each chunk; written once if they are `kept` for several uses.
+
+    Where the index has lists and the terms are few enough, these go to the lists; else the postings meet them and are gathered by chunk.
+    """
     asked = exploded_terms(queries)
     terms = materialise(asked.select("term").distinct().join(index.term_stats, "term").select("term", "df", F.monotonically_increasing_id().alias("key")), "terms")
-    few = F.broadcast if _small(terms) else lambda x: x
+    small = _small(terms)
+    few = F.broadcast if small else lambda x: x
     wants = asked.join(few(terms), "term").groupBy("query_id").agg(F.collect_list(F.struct("key", "df")).alias("wants"))
-    held = index.postings.join(few(terms.select("term", "key")), "term").groupBy("chunk_id").agg(F.collect_list(F.struct("key", "tf")).alias("held"))
+    if small and index.lists is not None:
+        held = index.lists.mapInArrow(_numbered(terms.select("term", "key").toArrow()), "chunk_id long, length long, keys array<long>, tfs array<int>")
+    else:
+        held = index.postings.join(few(terms.select("term", "key")), "term").groupBy("chunk_id").agg(F.collect_list(F.struct("key", "tf")).alias("held"))
+        held = held.join(index.chunk_stats, "chunk_id", "left").select("chunk_id", "length", F.col("held.key").alias("keys"), F.col("held.tf").cast("array<int>").alias("tfs"))
     return Wanted(materialise(wants, "asked"), materialise(held, "held") if kept else held)
 
 
 def bm25(index: Index, queries: DataFrame, k: int = 30, *, having: Wanted | None = None) -> DataFrame:
     """``query_id, chunk_id, bm25_score, bm25_rank``: the k chunks whose terms fit each query best.
 
-    `queries` has ``query_id, terms``. The postings are read once for all queries and keep only
-    query terms, as numbers and a list for each chunk; where the terms are few enough they are broadcast, so the postings are
+    `queries` has ``query_id, terms``. The postings, or lists of them, are read once for all queries and keep only
+    query terms, as numbers and a list for each chunk; where the terms are few enough they go to all tasks, so the postings are
     filtered as they are scanned. The scores of a block of chunks add up in one task (`best_sums`), and
     only the best rows of every query leave it. `having` is what `wanted` gave for the same queries.
     """
@@ -88,10 +116,9 @@ def bm25(index: Index, queries: DataFrame, k: int = 30, *, having: Wanted | None
         return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, bm25_score double, bm25_rank int")
     having = wanted(index, queries, kept=False) if having is None else having
     length = F.coalesce(F.col("length").cast("double"), F.lit(mean))
-    values = F.transform("held", lambda x: F.struct(x["key"].alias("key"), term_weight(x["tf"].cast("double"), length, F.lit(mean)).alias("value")))
-    docs = having.held.join(index.chunk_stats, "chunk_id", "left").select(F.col("chunk_id").alias("doc"), F.lit(1.0).alias("factor"), values.alias("held"))
+    docs = having.held.select(F.col("chunk_id").alias("doc"), F.lit(1.0).alias("factor"), "keys", F.col("tfs").alias("values"), length.alias("size"))
     weights = F.transform("wants", lambda x: F.struct(x["key"].alias("key"), idf(F.lit(float(n)), x["df"].cast("double")).alias("weight")))
-    scores = best_sums(docs, having.asked.select("query_id", weights.alias("wants")), k, n).withColumnsRenamed({"doc": "chunk_id", "total": "bm25_score"})
+    scores = best_sums(docs, having.asked.select("query_id", weights.alias("wants")), k, n, lambda tf, size: term_weight(tf, size, mean)).withColumnsRenamed({"doc": "chunk_id", "total": "bm25_score"})
     return top_k(scores, k, "bm25_score", "chunk_id", rank="bm25_rank")
 
 
@@ -251,7 +278,7 @@ def candidates(index: Index, queries: DataFrame, model: str, k: int) -> DataFram
     asks = materialise(asks, "asks")
     size = asks.agg(F.sum(F.octet_length(F.array_join("terms", "  ")) + 8 * F.size("keys") + 64)).first()[0] or 0
     notes = index.notes.select(F.col("path").alias("note_path"), "category_id", F.col("weight").alias("note_weight"))
-    rows = fused.join(index.chunks.select("chunk_id", "note_path", "heading"), "chunk_id").join(having.held.select("chunk_id", F.col("held.key").alias("held")), "chunk_id", "left")
+    rows = fused.join(index.chunks.select("chunk_id", "note_path", "heading"), "chunk_id").join(having.held.select("chunk_id", F.col("keys").alias("held")), "chunk_id", "left")
     rows = rows.join(F.broadcast(asks) if size <= BROADCAST_BYTES else asks, "query_id")
     matched = F.coalesce(F.when(F.col("keys").isNotNull() & F.col("held").isNotNull(), F.size(F.array_intersect("keys", "held"))), F.lit(0))
     rows = rows.withColumns({"matched_query_terms": matched, "query_terms_total": F.size("terms"), "heading_matched": _heading_has(F.col("heading"), F.col("terms"))}).drop("terms", "keys", "held")

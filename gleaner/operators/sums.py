@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,8 @@ DENSE = 5
 
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("doc", pa.int64()), ("total", pa.float64())])
 _OUT = "query_id long, doc long, total double"
-
-
-def _lists(column: pa.Array, second: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, keys and numbers of lists of (key, `second`)."""
-    flat = column.flatten()
-    return column.value_lengths().to_numpy(), flat.field("key").to_numpy(), flat.field(second).to_numpy()
+#: What the value of a key counts in a document, by value and the document's size.
+Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 class _Asked:
@@ -32,20 +28,25 @@ class _Asked:
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
         self.ids = table.column("query_id").to_numpy()
-        n, self.keys, self.weights = _lists(table.column("wants").combine_chunks() if table.num_rows else pa.array([], table.schema.field("wants").type), "weight")
+        wants = table.column("wants").combine_chunks() if table.num_rows else pa.array([], table.schema.field("wants").type)
+        n, flat = wants.value_lengths().to_numpy(), wants.flatten()
+        self.keys, self.weights = flat.field("key").to_numpy(), flat.field("weight").to_numpy()
         self.owner = np.repeat(np.arange(len(n)), n)
 
 
-def _best(asked: _Asked, docs: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+def _best(asked: _Asked, docs: pa.Table, k: int, weigh: Weigh | None) -> Iterator[pa.RecordBatch]:
     """Of each query the k best of `docs` that share a key with it: by sum times factor, to nine digits, then by number."""
     doc, factor = docs.column("doc").to_numpy(), docs.column("factor").to_numpy(zero_copy_only=False).astype(np.float64)
-    n, key, value = _lists(docs.column("held").combine_chunks(), "value")
+    keys, values = docs.column("keys").combine_chunks(), docs.column("values").combine_chunks()
+    n, key, value = keys.value_lengths().to_numpy(), keys.flatten().to_numpy(), values.flatten().to_numpy().astype(np.float64)
+    if weigh:
+        value = weigh(value, np.repeat(docs.column("size").to_numpy(), n))
     order = np.argsort(doc, kind="stable")
     place = np.empty(len(doc), np.int64)
     place[order] = np.arange(len(doc))
     doc, factor = doc[order], factor[order]
     at = np.repeat(place, n)
-    del docs, place
+    del docs, place, keys, values
     order = np.lexsort((at, key))
     key, at, value = key[order], at[order], value[order]
     del order
@@ -105,7 +106,7 @@ def _best(asked: _Asked, docs: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _scan(asked: _Asked, k: int):
+def _scan(asked: _Asked, k: int, weigh: Weigh | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
@@ -113,26 +114,27 @@ def _scan(asked: _Asked, k: int):
             n += b.num_rows
             if n >= 2 * DOCS_AT_ONCE:
                 docs, held, n = pa.Table.from_batches(held), [], 0
-                yield from _best(asked, docs, k)
+                yield from _best(asked, docs, k, weigh)
         if n:
-            yield from _best(asked, pa.Table.from_batches(held), k)
+            yield from _best(asked, pa.Table.from_batches(held), k, weigh)
 
     return run
 
 
-def _meet(k: int):
+def _meet(k: int, weigh: Weigh | None):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _SCHEMA.empty_table()
-        return pa.Table.from_batches(_best(_Asked(right), left, k), _SCHEMA)
+        return pa.Table.from_batches(_best(_Asked(right), left, k, weigh), _SCHEMA)
 
     return run
 
 
-def best_sums(docs: DataFrame, asked: DataFrame, k: int, n: int) -> DataFrame:
+def best_sums(docs: DataFrame, asked: DataFrame, k: int, n: int, weigh: Weigh | None = None) -> DataFrame:
     """``query_id, doc, total``: the k documents or more whose keys fit each query best; the k best of all are among them.
 
-    `docs` has ``doc, factor, held`` with `held` an array of (key, value), each key once; `asked` has
+    `docs` has ``doc, factor, held`` with `held` an array of (key, value), each key once, or ``keys, values`` as two arrays in its place;
+    with `weigh` also ``size``, and values count as `weigh` makes of them and the size. `asked` has
     ``query_id, wants`` with `wants` an array of (key, weight). `total` sums weight times value, which are above 0, over shared
     keys. Documents rank by total times factor to nine digits, then by number; those of a null factor come last. A task adds up a
     block of documents for all queries in one row of sums and keeps each query's k best, so other pairs of queries
@@ -140,13 +142,14 @@ def best_sums(docs: DataFrame, asked: DataFrame, k: int, n: int) -> DataFrame:
     """
     spark = asked.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    docs = docs.select(F.col("doc").cast("long"), F.col("factor").cast("double"), "held")
+    lists = [F.col("held.key").alias("keys"), F.col("held.value").alias("values")] if "held" in docs.columns else ["keys", "values"]
+    docs = docs.select(F.col("doc").cast("long"), F.col("factor").cast("double"), *lists, *["size"] * bool(weigh))
     asked = asked.select(F.col("query_id").cast("long"), "wants")
     size = 16 * (asked.agg(F.sum(F.size("wants"))).first()[0] or 0)
     parts = cores * max(1, -(-n // (cores * DOCS_AT_ONCE)))
     if size <= ASKED_BYTES:
-        return docs.repartition(parts, "doc").mapInArrow(_scan(_Asked(asked.toArrow()), k), _OUT)
+        return docs.repartition(parts, "doc").mapInArrow(_scan(_Asked(asked.toArrow()), k, weigh), _OUT)
     blocks = -(-size // ASKED_BYTES)
     left = docs.withColumn("v", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(_meet(k), _OUT)
+    return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(_meet(k, weigh), _OUT)

@@ -25,10 +25,13 @@ class Analyzer(Protocol):
 
 
 def hangul_terms(c: Column) -> Column:
-    """The default for Hangul texts: words without their particle; single letters count, stop words don't."""
-    ending = f"([가-힣]{{2}})(?:{'|'.join(PARTICLES)})$"
-    words = F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.lower(F.regexp_replace(w, ending, "$1")))
-    return F.coalesce(F.filter(words, lambda w: (F.length(w) >= 1) & ~is_stop_word(w)), F.array().cast("array<string>"))
+    """The default for Hangul texts: words without their particle; single letters count, stop words don't.
+
+    Particles are cut where words end in the whole text, before it is split: one replacement for a text, not one for a word.
+    """
+    ending = f"([가-힣]{{2}})(?:{'|'.join(PARTICLES)})(?![\\p{{L}}\\p{{N}}])"
+    words = F.transform(F.regexp_extract_all(F.regexp_replace(c, ending, "$1"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower)
+    return F.coalesce(F.filter(words, lambda w: ~is_stop_word(w)), F.array().cast("array<string>"))
 
 
 def terms_of(c: Column) -> Column:

@@ -58,6 +58,32 @@ def test_tag_pairs_stay_in_their_task_and_ties_go_by_path(spark, small):
     assert rows == {1: ["n5.md", "n8.md", "n1.md", "n4.md"], 2: ["n2.md", "n5.md", "n8.md", "n1.md"]}
 
 
+def test_terms_are_counted_where_texts_are_read(spark, small):
+    q = spark.createDataFrame([(1, ["apple", "fig", "none"]), (2, [])], "query_id long, terms array<string>")
+    having = search.wanted(small, q, kept=False)
+    assert "Exchange" not in plan(having.held) and "Exchange" not in plan(small.chunk_stats)
+    wants = {w["key"]: w["df"] for r in having.asked.collect() for w in r["wants"]}
+    held = {r["chunk_id"]: (r["length"], dict(zip(r["keys"], r["tfs"]))) for r in having.held.collect()}
+    texts = {r["chunk_id"]: r["text"].split() for r in small.chunks.collect()}
+    assert set(held) == {c for c, t in texts.items() if {"apple", "fig"} & set(t)}
+    assert all(n == len(texts[c]) and sorted(tfs.values()) == sorted(texts[c].count(t) for t in {"apple", "fig"} & set(texts[c])) for c, (n, tfs) in held.items())
+    assert sorted(wants.values()) == sorted(sum(t in x for x in texts.values()) for t in ("apple", "fig"))
+
+
+def test_lists_and_postings_agree(spark):
+    chunks = spark.createDataFrame([(1, "n.md", 0, None, "은혜는 믿음 은혜"), (2, "n.md", 1, None, None), (3, "n.md", 2, None, "!"), (4, "n.md", 3, None, "b믿음을, AA aa.")], CHUNKS)
+    notes = spark.createDataFrame([("n.md", 0, 0, "internal", 1.0, 0)], NOTES)
+    for rows, lists in ((chunks, True), (chunks.unionAll(chunks), False)):
+        ix = index.index_chunks(notes, rows)
+        assert (ix.lists is not None) == lists and "lists" not in ix.tables()
+        assert sorted(map(tuple, ix.postings.collect())) == sorted(map(tuple, index.postings_of(rows).collect()))
+        assert sorted(map(tuple, ix.chunk_stats.collect())) == sorted(map(tuple, index.chunk_lengths(ix.postings).collect()))
+        assert sorted(map(tuple, ix.term_stats.collect())) == sorted(map(tuple, index.term_records(ix.postings).collect()))
+        q = spark.createDataFrame([(1, ["은혜", "aa"])], "query_id long, terms array<string>")
+        found = [tuple(r) for r in search.bm25(ix, q).select("chunk_id", F.round("bm25_score", 6)).collect()]
+        assert found == [tuple(r) for r in search.bm25(index.replace(ix, lists=None), q).select("chunk_id", F.round("bm25_score", 6)).collect()] and len(found) == 2
+
+
 def test_candidates_don_t_explode_terms(spark, small):
     q = spark.createDataFrame([(1, ["apple", "fig"], [1.0, 0.0, 0.0, 0.0]), (2, ["none"], None), (3, None, [0.0, 1.0, 0.0, 1.0])], "query_id long, terms array<string>, embedding array<float>")
     rows = search.hybrid_scores(small, q, "m", search.Options(top=5))
