@@ -377,10 +377,11 @@ def query_keys(queries: DataFrame, keys: DataFrame, *, synonyms: DataFrame | Non
     """``query_id, kind, tier, key``: the keys each query asks for: exact, by synonym, by vector.
 
     `keys` is the index's table of note keys; `synonyms` has ``key, synonym``; for keys by vector the queries need ``embedding``
-    and the keys of each kind a cosine of `least`.
+    and the keys of each kind a cosine of `least`. The lexicon and what texts ask for are written once, as each later tier needs them again.
     """
-    lexicons = {kind: keys.where((F.col("kind") == kind) & (F.col("key") != "")).select("key").distinct() for kind in ("doctrine", "tag")}
-    found = text_keys(queries, lexicons["doctrine"].union(lexicons["tag"]).distinct())
+    lexicon = materialise(keys.where(F.col("kind").isin("doctrine", "tag") & (F.col("key") != "")).select("kind", "key").distinct(), "lexicon")
+    lexicons = {kind: lexicon.where(F.col("kind") == kind).select("key") for kind in ("doctrine", "tag")}
+    found = materialise(text_keys(queries, lexicon.select("key").distinct()), "written")
     parts = [found.join(lex, "key", "left_semi").select("query_id", F.lit(kind).alias("kind"), F.lit("exact").alias("tier"), "key") for kind, lex in lexicons.items()]
     if synonyms is not None:
         exact = parts[0].select("query_id", "key")
@@ -389,7 +390,7 @@ def query_keys(queries: DataFrame, keys: DataFrame, *, synonyms: DataFrame | Non
     for p in parts[1:]:
         out = out.unionAll(p)
     if key_embeddings is not None:
-        text_found = out
+        text_found = out = materialise(out, "text-keys")
         for kind, lex in lexicons.items():
             near = vector_keys(key_embeddings, queries, model, kind, allow=lex, exclude=text_found.where(F.col("kind") == kind).select("query_id", "key"), least=least[kind])
             out = out.unionAll(near.select("query_id", F.lit(kind).alias("kind"), F.lit("vector").alias("tier"), "key"))

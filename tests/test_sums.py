@@ -84,6 +84,16 @@ def test_lists_and_postings_agree(spark):
         assert found == [tuple(r) for r in search.bm25(index.replace(ix, lists=None), q).select("chunk_id", F.round("bm25_score", 6)).collect()] and len(found) == 2
 
 
+def test_keys_of_texts_are_found_once(spark):
+    keys = spark.createDataFrame([("n.md", "doctrine", "grace"), ("n.md", "tag", "hope"), ("n.md", "tag", ""), ("m.md", "tag", "hope")], index.SCHEMAS["note_keys"])
+    near = spark.createDataFrame([("doctrine", "grace", "m", 2, [1.0, 0.0], 0), ("tag", "hope", "m", 2, [1.0, 0.1], 0)], index.SCHEMAS["key_embeddings"])
+    words = spark.createDataFrame([("grace", "free gift")], "key string, synonym string")
+    q = spark.createDataFrame([(1, "a gift that is free", [1.0, 0.0]), (2, "hope and grace", [0.0, 1.0])], "query_id long, text string, embedding array<float>")
+    got = search.query_keys(q, keys, synonyms=words, key_embeddings=near, model="m")
+    assert "regexp_extract_all" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, "doctrine", "synonym", "grace"), (1, "tag", "vector", "hope"), (2, "doctrine", "exact", "grace"), (2, "tag", "exact", "hope")]
+
+
 def test_candidates_don_t_explode_terms(spark, small):
     q = spark.createDataFrame([(1, ["apple", "fig"], [1.0, 0.0, 0.0, 0.0]), (2, ["none"], None), (3, None, [0.0, 1.0, 0.0, 1.0])], "query_id long, terms array<string>, embedding array<float>")
     rows = search.hybrid_scores(small, q, "m", search.Options(top=5))
