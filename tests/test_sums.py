@@ -123,3 +123,17 @@ def test_a_task_gives_each_query_s_best_of_all_batches():
     cos = np.round(np.where(length > 0, unit @ v.T / np.where(length > 0, length, 1), 0), 9)
     want = {(q, int(c)) for q in range(3) for c in np.argsort(-cos[q], kind="stable")[:8]}
     assert {(r["query_id"], r["chunk_id"]) for r in got} == want and len(got) == 24
+
+
+QUERIES = "query_id long, terms array<string>, embedding array<float>"
+
+
+def same_without_postings(small, search_of):
+    """A search of lists gives what one of postings does, and needs no postings."""
+    plain = [sorted(map(str, search_of(x).drop("rank").collect())) for x in (index.replace(small, postings=None), index.replace(small, lists=None))]
+    assert plain[0] == plain[1] and plain[0]
+
+
+def test_hybrid_without_embedding_needs_no_postings(spark, small):
+    q = spark.createDataFrame([(1, ["apple", "fig"], None), (2, ["grape"], None), (3, [], None)], QUERIES)
+    same_without_postings(small, lambda ix: search.hybrid_scores(ix, q, "m").select("query_id", "chunk_id", F.round("final_score", 9)))
