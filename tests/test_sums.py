@@ -137,3 +137,8 @@ def same_without_postings(small, search_of):
 def test_hybrid_without_embedding_needs_no_postings(spark, small):
     q = spark.createDataFrame([(1, ["apple", "fig"], None), (2, ["grape"], None), (3, [], None)], QUERIES)
     same_without_postings(small, lambda ix: search.hybrid_scores(ix, q, "m").select("query_id", "chunk_id", F.round("final_score", 9)))
+
+
+def test_hybrid_needs_no_postings(spark, small):
+    q = spark.createDataFrame([(1, ["apple", "fig"], [1.0, 0.0, 0.0, 0.0]), (2, ["grape"], [0.0, 1.0, 1.0, 0.0])], QUERIES)
+    same_without_postings(small, lambda ix: search.hybrid(ix, q, "m").select("query_id", "chunk_id", "full_text", "matched_query_terms", F.round("final_score", 9)))
