@@ -142,3 +142,8 @@ def test_hybrid_without_embedding_needs_no_postings(spark, small):
 def test_hybrid_needs_no_postings(spark, small):
     q = spark.createDataFrame([(1, ["apple", "fig"], [1.0, 0.0, 0.0, 0.0]), (2, ["grape"], [0.0, 1.0, 1.0, 0.0])], QUERIES)
     same_without_postings(small, lambda ix: search.hybrid(ix, q, "m").select("query_id", "chunk_id", "full_text", "matched_query_terms", F.round("final_score", 9)))
+
+
+def test_ablation_needs_no_postings(spark, small):
+    q = spark.createDataFrame([(1, ["apple", "fig"], [1.0, 0.0, 0.0, 0.0]), (2, ["grape"], [0.0, 1.0, 1.0, 0.0])], QUERIES)
+    same_without_postings(small, lambda ix: search.ablation(ix, q, "m").select("stage", "query_id", "chunk_id", F.round("final_score", 9)))
