@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import has_hangul
 from ..runtime import materialise, spread, tasks
 from .chunking import MOST, chunk_notes
 from .classify import classify, reapply
 from .ids import with_dense_ids
 from .parsing import note_keys, with_parts
-from .tokenize import terms_of
+from .tokenize import term_of_word, terms_of, words_of
 
 #: Schemas of the index tables.
 SCHEMAS = {
@@ -66,16 +67,33 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("chunk_id", pa.int64()), ("length", pa.int64()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32()))])
     for b in batches:
         n, words = b.column("terms").value_lengths().to_numpy(), b.column("terms").flatten().dictionary_encode("encode")
-        pairs, tf = np.unique(np.repeat(np.arange(len(n)) << 32, n) + words.indices.to_numpy(), return_counts=True)
+        row, which, known = np.repeat(np.arange(len(n)), n), words.indices.to_numpy().astype(np.int64), words.dictionary
+        if "hangul" in b.schema.names:  # words: each distinct one becomes a term once
+            each = [term_of_word(w) for w in known.to_pylist()]
+            numbers = {t: i for i, t in enumerate(dict.fromkeys(t for t in each if t is not None))}
+            known = pa.array(numbers, pa.string())
+            which = np.array([-1 if t is None else numbers[t] for t in each], np.int64)[which]
+            short = np.array([len(t) < 2 for t in numbers] + [False])[which]
+            kept = (which >= 0) & (~short | b.column("hangul").to_numpy(zero_copy_only=False)[row])
+            row, which = row[kept], which[kept]
+            n = np.bincount(row, minlength=len(n))
+        pairs, tf = np.unique((row << 32) + which, return_counts=True)
         ends = pa.array(np.searchsorted(pairs >> 32, np.arange(len(n) + 1)).astype(np.int32))
-        terms = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(pairs & 0xFFFFFFFF)))
+        terms = pa.ListArray.from_arrays(ends, known.take(pa.array(pairs & 0xFFFFFFFF)))
         yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(n.astype(np.int64)), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], schema=schema)
 
 
 def term_lists(chunks: DataFrame, text: str = "text", tokenize: Callable | None = None) -> DataFrame:
-    """``chunk_id, length, terms, tfs``: the distinct terms of each row of `chunks` and how often each occurs, counted where it is read."""
-    terms = F.coalesce((tokenize or terms_of)(F.col(text)), F.array().cast("array<string>"))
-    return spread(chunks.select("chunk_id", text)).select("chunk_id", terms.alias("terms")).mapInArrow(_counted, "chunk_id long, length long, terms array<string>, tfs array<int>")
+    """``chunk_id, length, terms, tfs``: the distinct terms of each row of `chunks` and how often each occurs, counted where it is read.
+
+    By the rule of `terms_of`, only words are split in the JVM; what they become is found for each distinct word of a batch.
+    """
+    c = F.col(text)
+    if tokenize:
+        terms = [F.coalesce(tokenize(c), F.array().cast("array<string>")).alias("terms")]
+    else:
+        terms = [words_of(c).alias("terms"), F.coalesce(has_hangul(c), F.lit(False)).alias("hangul")]
+    return spread(chunks.select("chunk_id", text)).select("chunk_id", *terms).mapInArrow(_counted, "chunk_id long, length long, terms array<string>, tfs array<int>")
 
 
 def chunk_lengths(postings: DataFrame) -> DataFrame:

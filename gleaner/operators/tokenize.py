@@ -17,6 +17,9 @@ KEPT_POS = ("NNG", "NNP", "VV", "VA", "SL", "SH", "SN")
 #: Common particles and endings, taken off a Hangul word where two letters or more remain.
 PARTICLES = "으로부터 에서부터 에게서 이라도 으로써 으로서 처럼 까지 부터 에서 에게 한테 으로 라도 보다 마다 조차 밖에 하고 이나 은 는 이 가 을 를 에 의 도 와 과 로 만".split()
 
+_PARTICLES, _STOP = frozenset(PARTICLES), frozenset(STOP_WORDS)
+_PARTICLE_LENGTHS = sorted({len(p) for p in PARTICLES}, reverse=True)
+
 
 class Analyzer(Protocol):
     """Splits a text into (word, part of speech). Built once per Python worker."""
@@ -40,6 +43,22 @@ def terms_of(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), empty).when(has_hangul(c), hangul_terms(c)).otherwise(plain_terms(c))
 
 
+def words_of(c: Column) -> Column:
+    """array<string>: the words of a text, lower-cased, as `term_of_word` takes them."""
+    return F.coalesce(F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower), F.array().cast("array<string>"))
+
+
+def term_of_word(word: str) -> str | None:
+    """What `terms_of` makes of a word of `words_of`, but for single letters, which only texts with Hangul keep: it without its particle, None for a stop word."""
+    if "가" <= word[-1] <= "힣":
+        for n in _PARTICLE_LENGTHS:  # the longest first, which begins leftmost
+            if len(word) >= n + 2 and word[-n:] in _PARTICLES and "가" <= word[-n - 1] <= "힣" and "가" <= word[-n - 2] <= "힣":
+                word = word[:-n]
+                break
+        return None if word in _STOP else word
+    return word
+
+
 def analyzed_terms(df: DataFrame, text: str, make: Callable[[], Analyzer], name: str = "terms") -> DataFrame:
     """`df` with the terms of `text`, where Hangul texts pass through an analyzer and the others stay in the JVM."""
     from pyspark.sql.functions import pandas_udf

@@ -147,3 +147,39 @@ def test_hybrid_needs_no_postings(spark, small):
 def test_ablation_needs_no_postings(spark, small):
     q = spark.createDataFrame([(1, ["apple", "fig"], [1.0, 0.0, 0.0, 0.0]), (2, ["grape"], [0.0, 1.0, 1.0, 0.0])], QUERIES)
     same_without_postings(small, lambda ix: search.ablation(ix, q, "m").select("stage", "query_id", "chunk_id", F.round("final_score", 9)))
+
+
+def test_words_become_terms_once_for_each_distinct_word(spark):
+    rng = np.random.default_rng(11)
+    parts = [*"은는이가로도하나가믿음ㄱ가aBΣİΑß9१ 恩", " ", ", ", "-", "으로부터", "에서", "처럼", "이라도", "에게서", "사람", "사람은", "우리를", "주", "\u0307"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)] + [None, "", "가", "a b cc", "은혜으로부터는", "ΑΣ가나은 ΑΣ"]
+    chunks = spark.createDataFrame([(i, "n.md", i, None, t) for i, t in enumerate(texts)], CHUNKS)
+    got = index.term_lists(chunks)
+    assert "regexp_replace" not in plan(got) and "isin" not in plan(got).lower() and " IN " not in plan(got)
+    rows = lambda df: sorted((r["chunk_id"], r["length"], tuple(sorted(zip(r["terms"], r["tfs"])))) for r in df.collect())
+    assert rows(got) == rows(index.term_lists(chunks, tokenize=index.terms_of))
+
+
+def docs_and_asked(n: int, queries: int, plain: int):
+    rng = np.random.default_rng(13)
+    held = [np.sort(rng.choice(40, rng.integers(1, 12), replace=False)) for _ in range(n)]
+    docs = pa.table({"doc": pa.array(rng.permutation(n)), "factor": pa.array(np.where(np.arange(n) < plain, 1.0, 0.5)), "keys": pa.array([h.tolist() for h in held], pa.list_(pa.int64())), "values": pa.array([rng.integers(1, 4, len(h)).tolist() for h in held], pa.list_(pa.int32()))})
+    idf = rng.integers(1, 9, 40) / 4
+    wants = [[{"key": int(x), "weight": float(idf[x])} for x in rng.choice(40, rng.integers(1, 7), replace=False)] for _ in range(queries)]
+    asked = pa.table({"query_id": pa.array(range(queries)), "wants": pa.array(wants, pa.list_(pa.struct([("key", pa.int64()), ("weight", pa.float64())])))})
+    return docs, asked
+
+
+@pytest.mark.parametrize("held_rows, plain", [(2_000_000, 1000), (2_000_000, 500), (2_000_000, 0), (0, 500)])
+def test_a_task_gives_each_query_s_best_of_all_blocks(monkeypatch, held_rows, plain):
+    monkeypatch.setattr(sums, "DOCS_AT_ONCE", 100)
+    monkeypatch.setattr(sums, "HELD_ROWS", held_rows)
+    docs, asked = docs_and_asked(1000, 30, plain)
+    got = pa.Table.from_batches(sums._scan(sums._Asked(asked), 6, None)(iter(docs.to_batches(max_chunksize=50)))).to_pylist()
+    assert held_rows == 0 or len(got) == 6 * 30
+    found = {(r["query_id"], r["doc"]): r["total"] for r in got}
+    for q, w in enumerate(asked.column("wants").to_pylist()):
+        weight = {x["key"]: x["weight"] for x in w}
+        total = {r["doc"]: sum(weight.get(x, 0) * v for x, v in zip(r["keys"], r["values"])) for r in docs.to_pylist()}
+        factor = {r["doc"]: r["factor"] for r in docs.to_pylist()}
+        assert all(found[q, d] == total[d] for d in sorted((d for d in total if total[d]), key=lambda d: (-total[d] * factor[d], d))[:6])
