@@ -183,3 +183,19 @@ def test_a_task_gives_each_query_s_best_of_all_blocks(monkeypatch, held_rows, pl
         total = {r["doc"]: sum(weight.get(x, 0) * v for x, v in zip(r["keys"], r["values"])) for r in docs.to_pylist()}
         factor = {r["doc"]: r["factor"] for r in docs.to_pylist()}
         assert all(found[q, d] == total[d] for d in sorted((d for d in total if total[d]), key=lambda d: (-total[d] * factor[d], d))[:6])
+
+
+def few_leave_a_task(monkeypatch, search_of, k: int):
+    """Of each query no more than k chunks leave a task, though each block holds one chunk."""
+    seen = []
+    monkeypatch.setattr(sums, "DOCS_AT_ONCE", 1)
+    monkeypatch.setattr(search, "best_sums", lambda *a: seen.append(sums.best_sums(*a)) or seen[0])
+    assert search_of().count()
+    tasks = seen[0].rdd.getNumPartitions()
+    n = seen[0].groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert n <= k * tasks and n < 20
+
+
+def test_hybrid_keeps_the_best_of_a_task(spark, small, monkeypatch):
+    q = spark.createDataFrame([(1, ["apple", "fig", "grape", "date"], [1.0, 0.0, 0.0, 0.0])], QUERIES)
+    few_leave_a_task(monkeypatch, lambda: search.hybrid(small, q, "m", search.Options(candidates=2)), 2)
