@@ -14,7 +14,7 @@ DOCS_AT_ONCE = 30_000
 #: Bytes of keys of queries up to which all of them go to every task; beyond, blocks of both sides meet.
 ASKED_BYTES = 64_000_000
 #: Blocks of documents that one task takes, at most; it keeps the best of all of them up to so many rows, else of each.
-BLOCKS, HELD_ROWS = 8, 2_000_000
+BLOCKS, HELD_ROWS = 1, 2_000_000
 #: Rows of a batch that leaves a task.
 ROWS_AT_ONCE = 100_000
 #: A key that more than one of so many documents has is kept as a full row of values.
@@ -171,10 +171,12 @@ def _scan(asked: _Asked, k: int, weigh: Weigh | None):
         for b in batches:
             held.append(b)
             n += b.num_rows
-            if n >= DOCS_AT_ONCE:
+            if n >= 2 * DOCS_AT_ONCE:
                 yield from block(held)
                 held, n = [], 0
-        if n:
+        if n and best and best.held is None:  # the only block
+            yield from _batches(asked, _best(asked, pa.Table.from_batches(held), k, weigh))
+        elif n:
             yield from block(held)
         yield from _batches(asked, best and best.held)
 

@@ -189,6 +189,7 @@ def few_leave_a_task(monkeypatch, search_of, k: int):
     """Of each query no more than k chunks leave a task, though each block holds one chunk."""
     seen = []
     monkeypatch.setattr(sums, "DOCS_AT_ONCE", 1)
+    monkeypatch.setattr(sums, "BLOCKS", 8)
     monkeypatch.setattr(search, "best_sums", lambda *a: seen.append(sums.best_sums(*a)) or seen[0])
     assert search_of().count()
     tasks = seen[0].rdd.getNumPartitions()
