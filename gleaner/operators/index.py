@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,14 @@ SCHEMAS = {
     "key_embeddings": "kind string, key string, model string, dim int, vector array<float>, embedded_at long",
 }
 
+#: Chunks whose terms make one row of `term_packs`.
+CHUNKS_AT_ONCE = 4000
+_PACKED = pa.schema([("chunks", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("terms", pa.list_(pa.string())), ("dfs", pa.list_(pa.int32())), ("places", pa.binary()), ("tfs", pa.binary())])
+
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of `SCHEMAS`; `lists` has the postings once more, a row for each chunk (`term_lists`), where they were counted just now."""
+    """The tables of `SCHEMAS`; `lists` has the postings once more, as `term_packs`, where they were counted just now."""
 
     notes: DataFrame
     chunks: DataFrame
@@ -63,37 +68,84 @@ def postings_of(chunks: DataFrame, text: str = "text", tokenize: Callable | None
     return texts.select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The terms of rows as one row: distinct terms, and for each chunk the places and counts of its own."""
+    if "words" in b.schema.names:
+        words = pc.split_pattern(b.column("words"), " ")
+    else:
+        words = b.column("terms")
+    n, words = words.value_lengths().to_numpy(), words.flatten().dictionary_encode("encode")
+    row, which, known = np.repeat(np.arange(len(n)), n), words.indices.to_numpy().astype(np.int64), words.dictionary
+    if "words" in b.schema.names:  # each distinct one becomes a term once
+        each = [term_of_word(w) if w else None for w in known.to_pylist()]
+        numbers = {t: i for i, t in enumerate(dict.fromkeys(t for t in each if t is not None))}
+        known = pa.array(numbers, pa.string())
+        which = np.array([-1 if t is None else numbers[t] for t in each], np.int64)[which]
+        short = np.array([len(t) < 2 for t in numbers] + [False])[which]
+        kept = (which >= 0) & (~short | b.column("hangul").to_numpy(zero_copy_only=False)[row])
+        row, which = row[kept], which[kept]
+        n = np.bincount(row, minlength=len(n))
+    pairs, tf = np.unique(row * max(len(known), 1) + which, return_counts=True)
+    row, which = np.divmod(pairs, max(len(known), 1))
+    df = np.bincount(which, minlength=len(known))
+    used = np.flatnonzero(df)
+    places = (np.cumsum(df > 0) - 1)[which] if len(used) else which
+    one = lambda x, kind: pa.array([x], pa.list_(kind))
+    return pa.RecordBatch.from_arrays(
+        [
+            one(b.column("chunk_id").to_numpy(), pa.int64()), one(n.astype(np.int64), pa.int64()), one(np.bincount(row, minlength=len(n)).astype(np.int32), pa.int32()),
+            pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), known.take(pa.array(used))), one(df[used].astype(np.int32), pa.int32()),
+            pa.array([places.astype("<i4").tobytes()], pa.binary()), pa.array([tf.astype("<i4").tobytes()], pa.binary()),
+        ],
+        schema=_PACKED,
+    )
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, CHUNKS_AT_ONCE):
+            yield _packed(b.slice(i, CHUNKS_AT_ONCE))
+
+
+def unpacked(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """Of each row of `term_packs` the chunks, their lengths, how many terms each has, the distinct terms, and the places among these and counts of each chunk's."""
+    for i in range(b.num_rows):
+        chunks, lengths, n, terms = (b.column(c).slice(i, 1).flatten() for c in ("chunks", "lengths", "n", "terms"))
+        yield chunks, lengths, n.to_numpy(), terms, *(np.frombuffer(b.column(c)[i].as_buffer(), "<i4") for c in ("places", "tfs"))
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("chunk_id", pa.int64()), ("length", pa.int64()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32()))])
     for b in batches:
-        n, words = b.column("terms").value_lengths().to_numpy(), b.column("terms").flatten().dictionary_encode("encode")
-        row, which, known = np.repeat(np.arange(len(n)), n), words.indices.to_numpy().astype(np.int64), words.dictionary
-        if "hangul" in b.schema.names:  # words: each distinct one becomes a term once
-            each = [term_of_word(w) for w in known.to_pylist()]
-            numbers = {t: i for i, t in enumerate(dict.fromkeys(t for t in each if t is not None))}
-            known = pa.array(numbers, pa.string())
-            which = np.array([-1 if t is None else numbers[t] for t in each], np.int64)[which]
-            short = np.array([len(t) < 2 for t in numbers] + [False])[which]
-            kept = (which >= 0) & (~short | b.column("hangul").to_numpy(zero_copy_only=False)[row])
-            row, which = row[kept], which[kept]
-            n = np.bincount(row, minlength=len(n))
-        pairs, tf = np.unique((row << 32) + which, return_counts=True)
-        ends = pa.array(np.searchsorted(pairs >> 32, np.arange(len(n) + 1)).astype(np.int32))
-        terms = pa.ListArray.from_arrays(ends, known.take(pa.array(pairs & 0xFFFFFFFF)))
-        yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(n.astype(np.int64)), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], schema=schema)
+        for chunks, lengths, n, terms, places, tfs in unpacked(b):
+            ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([chunks, lengths, pa.ListArray.from_arrays(ends, terms.take(pa.array(places))), pa.ListArray.from_arrays(ends, pa.array(tfs))], schema=schema)
 
 
-def term_lists(chunks: DataFrame, text: str = "text", tokenize: Callable | None = None) -> DataFrame:
-    """``chunk_id, length, terms, tfs``: the distinct terms of each row of `chunks` and how often each occurs, counted where it is read.
+def term_packs(chunks: DataFrame, text: str = "text", tokenize: Callable | None = None) -> DataFrame:
+    """The terms of `chunks`, counted where these are read, a row for some thousand of them.
 
-    By the rule of `terms_of`, only words are split in the JVM; what they become is found for each distinct word of a batch.
+    ``chunks, lengths, n, terms, dfs, places, tfs``: chunk ids, lengths, and numbers of distinct terms; the distinct terms of all and in how many chunks each
+    is; then, chunk by chunk, places among `terms` and counts, as bytes of 32-bit numbers. By the rule of `terms_of`, only words are split in the JVM; what
+    they become is found for each distinct word.
     """
     c = F.col(text)
     if tokenize:
         terms = [F.coalesce(tokenize(c), F.array().cast("array<string>")).alias("terms")]
     else:
-        terms = [words_of(c).alias("terms"), F.coalesce(has_hangul(c), F.lit(False)).alias("hangul")]
-    return spread(chunks.select("chunk_id", text)).select("chunk_id", *terms).mapInArrow(_counted, "chunk_id long, length long, terms array<string>, tfs array<int>")
+        terms = [words_of(c).alias("words"), F.coalesce(has_hangul(c), F.lit(False)).alias("hangul")]
+    schema = "chunks array<long>, lengths array<long>, n array<int>, terms array<string>, dfs array<int>, places binary, tfs binary"
+    return spread(chunks.select("chunk_id", text)).select("chunk_id", *terms).mapInArrow(_pack, schema)
+
+
+def lists_of(packs: DataFrame) -> DataFrame:
+    """``chunk_id, length, terms, tfs``: `term_packs` with a row for each chunk."""
+    return packs.mapInArrow(_unpack, "chunk_id long, length long, terms array<string>, tfs array<int>")
+
+
+def term_lists(chunks: DataFrame, text: str = "text", tokenize: Callable | None = None) -> DataFrame:
+    """``chunk_id, length, terms, tfs``: the distinct terms of each row of `chunks` and how often each occurs."""
+    return lists_of(term_packs(chunks, text, tokenize))
 
 
 def chunk_lengths(postings: DataFrame) -> DataFrame:
@@ -117,11 +169,13 @@ def index_chunks(notes: DataFrame, chunks: DataFrame, *, keys: DataFrame | None
     Rows of one chunk id count as one chunk: where there are any, the postings are added up by chunk and term, and there are no lists.
     """
     none = empty_index(chunks.sparkSession)
-    lists: DataFrame | None = materialise(term_lists(chunks, tokenize=tokenize), "lists")
-    found = lists.agg(F.count("*").alias("rows"), F.countDistinct("chunk_id").alias("ids")).first()
-    postings = lists.select("chunk_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("chunk_id", F.col("p.terms").alias("term"), F.col("p.tfs").cast("long").alias("tf"))
+    lists: DataFrame | None = materialise(term_packs(chunks, tokenize=tokenize), "lists")
+    each = lists.select(F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select(F.col("c.chunks").alias("chunk_id"), F.col("c.lengths").alias("length"))
+    found = each.agg(F.count("*").alias("rows"), F.countDistinct("chunk_id").alias("ids")).first()
+    postings = lists_of(lists).select("chunk_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("chunk_id", F.col("p.terms").alias("term"), F.col("p.tfs").cast("long").alias("tf"))
     if found["rows"] == found["ids"]:
-        lengths, records = lists.where("length > 0").select("chunk_id", "length"), term_records(lists.select(F.explode("terms").alias("term")))
+        terms = lists.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t"))
+        lengths, records = each.where("length > 0"), terms.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df"))
     else:
         postings, lists = materialise(postings.groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf")), "postings"), None
         lengths, records = materialise(chunk_lengths(postings), "lengths"), term_records(postings)

@@ -16,7 +16,7 @@ from ..functions.scoring import KEY_COSINE, KEYS_BY_VECTOR, TIERS, final_score,
 from ..functions.text import is_blank, preview, query_tags, query_terms, strip_emoji, title_of
 from ..runtime import materialise
 from .ids import with_dense_ids
-from .index import Index, corpus
+from .index import Index, corpus, unpacked
 from .sums import best_sums
 from .tokenize import terms_of
 
@@ -25,6 +25,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64_000_000
 #: Lexicon keys up to which the pairs of letters they begin with stand in the plan.
 SCANNED_KEYS = 5_000
+#: Blocks of chunks that a task of `hybrid` takes, at most.
+HYBRID_BLOCKS = 8
 #: Most elements of the score matrix one step of a vector search holds.
 SCORES_AT_ONCE = 4_000_000
 
@@ -67,20 +69,20 @@ class Wanted:
 
 
 def _numbered(known: pa.Table):
-    """Lists of terms to lists of the numbers of known ones, batch by batch; without chunks that have none."""
-    terms, keys = known.column("term").combine_chunks(), known.column("key").combine_chunks()
+    """`term_packs` to lists of the numbers of known terms, a row for each chunk; without chunks that have none."""
+    terms, keys = known.column("term").combine_chunks(), known.column("key").to_numpy()
     schema = pa.schema([("chunk_id", pa.int64()), ("length", pa.int64()), ("keys", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = pc.index_in(b.column("terms").flatten(), value_set=terms)
-            kept = place.is_valid()
-            n = b.column("terms").value_lengths().to_numpy()
-            n = np.bincount(np.repeat(np.arange(len(n)), n)[kept.to_numpy(zero_copy_only=False)], minlength=len(n))
-            rows = np.flatnonzero(n)
-            ends = pa.array(np.append(0, np.cumsum(n[rows])).astype(np.int32))
-            held = keys.take(place.filter(kept)), b.column("tfs").flatten().filter(kept)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("chunk_id", "length")), *(pa.ListArray.from_arrays(ends, x) for x in held)], schema=schema)
+            for chunks, lengths, n, own, places, tfs in unpacked(b):
+                number = pc.fill_null(pc.index_in(own, value_set=terms), -1).to_numpy()[places]
+                kept = number >= 0
+                n = np.bincount(np.repeat(np.arange(len(n)), n)[kept], minlength=len(n))
+                rows = np.flatnonzero(n)
+                ends = pa.array(np.append(0, np.cumsum(n[rows])).astype(np.int32))
+                held = pa.array(keys[number[kept]]), pa.array(tfs[kept])
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(rows)) for x in (chunks, lengths)), *(pa.ListArray.from_arrays(ends, x) for x in held)], schema=schema)
 
     return run
 
@@ -103,13 +105,13 @@ def wanted(index: Index, queries: DataFrame, *, kept: bool = True) -> Wanted:
     return Wanted(materialise(wants, "asked"), materialise(held, "held") if kept else held)
 
 
-def bm25(index: Index, queries: DataFrame, k: int = 30, *, having: Wanted | None = None) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int = 30, *, having: Wanted | None = None, blocks: int | None = None) -> DataFrame:
     """``query_id, chunk_id, bm25_score, bm25_rank``: the k chunks whose terms fit each query best.
 
     `queries` has ``query_id, terms``. The postings, or lists of them, are read once for all queries and keep only
     query terms, as numbers and a list for each chunk; where the terms are few enough they go to all tasks, so the postings are
     filtered as they are scanned. The scores of a block of chunks add up in one task (`best_sums`), and
-    only the best rows of every query leave it. `having` is what `wanted` gave for the same queries.
+    only the best rows of every query leave it. `having` is what `wanted` gave for the same queries, `blocks` how many blocks a task may take.
     """
     n, mean = corpus(index.chunks, index.chunk_stats)
     if not n or not mean:
@@ -118,7 +120,7 @@ def bm25(index: Index, queries: DataFrame, k: int = 30, *, having: Wanted | None
     length = F.coalesce(F.col("length").cast("double"), F.lit(mean))
     docs = having.held.select(F.col("chunk_id").alias("doc"), F.lit(1.0).alias("factor"), "keys", F.col("tfs").alias("values"), length.alias("size"))
     weights = F.transform("wants", lambda x: F.struct(x["key"].alias("key"), idf(F.lit(float(n)), x["df"].cast("double")).alias("weight")))
-    scores = best_sums(docs, having.asked.select("query_id", weights.alias("wants")), k, n, lambda tf, size: term_weight(tf, size, mean)).withColumnsRenamed({"doc": "chunk_id", "total": "bm25_score"})
+    scores = best_sums(docs, having.asked.select("query_id", weights.alias("wants")), k, n, lambda tf, size: term_weight(tf, size, mean), blocks).withColumnsRenamed({"doc": "chunk_id", "total": "bm25_score"})
     return top_k(scores, k, "bm25_score", "chunk_id", rank="bm25_rank")
 
 
@@ -149,6 +151,25 @@ class _Best:
                 self._cut()
 
     def _cut(self) -> None:
+        """Only rows that reach each query's k-th best score, or a tie of it, stay; they are put in order where ties make them many, and at the end."""
+        q, chunk, score = map(np.concatenate, zip(*self.held))
+        order = np.argsort(q.astype(np.uint16) if len(self.ids) <= 1 << 16 else q, kind="stable")  # short numbers are counted, not compared
+        q, chunk, score = q[order], chunk[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.ids)))[q]
+        width = place.max(initial=-1) + 1
+        if width > self.k and width * len(self.ids) <= 2 * SCORES_AT_ONCE:
+            each = np.full((len(self.ids), width), -np.inf)
+            each[q, place] = score
+            each.partition(width - self.k, axis=1)
+            self.bound = np.maximum(self.bound, each[:, width - self.k] - 2e-9)
+            kept = score >= self.bound[q]
+            q, chunk, score = q[kept], chunk[kept], score[kept]
+        self.held = [(q, chunk, score)]
+        if len(q) > 2 * len(self.ids) * self.k:
+            self._sort()
+        self.n = self.kept = len(self.held[0][0])
+
+    def _sort(self) -> None:
         q, chunk, score = map(np.concatenate, zip(*self.held))
         order = np.lexsort((chunk, -np.round(score, 9), q))
         q, chunk, score = q[order], chunk[order], score[order]
@@ -156,11 +177,10 @@ class _Best:
         last = place == self.k - 1
         self.bound[q[last]] = np.maximum(score[last] - 2e-9, self.least)
         self.held = [(q[place < self.k], chunk[place < self.k], score[place < self.k])]
-        self.n = self.kept = len(self.held[0][0])
 
     def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         if self.held:
-            self._cut()
+            self._sort()
             q, chunk, score = self.held[0]
             yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(chunk), pa.array(score)], schema=schema)
 
@@ -267,13 +287,13 @@ def _heading_has(heading: Column, terms: Column) -> Column:
     return F.coalesce(F.exists(terms, lambda t: (F.length(t) > 0) & heading.contains(t)), F.lit(False))
 
 
-def candidates(index: Index, queries: DataFrame, model: str, k: int) -> DataFrame:
+def candidates(index: Index, queries: DataFrame, model: str, k: int, blocks: int | None = None) -> DataFrame:
     """Both lists of k fused, with what scores and the gate need of notes, headings and terms; only rows that pass the gate.
 
     Candidates meet headings and lists of terms by chunk; the queries' terms and the notes are broadcast where they are few enough.
     """
     having = wanted(index, queries)
-    fused = materialise(fuse(bm25(index, queries, k, having=having), vector_search(index.embeddings, queries, model, k)), "fused")
+    fused = materialise(fuse(bm25(index, queries, k, having=having, blocks=blocks), vector_search(index.embeddings, queries, model, k)), "fused")
     asks = queries.select("query_id", query_terms(F.col("terms")).alias("terms")).join(having.asked.select("query_id", F.col("wants.key").alias("keys")), "query_id", "left")
     asks = materialise(asks, "asks")
     size = asks.agg(F.sum(F.octet_length(F.array_join("terms", "  ")) + 8 * F.size("keys") + 64)).first()[0] or 0
@@ -294,9 +314,9 @@ def _scored(rows: DataFrame, o: Options) -> DataFrame:
     return top_k(rows.withColumn("final_score", score), o.top, "final_score", "chunk_id").drop("rank")
 
 
-def hybrid_scores(index: Index, queries: DataFrame, model: str, options: Options = Options()) -> DataFrame:
+def hybrid_scores(index: Index, queries: DataFrame, model: str, options: Options = Options(), blocks: int | None = None) -> DataFrame:
     """The hits of `hybrid` without their texts."""
-    return _scored(candidates(index, queries, model, options.candidates), options)
+    return _scored(candidates(index, queries, model, options.candidates, blocks), options)
 
 
 def with_texts(hits: DataFrame, chunks: DataFrame, length: int = 80) -> DataFrame:
@@ -314,7 +334,7 @@ def hybrid(index: Index, queries: DataFrame, model: str, options: Options = Opti
     The candidates of both lists are fused by reciprocal rank; a hit needs two of the query's
     terms (or all, if it has fewer) or a cosine of 0.6. Chunks whose note is missing are dropped.
     """
-    return with_texts(hybrid_scores(index, queries, model, options), index.chunks)
+    return with_texts(hybrid_scores(index, queries, model, options, HYBRID_BLOCKS), index.chunks)
 
 
 def ablation(index: Index, queries: DataFrame, model: str, top: int = 5) -> DataFrame:

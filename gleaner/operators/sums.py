@@ -154,8 +154,8 @@ def _batches(asked: _Asked, rows: tuple[np.ndarray, ...] | None) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q]), pa.array(doc), pa.array(total)], schema=_SCHEMA)
 
 
-def _scan(asked: _Asked, k: int, weigh: Weigh | None):
-    """Documents, block by block, against all queries; the best of all blocks, where these are few enough to be held."""
+def _scan(asked: _Asked, k: int, weigh: Weigh | None, least: int | None = None):
+    """Documents, in blocks of `least` or more, against all queries; the best of all blocks, where these are few enough to be held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Found(len(asked.ids), k) if len(asked.ids) * k <= HELD_ROWS else None
@@ -171,7 +171,7 @@ def _scan(asked: _Asked, k: int, weigh: Weigh | None):
         for b in batches:
             held.append(b)
             n += b.num_rows
-            if n >= 2 * DOCS_AT_ONCE:
+            if n >= (least or 2 * DOCS_AT_ONCE):
                 yield from block(held)
                 held, n = [], 0
         if n and best and best.held is None:  # the only block
@@ -193,7 +193,7 @@ def _meet(k: int, weigh: Weigh | None):
     return run
 
 
-def best_sums(docs: DataFrame, asked: DataFrame, k: int, n: int, weigh: Weigh | None = None) -> DataFrame:
+def best_sums(docs: DataFrame, asked: DataFrame, k: int, n: int, weigh: Weigh | None = None, blocks: int | None = None) -> DataFrame:
     """``query_id, doc, total``: the k documents or more whose keys fit each query best; the k best of all are among them.
 
     `docs` has ``doc, factor, held`` with `held` an array of (key, value), each key once, or ``keys, values`` as two arrays in its place;
@@ -202,7 +202,7 @@ def best_sums(docs: DataFrame, asked: DataFrame, k: int, n: int, weigh: Weigh |
     keys. Documents rank by total times factor to nine digits, then by number; those of a null factor come last. A task adds up
     blocks of documents for all queries, each in one row of sums, and keeps each query's k best, so other pairs of queries
     and documents never leave it; what it has kept bounds what it looks at in its next blocks. `n`, about how many documents there are,
-    decides on the number of tasks. Queries above `ASKED_BYTES` are cut into blocks, which meet blocks of documents.
+    decides on the number of tasks, which take up to `blocks` blocks (`BLOCKS`). Queries above `ASKED_BYTES` are cut into blocks, which meet blocks of documents.
     """
     spark = asked.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -212,8 +212,9 @@ def best_sums(docs: DataFrame, asked: DataFrame, k: int, n: int, weigh: Weigh |
     size = 16 * (asked.agg(F.sum(F.size("wants"))).first()[0] or 0)
     parts = cores * max(1, -(-n // (cores * DOCS_AT_ONCE)))
     if size <= ASKED_BYTES:
-        parts = cores * max(1, -(-n // (cores * DOCS_AT_ONCE * BLOCKS)))
-        return docs.repartition(parts, "doc").mapInArrow(_scan(_Asked(asked.toArrow()), k, weigh), _OUT)
+        parts = cores * max(1, -(-n // (cores * DOCS_AT_ONCE * (blocks or BLOCKS))))
+        least = DOCS_AT_ONCE if blocks else None  # where blocks are many, the last may be small
+        return docs.repartition(parts, "doc").mapInArrow(_scan(_Asked(asked.toArrow()), k, weigh, least), _OUT)
     blocks = -(-size // ASKED_BYTES)
     left = docs.withColumn("v", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

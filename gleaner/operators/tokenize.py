@@ -44,8 +44,8 @@ def terms_of(c: Column) -> Column:
 
 
 def words_of(c: Column) -> Column:
-    """array<string>: the words of a text, lower-cased, as `term_of_word` takes them."""
-    return F.coalesce(F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower), F.array().cast("array<string>"))
+    """The words of a text with a blank between two, as `term_of_word` takes them: lower-cased all at once, which blanks keep apart."""
+    return F.coalesce(F.lower(F.array_join(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")), F.lit(""))
 
 
 def term_of_word(word: str) -> str | None:

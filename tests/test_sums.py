@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import index, search, sums
+from gleaner.operators.tokenize import words_of
 
 NOTES = "path string, mtime long, size long, category_id string, weight double, indexed_at long"
 CHUNKS = "chunk_id long, note_path string, ord int, heading string, text string"
@@ -200,3 +201,42 @@ def few_leave_a_task(monkeypatch, search_of, k: int):
 def test_hybrid_keeps_the_best_of_a_task(spark, small, monkeypatch):
     q = spark.createDataFrame([(1, ["apple", "fig", "grape", "date"], [1.0, 0.0, 0.0, 0.0])], QUERIES)
     few_leave_a_task(monkeypatch, lambda: search.hybrid(small, q, "m", search.Options(candidates=2)), 2)
+
+
+def test_hybrid_keeps_the_terms_of_many_chunks_in_a_row(spark, small, monkeypatch):
+    monkeypatch.setattr(index, "CHUNKS_AT_ONCE", 2)
+    ix = index.index_chunks(small.notes, small.chunks, embeddings=small.embeddings)
+    assert small.lists.count() < small.chunks.count() and dict(small.lists.dtypes)["places"] == "binary"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(ix.postings) == rows(small.postings) and rows(ix.chunk_stats) == rows(small.chunk_stats) and rows(ix.term_stats) == rows(small.term_stats) == rows(index.term_records(small.postings))
+    q = spark.createDataFrame([(1, ["apple", "fig"], [1.0, 0.0, 0.0, 0.0]), (2, ["grape"], [0.0, 1.0, 1.0, 0.0])], QUERIES)
+    assert rows(search.hybrid_scores(ix, q, "m").drop("rank")) == rows(search.hybrid_scores(small, q, "m").drop("rank"))
+
+
+def test_words_of_a_text_lowered_at_once(spark):
+    signs = [chr(i) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000]
+    texts = [f"A{s}Bc {s}D{s} 'E{s}'" for s in signs] + ["", None, "ΑΣ'Α ΑΣ", "İSTANBUL B", "AΣ ΣΑ", "aΣ.Σb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    alone = F.transform(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower)
+    assert df.where(words_of(F.col("t")) != F.coalesce(F.array_join(alone, " "), F.lit(""))).count() == 0
+
+
+@pytest.mark.parametrize("copies, sorts", [(1, 1), (200, None)])
+def test_hybrid_sorts_vectors_only_at_the_end(monkeypatch, copies, sorts):
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 800)
+    done = []
+    monkeypatch.setattr(search._Best, "_sort", lambda self, sort=search._Best._sort: (done.append(1), sort(self)))
+    rng = np.random.default_rng(5)
+    vectors = np.repeat(rng.normal(size=(2000 // copies, 8)), copies, axis=0)
+    unit = rng.normal(size=(20, 8))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    best, ids = search._Best((np.arange(20) + 100, unit), 6, -0.5), rng.permutation(2000)
+    for i in range(0, 2000, 250):
+        best.add(ids[i : i + 250], vectors[i : i + 250])
+        assert best.n <= 20 * 6 * 3 + 20 * 40  # what is held stays bounded, however many tie
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("vector_score", pa.float64())])
+    got = pa.Table.from_batches(best.batches(schema)).to_pylist()
+    cos = np.round(unit @ (vectors / np.linalg.norm(vectors, axis=1)[:, None]).T, 9)
+    want = {(q + 100, int(ids[c])) for q in range(20) for c in np.lexsort((ids, -cos[q]))[:6] if cos[q, c] >= -0.5}
+    assert {(r["query_id"], r["chunk_id"]) for r in got} == want and len(got) == len(want)
+    assert sorts is None or len(done) == sorts
